@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, line_dedup, neighbours, token_counts, token_files, warc
+from tessera.llm import bpe, line_dedup, neighbours, quality, token_counts, token_files, warc
 from tessera.session import prepare, shared_dir, table
 
 
@@ -32,7 +32,11 @@ def op7_bpe(spark, sf_dir):
     return bpe.bpe_digests(table(prepare(spark), sf_dir, "documents"), "word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op6_warc, op7_bpe)}
+def op8_quality(spark, sf_dir):
+    return quality.quality_report(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op6_warc, op7_bpe, op8_quality)}
 
 ORACLE_SQL = {
     "op3_nearest_neighbours": """
