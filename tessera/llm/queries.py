@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, line_dedup, neighbours, quality, token_counts, token_files, warc
+from tessera.llm import bpe, line_dedup, neighbours, ngram_jaccard, quality, token_counts, token_files, warc
 from tessera.session import prepare, shared_dir, table
 
 
@@ -24,6 +24,10 @@ def op4_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard.jaccard_components(table(prepare(spark), sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_warc(spark, sf_dir):
     return warc.archive_report(table(prepare(spark), sf_dir, "pages")).drop("url")
 
@@ -36,7 +40,7 @@ def op8_quality(spark, sf_dir):
     return quality.quality_report(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op6_warc, op7_bpe, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op5_ngram_jaccard, op6_warc, op7_bpe, op8_quality)}
 
 ORACLE_SQL = {
     "op3_nearest_neighbours": """
