@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import files
 from tessera.session import shared_dir
@@ -44,7 +45,7 @@ NO_ID = (1 << 63) - 1
 SHARD_KEYS, KEPT_BYTES = 400_000, 128 << 20
 GAMMA = 2.0
 MAGIC = b"TMPHLIN1"
-OUT = "row_id bigint, doc_id bigint, kept string, n_lines bigint, n_dropped bigint, kept_sha256 string"
+OUT = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -234,30 +235,43 @@ class Index:
         return counts, holders
 
 
-def _drop(folder: str, shards: int, present: frozenset[int], min_chars: int, texts: bool):
+def _kept(index: Index, ids: list, docs: list[str], min_chars: int) -> tuple[list[str], list[int]]:
+    """What stays of each text, and how many of its lines go."""
+    found = [line_hashes(t, min_chars) for t in docs]
+    sizes = np.array([len(f[0]) for f in found], np.int64)
+    counts, holders = index.probe(np.array([x for f in found for x in f[1]], np.uint64), np.array([x for f in found for x in f[2]], np.uint64))
+    gone = (counts > 0) & (holders != np.repeat(np.array([NO_ID if i is None else i for i in ids], np.int64), sizes))
+    ends, kept, dropped = np.cumsum(sizes), [], []
+    for k, text in enumerate(docs):
+        mine = np.flatnonzero(gone[ends[k] - sizes[k] : ends[k]]).tolist()
+        dropped.append(len(mine))
+        if mine:
+            out = {found[k][0][j] for j in mine}
+            text = "\n".join([x for j, x in enumerate(text.split("\n")) if j not in out])
+        kept.append(text)
+    return kept, dropped
+
+
+def _drop(folder: str, shards: int, present: frozenset[int], min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(folder, shards, present)
         for b in batches:
-            ids, docs = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            found = [line_hashes(t, min_chars) for t in docs]
-            sizes = np.array([len(f[0]) for f in found], np.int64)
-            one = np.array([x for f in found for x in f[1]], np.uint64)
-            two = np.array([x for f in found for x in f[2]], np.uint64)
-            counts, holders = index.probe(one, two)
-            owner = np.repeat(np.array([NO_ID if i is None else i for i in ids], np.int64), sizes)
-            gone = (counts > 0) & (holders != owner)
-            ends = np.cumsum(sizes)
-            kept, n_lines, n_dropped, sha = [], [], [], []
-            for k, text in enumerate(docs):
-                mine = gone[ends[k] - sizes[k] : ends[k]]
-                n_lines.append(text.count("\n") + 1)
-                n_dropped.append(int(mine.sum()))
-                if n_dropped[-1]:
-                    out = {found[k][0][j] for j in np.flatnonzero(mine).tolist()}
-                    text = "\n".join([x for j, x in enumerate(text.split("\n")) if j not in out])
-                kept.append(text if texts else None)
-                sha.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())], ["row_id", "doc_id", "kept", "n_lines", "n_dropped", "kept_sha256"])
+            docs = b.column("text").to_pylist()
+            kept, dropped = _kept(index, b.column("doc_id").to_pylist(), docs, min_chars)
+            sha = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.count("\n") + 1 for x in docs], pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+
+    return run
+
+
+def _rewrite(folder: str, shards: int, present: frozenset[int], min_chars: int, id_at: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(folder, shards, present)
+        for b in batches:
+            kept, dropped = _kept(index, b.column(id_at).to_pylist(), [x or "" for x in b.column(text_at).to_pylist()], min_chars)
+            columns = list(b.columns)
+            columns[text_at] = pa.array([k if d else None if x is None else k for k, d, x in zip(kept, dropped, columns[text_at].to_pylist(), strict=True)], columns[text_at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(dropped, pa.int64())], [*b.schema.names, "n_dropped"])
 
     return run
 
@@ -279,13 +293,23 @@ def build_line_index(docs: DataFrame, folder: str, min_chars: int = 10) -> tuple
     return shards, frozenset(r["shard"] for r in built.select("shard").collect())  # one row per shard file
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_id: str | None = None, texts: bool = True, min_chars: int = 10, folder: str | None = None) -> DataFrame:
-    """row_id, doc_id, kept (the text that stays), n_lines, n_dropped, kept_sha256; one row per input row.
-
-    row_id: a column to carry along, for joining other columns back.
-    texts=False leaves kept null, where digests are enough.
-    """
+def _index(docs: DataFrame, id_col: str, text_col: str, min_chars: int, folder: str | None) -> tuple[DataFrame, tuple]:
     folder = folder or shared_dir(docs.sparkSession, "lines")
-    own = docs.select((F.col(row_id).cast("long") if row_id else F.lit(0).cast("long")).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shards, present = build_line_index(own.select("doc_id", "text"), folder, min_chars)
-    return own.mapInArrow(_drop(folder, shards, present, min_chars, texts), OUT)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own, (folder, *build_line_index(own, folder, min_chars), min_chars)
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, folder: str | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256; one row per input row."""
+    own, built = _index(docs, id_col, text_col, min_chars, folder)
+    return own.mapInArrow(_drop(*built), OUT)
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, folder: str | None = None) -> DataFrame:
+    """docs with the lines that stay as text, all other columns as they are, and n_dropped_lines."""
+    _, built = _index(docs, id_col, text_col, min_chars, folder)
+    names = docs.columns
+    numbered = docs.select(*[(F.col(f"`{c}`").cast("long") if c == id_col else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(names)])
+    schema = T.StructType([*numbered.schema.fields, T.StructField("n_dropped", T.LongType())])
+    out = numbered.mapInArrow(_rewrite(*built, names.index(id_col), names.index(text_col)), schema)
+    return out.select(*[F.col(f"c{k}").cast(docs.schema[k].dataType).alias(c) for k, c in enumerate(names)], F.col("n_dropped").alias("n_dropped_lines"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, line_dedup, neighbours, ngram_jaccard, quality, token_counts, token_files, warc
+from tessera.llm import bpe, licenses, line_dedup, mixing, neighbours, ngram_jaccard, quality, token_counts, token_files, warc
 from tessera.session import prepare, shared_dir, table
 
 
@@ -20,8 +20,7 @@ def op3_nearest_neighbours(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    out = line_dedup.drop_repeated_lines(table(prepare(spark), sf_dir, "documents"), texts=False)
-    return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return line_dedup.line_report(table(prepare(spark), sf_dir, "documents"))
 
 
 def op5_ngram_jaccard(spark, sf_dir):
@@ -40,9 +39,18 @@ def op8_quality(spark, sf_dir):
     return quality.quality_report(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op5_ngram_jaccard, op6_warc, op7_bpe, op8_quality)}
+def op9_licenses(spark, sf_dir):
+    return licenses.license_report(table(prepare(spark), sf_dir, "documents"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mixing_report(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op5_ngram_jaccard, op6_warc, op7_bpe, op8_quality, op9_licenses, op10_mixing)}
 
 ORACLE_SQL = {
+    "op9_licenses": licenses.oracle_sql(),
     "op3_nearest_neighbours": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
