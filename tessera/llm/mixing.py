@@ -152,19 +152,26 @@ def rate(steps: list[list[float]], k: int) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, limit: int = RATE_STEPS, gap: float = GAP) -> list[list[float]]:
-    """Gradient vectors of the projected steps. rows: stored shares, n_tokens."""
+    """Vectors of the projected steps. rows: stored shares, n_tokens.
+
+    The squares are of each domain's error over the root of its share of
+    tokens at rate 1; so scaled, a full step never overshoots (shares of a
+    document sum to 1), and rare domains converge as fast as common ones.
+    """
     k = len(DOMAINS)
-    # rows of like shares act alike: totals by shares to a thousandth would do, but sums over all rows are exact
     sums = lambda steps: rows.agg(*[F.sum(rate(steps, k) * F.col("n_tokens") * F.get(F.col("shares"), F.lit(j))) for j in range(k)], F.sum("n_tokens")).first()
     steps: list[list[float]] = []
+    size: list[float] = []
     for _ in range(limit):
         *now, tokens = sums(steps)
         if not tokens:
             return []
-        off = [(now[j] or 0.0) / tokens - targets.get(DOMAINS[j], 0.0) for j in range(k)]
+        got = [(x or 0.0) / tokens for x in now]
+        size = size or [max(x, 1e-9) for x in got]
+        off = [got[j] - targets.get(DOMAINS[j], 0.0) for j in range(k)]
         if max(map(abs, off)) < gap:
             break
-        steps.append([float(x) for x in off])
+        steps.append([off[j] / size[j] for j in range(k)])
     return steps
 
 
