@@ -14,6 +14,7 @@ from tessera.operators import spatial as S
 from tessera.operators import windows as W
 from tessera.plans.bindings import EV, PTS, ev, pts
 from tessera.plans.registry import query
+from tessera.plans.shapes import NB, TORSION, torsions
 from tessera.plans.spatial import COUNT8, D2, _counts, edge_sql
 from tessera.session import table
 
@@ -172,7 +173,11 @@ def gra17(spark, d):
     return _free_union(spark, d, (1.25,))[1]
 
 
-@query("GRA19_buriedness")
+DIRS = "dr AS (SELECT k, sin(acos(1 - 2 * (k + 0.5) / 30)) * cos(pi() * (1 + sqrt(5)) * (k + 0.5)) AS x, sin(acos(1 - 2 * (k + 0.5) / 30)) * sin(pi() * (1 + sqrt(5)) * (k + 0.5)) AS y, 1 - 2 * (k + 0.5) / 30 AS z FROM range(30) t(k))"
+
+
+@query("GRA19_buriedness", f"""WITH {PTS}, {DIRS}, al AS (SELECT a.unit, a.i, k, (b.px - a.px) * x + (b.py - a.py) * y + (b.pz - a.pz) * z AS along, {D2} AS d2 FROM pts a JOIN pts b ON a.unit = b.unit AND a.i <> b.i, dr),
+    h AS (SELECT unit, i, count(DISTINCT k) AS n FROM al WHERE along > 0 AND along <= 11 AND d2 - along * along <= 3.24 GROUP BY ALL) SELECT p.unit, p.i, coalesce(n, 0) / 30.0::DOUBLE AS buried FROM pts p LEFT JOIN h ON p.unit = h.unit AND p.i = h.i""")
 def gra19(spark, d):
     return D.buriedness(pts(spark, d))
 
@@ -282,9 +287,13 @@ def gra31(spark, d):
     return L.pair_rmsd(pairs)
 
 
-@query("GRA32_free_runs")
+AXES = "ax AS (SELECT (CASE c WHEN 0 THEN 0 WHEN 1 THEN a ELSE b END) / s AS x, (CASE c WHEN 0 THEN a WHEN 1 THEN b ELSE 0 END) / s AS y, (CASE c WHEN 0 THEN b WHEN 1 THEN 0 ELSE a END) / s AS z, 4 * c + CAST(a > 0 AS INTEGER) * 2 + CAST(b > 0 AS INTEGER) AS k FROM (SELECT a, g * h AS b, sqrt(1 + g * g) AS s FROM (SELECT (1 + sqrt(5)) / 2 AS g), (VALUES (-1.0::DOUBLE), (1.0)) u(a), (VALUES (-1.0::DOUBLE), (1.0)) w(h)), range(3) t(c))"
+
+
+@query("GRA32_free_runs", f"""WITH {PTS}, {AXES}, al AS (SELECT a.unit, a.i, k, (b.px - a.px) * x + (b.py - a.py) * y + (b.pz - a.pz) * z AS along, {D2} AS d2 FROM pts a JOIN pts b ON a.unit = b.unit AND a.i <> b.i, ax),
+    f AS (SELECT unit, i, k, least(coalesce(min(CASE WHEN along > 0 AND d2 - along * along <= 4 THEN along END), 12), 12) AS far FROM al GROUP BY ALL) SELECT unit, i, round(max(far), 7) AS longest, round(avg(far), 7) AS mean FROM f GROUP BY ALL""")
 def gra32(spark, d):
-    return D.free_runs(pts(spark, d))
+    return D.free_runs(pts(spark, d)).select("unit", "i", F.round("longest", 7).alias("longest"), F.round("mean", 7).alias("mean"))
 
 
 @query("GRA33_void_spheres")
@@ -341,11 +350,9 @@ def fea05(spark, d):
     return p.join(S.neighbourhood_means(p, [10.0], ["h"]), ["unit", "i"]).select("unit", "i", F.round("h", 8).alias("own"), (F.round("h_mean10", 8) + 0.0).alias("near"))
 
 
-@query("FEA06_backbone_columns")
+@query("FEA06_backbone_columns", f"WITH {NB}, {TORSION}, r AS (SELECT unit, i, round(c, 7) AS c, round(s, 7) AS s FROM to_) SELECT unit, i, c, s, lag(c) OVER w AS c_before, lead(s) OVER w AS s_after FROM r WINDOW w AS (PARTITION BY unit ORDER BY i)")
 def fea06(spark, d):
-    from tessera.plans.shapes import torsions
-
-    t = torsions(spark, d)
+    t = torsions(spark, d).select("unit", "i", F.round("c", 7).alias("c"), F.round("s", 7).alias("s"))
     w = Window.partitionBy("unit").orderBy("i")
     return t.select("unit", "i", "c", "s", F.lag("c").over(w).alias("c_before"), F.lead("s").over(w).alias("s_after"))
 
