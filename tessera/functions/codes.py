@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def code_of(c: str, names: Sequence[str]) -> Column:
     """Place in names, from 0; -1 if absent."""
-    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(c)), F.lit(0)) - 1, F.lit(-1))
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(c)), F.lit(0)) - 1, F.lit(-1)).cast("int")
 
 
 def band_of(x: str, edges: Sequence[float]) -> Column:

@@ -114,7 +114,7 @@ def src09(spark, d):
     e = ev(spark, d)
     rows = e.select(F.col("unit").cast("string"), F.concat(F.lit(" A:"), F.col("k").cast("string")), F.concat(F.lit("  "), F.round("x", 4).cast("string")), F.col("y").cast("string"))
     t = _csv(spark, d, ["chain", "label", "probability", "pocket"], rows.columns, rows)
-    return t.groupBy(F.col("chain").cast("int").alias("unit"), residue_number("label").alias("resseq")).agg(F.max(F.col("probability").cast("double")).alias("score"), F.max(F.col("pocket").cast("int") > 0).alias("positive"))
+    return t.groupBy(F.col("chain").cast("long").alias("unit"), residue_number("label").alias("resseq")).agg(F.max(F.col("probability").cast("double")).alias("score"), F.max(F.col("pocket").cast("int") > 0).alias("positive"))
 
 
 @query("SRC10_prediction_rows", f"WITH {EV}, t AS (SELECT unit, event_type, row_number() OVER (PARTITION BY unit ORDER BY event_type) AS rank, round(max(x), 4) AS score, list_sort(list(DISTINCT k)) AS ids FROM ev GROUP BY unit, event_type) SELECT unit, rank, score, array_to_string(ids, ' ') AS residues FROM t")
@@ -124,7 +124,7 @@ def src10(spark, d):
     t = _csv(spark, d, ["unit", "name", "score", "ids"], rows.columns, rows)
     ids = F.transform(F.split("ids", r"\s+"), lambda x: F.element_at(F.split(x, "_"), -1).try_cast("int"))
     rank = F.row_number().over(Window.partitionBy("unit").orderBy("name")).cast("long")
-    return t.select(F.col("unit").cast("int").alias("unit"), rank.alias("rank"), F.col("score").cast("double").alias("score"), F.array_join(F.filter(ids, lambda x: x.isNotNull()).cast("array<string>"), " ").alias("residues"))
+    return t.select(F.col("unit").cast("long").alias("unit"), rank.alias("rank"), F.col("score").cast("double").alias("score"), F.array_join(F.filter(ids, lambda x: x.isNotNull()).cast("array<string>"), " ").alias("residues"))
 
 
 @query("SRC11_info_blocks", f"WITH {EV}, g AS (SELECT unit, k % 3 AS pocket, round(avg(x), 3) AS score FROM ev GROUP BY ALL) SELECT unit, pocket, score, row_number() OVER (PARTITION BY unit ORDER BY score DESC, pocket) AS rank FROM g")
