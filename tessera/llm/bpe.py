@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.files import tokenizer_path
+from tessera.llm.files import frugal, tokenizer_path
 
 LONG, ROWS = 48, 4096
 KEPT_WORDS, BLOCK = 200_000, 500
@@ -296,9 +296,9 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, decoded: one row per input row; a null text is empty. No shuffle."""
-    return _input(docs, id_col, text_col).mapInArrow(_ids(tokenizer), "doc_id bigint, ids array<int>, decoded string")
+    return _input(docs, id_col, text_col).mapInArrow(frugal(_ids(tokenizer)), "doc_id bigint, ids array<int>, decoded string")
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text: bpe_encode without shipping the ids back."""
-    return _input(docs, id_col, text_col).mapInArrow(_digests(tokenizer), OUT)
+    return _input(docs, id_col, text_col).mapInArrow(frugal(_digests(tokenizer)), OUT)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import files
+from tessera.llm.files import frugal
 from tessera.session import shared_dir
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -282,7 +283,7 @@ def build_line_index(docs: DataFrame, folder: str, min_chars: int = 10) -> tuple
     docs: doc_id long, text string without nulls. Two hashes tell lines apart,
     128 bits in all.
     """
-    lines = docs.mapInArrow(_lines(min_chars), "one bigint, two bigint, n bigint, low bigint, high bigint")
+    lines = docs.mapInArrow(frugal(_lines(min_chars)), "one bigint, two bigint, n bigint, low bigint, high bigint")
     repeated = lines.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
     repeated.select("one", "two", "n", "low").write.parquet(f"{folder}/repeated")
     repeated = docs.sparkSession.read.schema("one bigint, two bigint, n bigint, low bigint").parquet(f"{folder}/repeated")
@@ -302,7 +303,7 @@ def _index(docs: DataFrame, id_col: str, text_col: str, min_chars: int, folder:
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, folder: str | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256; one row per input row."""
     own, built = _index(docs, id_col, text_col, min_chars, folder)
-    return own.mapInArrow(_drop(*built), OUT)
+    return own.mapInArrow(frugal(_drop(*built)), OUT)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, folder: str | None = None) -> DataFrame:
@@ -311,5 +312,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = docs.columns
     numbered = docs.select(*[(F.col(f"`{c}`").cast("long") if c == id_col else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(names)])
     schema = T.StructType([*numbered.schema.fields, T.StructField("n_dropped", T.LongType())])
-    out = numbered.mapInArrow(_rewrite(*built, names.index(id_col), names.index(text_col)), schema)
+    out = numbered.mapInArrow(frugal(_rewrite(*built, names.index(id_col), names.index(text_col))), schema)
     return out.select(*[F.col(f"c{k}").cast(docs.schema[k].dataType).alias(c) for k, c in enumerate(names)], F.col("n_dropped").alias("n_dropped_lines"))

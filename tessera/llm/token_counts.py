@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tessera.llm.files import tokenizer_path
+from tessera.llm.files import frugal, tokenizer_path
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -90,6 +90,6 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, id_col: str = "doc
     own = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
     known = cached(spark, cache).filter(F.col("tokenizer") == version)
     misses = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text")).dropDuplicates(["digest"]).join(known, "digest", "left_anti")
-    misses.select("digest", "text").mapInArrow(_encode(tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
+    misses.select("digest", "text").mapInArrow(frugal(_encode(tokenizer, version)), CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = cached(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return own.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
