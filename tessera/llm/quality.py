@@ -164,7 +164,8 @@ def _groups(lang_col: str, source_col: str) -> dict[str, Column]:
 
 def _verdict(rows: DataFrame, levels: DataFrame, model: DataFrame, prefix: str = "") -> DataFrame:
     """rows with `{prefix}kept`; rows of groups without an estimate pass."""
-    used = levels.join(model, "key").select("grp_lang", "grp_source", *_plain_model("key")).drop("key")
+    # one row per group, written so that the planner knows its size and broadcasts it only if small
+    used = stored(levels.join(model, "key").select("grp_lang", "grp_source", *_plain_model("key")).drop("key"), "quality-used")
     out = rows.join(used, ["grp_lang", "grp_source"], "left")
     near = F.coalesce(_distance(prefix) <= CUTOFF, F.lit(True))
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & near).drop(*used.columns)
