@@ -11,8 +11,8 @@ and the list of those vectors, so steps keep no state per document.
 Classifier: softmax regression on which of `vocabulary` words a text holds
 (those whose presence tells domains apart best by chi-square) and on a few
 shares of characters and words. It is fitted on at most `labelled_rows` labelled
-documents, those with the smallest hashes of their ids; everything else runs
-over all documents.
+documents, those with the smallest hashes of their ids (of rows that share an id, the
+smallest text); everything else runs over all documents.
 
 Whole copies: a document comes floor(rate) times, and once more where a hash
 of its id falls below the fraction, so totals meet the targets in expectation.
@@ -34,11 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.files import frugal
 from tessera.session import stored
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of all tokens that each domain should get.
-TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
+TARGETS = {"clean": 0.995, "low": 0.004, "toxic": 0.001}
 #: Classifier sample and words; steps of the fit and of the rates, and the relative gap at which rates stop.
 LABELLED_ROWS, VOCABULARY = 6000, 1500
 FIT_STEPS, RATE_STEPS, GAP = 400, 60, 1e-3
@@ -85,7 +86,7 @@ class Classifier:
 def fit_classifier(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Softmax regression, by accelerated gradient steps on the bounded sample."""
     chosen = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), domain_of().alias("y")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(labelled_rows)
-    sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # bounded by labelled_rows
+    sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))  # labelled_rows rows at most
     sample = stored(sample.withColumn("words", F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[.,;:!?]+|[.,;:!?]+$", "")))), "labelled")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     k = len(DOMAINS)
@@ -104,7 +105,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
             rows = [blank.features(x.as_py()) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([[float(x) for x in r[1]] for r in rows], pa.list_(pa.float64()))], ["y", "own", "form"])
 
-    rows = sample.select("_id", "y", "text").select("y", "text").mapInArrow(features, "y int, own array<int>, form array<double>").collect()  # labelled_rows rows at most, but for repeated ids
+    rows = sample.select("_id", "y", "text").select("y", "text").mapInArrow(frugal(features), "y int, own array<int>, form array<double>").collect()  # labelled_rows rows at most
     x = np.zeros((len(rows), len(words) + SHAPE), np.float32)
     y = np.zeros((len(rows), k), np.float32)
     for i, r in enumerate(sorted(rows, key=lambda r: (r["y"], r["own"], r["form"]))):
@@ -140,7 +141,7 @@ def scored(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> D
     """docs, its columns renamed c0, c1, ..., with shares and n_tokens. No shuffle."""
     numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
     schema = T.StructType([*numbered.schema.fields, T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("n_tokens", T.LongType())])
-    return numbered.mapInArrow(_scored(classifier, docs.columns.index(text_col)), schema)
+    return numbered.mapInArrow(frugal(_scored(classifier, docs.columns.index(text_col))), schema)
 
 
 def rate(steps: list[list[float]], k: int) -> Column:
