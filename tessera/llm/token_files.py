@@ -15,7 +15,6 @@ and crc32, MAGIC. Files get their names when complete.
 from __future__ import annotations
 
 import gc
-import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import files
-from tessera.llm.bpe import plain_pieces
-from tessera.llm.files import tokenizer_path
+from tessera.llm.files import frugal
+from tessera.llm.word_ids import WordIds
 from tessera.session import shared_dir
 
 MAGIC = b"TS8BIDS1"
@@ -37,7 +36,6 @@ BLOCK = 1 << 16
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = 60 // COUNTS
 ESCAPE = 14
-KEPT_WORDS = 250_000
 PARTS = "file string, shard int, n_docs bigint, n_tokens bigint"
 OUT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -179,82 +177,11 @@ class Reader:
             held = held[n:]
 
 
-class WordTable:
-    """Encodes texts with the tokenizers library, each distinct piece of a word once.
-
-    Right for tokenizers that lower-case, drop white space and end each
-    pre-token by a token of its own kind. Plain words (letters, then marks)
-    reach the library as ready pre-tokens, many in one call; the last token
-    of each tells them apart. Other words go through the whole tokenizer.
-    """
-
-    def __init__(self, tokenizer: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.model = Tokenizer.from_file(tokenizer_path(tokenizer))
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.ready = Tokenizer(self.model.model)
-        self.ready.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        end = json.loads(self.model.to_str())["model"]["end_of_word_suffix"]
-        self.ends = np.zeros(self.model.get_vocab_size(), bool)
-        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(end)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_words, self.old_pieces = self.words, self.pieces
-
-    def learn(self, new: list[bytes]) -> None:
-        """Puts words into the table; what was there before the last turn stays at hand."""
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.old_words = {}, self.words
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces, self.old_pieces = {}, self.pieces
-        words, pieces, old = self.words, self.pieces, self.old_words
-        plain, whole = [], []
-        for w in new:
-            if w in old:
-                words[w] = old[w]
-            elif w not in words:
-                if own := plain_pieces(w):
-                    plain.append((w, *own))
-                else:
-                    whole.append(w)
-        pieces[""] = b""
-        open_ = {p for own in plain for p in own[1:]}.difference(pieces)
-        for p in open_.intersection(self.old_pieces):
-            pieces[p] = self.old_pieces[p]
-        todo = list(open_.difference(pieces))
-        for at in range(0, len(todo), 500):
-            part = todo[at : at + 500]
-            ids = np.array(self.ready.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(cuts) != len(part):
-                raise ValueError("pre-tokens and their last tokens differ in number")
-            raw = ids.tobytes()
-            for p, a, b in zip(part, [0, *cuts], cuts, strict=False):
-                pieces[p] = raw[a:b]
-        for w, core, marks in plain:
-            words[w] = pieces[core] + pieces[marks] if marks else pieces[core]
-        for w, e in zip(whole, self.model.encode_batch_fast([x.decode() for x in whole], add_special_tokens=False), strict=True):
-            words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-        split = [x.encode().split() for x in texts]
-        distinct = {w for own in split for w in own}
-        self.learn(list(distinct if len(self.words) > KEPT_WORDS else distinct.difference(self.words)))
-        end = b"" if end_id is None else struct.pack("<I", end_id)
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join([*map(get, words), end]), "<u4") for words in split]
-
-
 def _write(folder: str, tokenizer: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         name = f"{folder}/ids-{shard:06d}.s8b"
-        words, docs = WordTable(tokenizer), 0
+        words, docs = WordIds(tokenizer), 0
         gc.disable()  # millions of small strings, and no cycles among them
         first = next(batches, None)
         if first is None:
@@ -305,7 +232,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sorted_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    listed = sorted_docs.mapInArrow(_write(folder, tokenizer, end_id), PARTS)
+    listed = sorted_docs.mapInArrow(frugal(_write(folder, tokenizer, end_id)), PARTS)
     listed.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(PARTS).parquet(f"{folder}/manifest")
 
@@ -320,7 +247,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     placed = manifest.select("file", "shard", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
-    return placed.repartition("file").mapInArrow(_read, OUT)
+    # by number, so that the few rows of the list are not brought to one task
+    return placed.repartition(max(1, manifest.count())).mapInArrow(frugal(_read), OUT)
 
 
 def token_file_report(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None) -> DataFrame:
