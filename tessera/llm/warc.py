@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import files
+from tessera.llm.files import frugal
 from tessera.session import shared_dir
 
 SKIPPABLE = 0x184D2A5D
@@ -106,7 +107,7 @@ def read_records(f) -> Iterator[dict]:
             held = frame.unused_data
             yield parsed(b"".join(parts))
             frame, parts = reader.decompressobj(), []
-    if any(parts):
+    if parts:
         raise ValueError("the archive ends within a frame")
 
 
@@ -175,13 +176,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     joined = rows.join(repeated, (F.col("sha1") == F.col("r_sha1")) & (F.col("size") == F.col("r_size")), "left")
     revisit = F.coalesce(F.col("best").isNotNull() & (F.col("best.row") != F.col("row")), F.lit(False))
     marked = joined.select("page_id", "url", F.when(revisit, "").otherwise(F.col("payload")).alias("payload"), "size", "sha1", F.when(revisit, F.col("best.page_id")).alias("refers_to"), revisit.alias("revisit"))
-    marked.mapInArrow(_write(folder, trained(pages, payload_col), level), PARTS).write.parquet(f"{folder}/manifest")
+    marked.mapInArrow(frugal(_write(folder, trained(pages, payload_col), level)), PARTS).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(PARTS).parquet(f"{folder}/manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Every record of the listed archives, checked."""
-    return manifest.repartition("file").mapInArrow(_read, OUT)
+    # by number, so that the few rows of the list are not brought to one task
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(frugal(_read), OUT)
 
 
 def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:
