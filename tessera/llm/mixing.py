@@ -40,7 +40,7 @@ from tessera.session import stored
 DOMAINS = ("clean", "low", "toxic")
 #: Share of all tokens that each domain should get.
 TARGETS = {"clean": 0.995, "low": 0.004, "toxic": 0.001}
-#: Classifier sample and words; steps of the fit and of the rates, and the relative gap at which rates stop.
+#: Classifier sample and words; most steps of the fit and of the rates, and the gap at which rates stop.
 LABELLED_ROWS, VOCABULARY = 6000, 1500
 FIT_STEPS, RATE_STEPS, GAP = 400, 60, 1e-3
 MARKS = re.compile(r"[#*$%&|<>!]")
@@ -163,6 +163,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, limit: int =
     sums = lambda steps: rows.agg(*[F.sum(rate(steps, k) * F.col("n_tokens") * F.get(F.col("shares"), F.lit(j))) for j in range(k)], F.sum("n_tokens")).first()
     steps: list[list[float]] = []
     size: list[float] = []
+    last = float("inf")
     for _ in range(limit):
         *now, tokens = sums(steps)
         if not tokens:
@@ -170,8 +171,10 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, limit: int =
         got = [(x or 0.0) / tokens for x in now]
         size = size or [max(x, 1e-9) for x in got]
         off = [got[j] - targets.get(DOMAINS[j], 0.0) for j in range(k)]
-        if max(map(abs, off)) < gap:
+        squares = sum(x * x / n for x, n in zip(off, size, strict=True))
+        if max(map(abs, off)) < gap or squares > last * (1 - 1e-2):  # met, or no longer falling
             break
+        last = squares
         steps.append([off[j] / size[j] for j in range(k)])
     return steps
 
