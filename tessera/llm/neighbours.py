@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT = "query_id bigint, vec_id bigint, score double"
-LEAF = 32
+LEAF = 128
 
 
 def chi2_cdf(x: float, m: int) -> float:
