@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.files import frugal, tokenizer_path
 
 LONG, ROWS = 48, 4096
-KEPT_WORDS, BLOCK = 200_000, 500
+KEPT_WORDS, BLOCK = 100_000, 500
 #: What the pattern's \s means to its own engine, as a class.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -276,6 +276,7 @@ def _digests(tokenizer: str):
                     ids_sha.append(hashlib.sha256(raw).hexdigest())
                     text_sha.append(hashlib.sha256(" ".join(decoded).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.old_words, bpe.old_short = {}, {}  # the worker lives on: it keeps the last turn's words alone
 
     return run
 
