@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import files
 from tessera.llm.files import frugal
-from tessera.llm.word_ids import WordIds
+from tessera.llm.word_ids import loaded
 from tessera.session import shared_dir
 
 MAGIC = b"TS8BIDS1"
@@ -181,7 +181,7 @@ def _write(folder: str, tokenizer: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         name = f"{folder}/ids-{shard:06d}.s8b"
-        words, docs = WordIds(tokenizer), 0
+        words, docs = loaded(tokenizer), 0
         gc.disable()  # millions of small strings, and no cycles among them
         first = next(batches, None)
         if first is None:

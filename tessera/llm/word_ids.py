@@ -14,6 +14,7 @@ encoded by the library each time.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import unicodedata
@@ -184,3 +185,9 @@ class WordIds:
                 out[k] = own
         end = np.array([] if end_id is None else [end_id], np.uint32)
         return [np.concatenate([x, end]) for x in out]
+
+
+@functools.lru_cache(maxsize=1)
+def loaded(tokenizer: str) -> WordIds:
+    """A worker's table, which its later tasks find filled."""
+    return WordIds(tokenizer)
