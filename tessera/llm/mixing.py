@@ -4,9 +4,10 @@ A classifier fitted on labelled rows gives each document posterior shares of
 the domains. Rates, one per document and never negative, are then fitted so
 that the expected tokens of each domain, the sum of rate * tokens * share,
 meet its target: projected-gradient least squares from rates of 1, in the
-metric weighted by tokens. A step's gradient is one vector of a number per
-domain, summed over all documents; a document's rate follows from its shares
-and the list of those vectors, so steps keep no state per document.
+metric weighted by tokens, by implicit steps (see fit_rates). A step's gradient
+is one vector of a number per domain, summed over all documents; a document's
+rate follows from its shares and the list of those vectors, so steps keep no
+state per document.
 
 Classifier: softmax regression on which of `vocabulary` words a text holds
 (those whose presence tells domains apart best by chi-square) and on a few
@@ -17,14 +18,15 @@ smallest text); everything else runs over all documents.
 Whole copies: a document comes floor(rate) times, and once more where a hash
 of its id falls below the fraction, so totals meet the targets in expectation.
 
-Contract: a null text has no tokens; its shares follow from the classifier and
-its rate from them. Labels with null values count as 0. Documents may repeat
+Contract: a null text has no tokens; its shares follow from the classifier. A
+document without tokens adds to no total and keeps a rate of 1. Labels with null values count as 0. Documents may repeat
 or lack ids. Without labelled rows, all shares go to the first domain. If all
 totals are 0, rates are 1.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -37,12 +39,14 @@ from pyspark.sql import types as T
 from tessera.llm.files import frugal
 from tessera.session import stored
 
+log = logging.getLogger(__name__)
+
 DOMAINS = ("clean", "low", "toxic")
 #: Share of all tokens that each domain should get.
 TARGETS = {"clean": 0.995, "low": 0.004, "toxic": 0.001}
-#: Classifier sample and words; most steps of the fit and of the rates, and the gap at which rates stop.
+#: Classifier sample and words; steps of the fit, most passes of the rates, the relative gap at which rates stop, and the first weight of staying near rates.
 LABELLED_ROWS, VOCABULARY = 6000, 1500
-FIT_STEPS, RATE_STEPS, GAP = 400, 60, 1e-3
+FIT_STEPS, RATE_STEPS, GAP, EASE = 400, 60, 1e-3, 1e-4
 MARKS = re.compile(r"[#*$%&|<>!]")
 
 
@@ -145,37 +149,98 @@ def scored(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> D
 
 
 def rate(steps: list[list[float]], k: int) -> Column:
-    """The rate that the steps so far give a row with `shares`."""
+    """The rate that the steps so far give a row with `shares` and `n_tokens`."""
     if not steps:
         return F.lit(1.0)
     dot = lambda g: sum((F.get(F.col("shares"), F.lit(j)) * F.get(g, F.lit(j)) for j in range(k)), F.lit(0.0))
-    return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    return F.when(F.col("n_tokens") > 0, F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))).otherwise(1.0)
+
+
+def totals(rows: DataFrame, steps: list[list[float]]) -> list[float]:
+    """Expected tokens of each domain as shares of all tokens before; rows: shares, n_tokens."""
+    *now, tokens = rows.agg(*[F.sum(rate(steps, len(DOMAINS)) * F.col("n_tokens") * F.get(F.col("shares"), F.lit(j))) for j in range(len(DOMAINS))], F.sum("n_tokens")).first()
+    return [(x or 0.0) / tokens if tokens else 0.0 for x in now]
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, limit: int = RATE_STEPS, gap: float = GAP) -> list[list[float]]:
     """Vectors of the projected steps. rows: stored shares, n_tokens.
 
     The squares are of each domain's error over the root of its share of
-    tokens at rate 1; so scaled, a full step never overshoots (shares of a
-    document sum to 1), and rare domains converge as fast as common ones.
+    tokens at rate 1. A step from rates r0 is implicit: r = max(0, r0 - g.p)
+    where g is the squares' gradient at r itself, over `ease`, which falls
+    tenfold each step. Such g is the minimum of a convex, piecewise quadratic
+    function of one number per domain, found by Newton's method on the rows
+    with positive rates (their sums of p and of p p' are one pass).
+
+    It ends when each total is within `gap` of its target, relative to the
+    target, or when no rates can have squares lower by more than `gap` of
+    them: squares are convex, so the gradient at r bounds what is left to
+    gain. Otherwise, after `limit` passes, it warns. Totals are logged.
     """
     k = len(DOMAINS)
-    sums = lambda steps: rows.agg(*[F.sum(rate(steps, k) * F.col("n_tokens") * F.get(F.col("shares"), F.lit(j))) for j in range(k)], F.sum("n_tokens")).first()
+    want = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    near = gap * np.where(want > 0, want, gap)
+    p = [F.get(F.col("shares"), F.lit(j)) for j in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    tokens = rows.agg(F.sum("n_tokens")).first()[0]
+    if not tokens:
+        return []
+
+    def at(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the mean square rate, totals, and the mean p p' where rates are positive."""
+        r, n = F.col("r"), F.col("n_tokens") / float(tokens)
+        own = rows.withColumn("r", rate(steps, k))
+        on = F.when(r > 0, n).otherwise(0.0)
+        half, *more = own.agg(F.sum(n * r * r) / 2, *[F.sum(n * r * x) for x in p], *[F.sum(on * p[i] * p[j]) for i, j in pairs]).first()
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, more[k:], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return half, np.array(more[:k]), curve
+
     steps: list[list[float]] = []
-    size: list[float] = []
-    last = float("inf")
-    for _ in range(limit):
-        *now, tokens = sums(steps)
-        if not tokens:
-            return []
-        got = [(x or 0.0) / tokens for x in now]
-        size = size or [max(x, 1e-9) for x in got]
-        off = [got[j] - targets.get(DOMAINS[j], 0.0) for j in range(k)]
-        squares = sum(x * x / n for x, n in zip(off, size, strict=True))
-        if max(map(abs, off)) < gap or squares > last * (1 - 1e-2):  # met, or no longer falling
+    now = at(steps)
+    passes, ease, end = 1, EASE, "pass limit"
+    size = np.maximum(now[1], 1e-9)
+    got = now[1]
+    while passes < limit:
+        off = got - want
+        if (abs(off) <= near).all():
+            end = "targets met"
+            break
+        squares = (off * off / size).sum() / 2
+        if steps:  # the first one is always tried
+            slope = off / size
+            least = rows.filter("n_tokens > 0").agg(F.min(sum((x * float(s) for x, s in zip(p, slope, strict=True)), F.lit(0.0)))).first()[0]
+            passes += 1
+            if slope @ got - min(0.0, least) * (want.sum() + np.sqrt(2 * squares * size).sum()) <= gap * squares:
+                end = "least squares, targets out of reach"
+                break
+        g, here = np.zeros(k), now
+        while passes < limit:
+            value = here[0] + want @ g + ease / 2 * (size * g * g).sum()
+            down = want - here[1] + ease * size * g
+            if (abs(down) <= near / 4).all():
+                break
+            curve = here[2] + ease * np.diag(size)
+            scale = 1 / np.sqrt(np.diag(curve))
+            move = -scale * np.linalg.solve(curve * np.outer(scale, scale) + 1e-13 * np.eye(k), scale * down)
+            part, better = 1.0, None
+            while passes < limit:
+                ahead = g + part * move
+                better = at([*steps, ahead.tolist()])
+                passes += 1
+                if better[0] + want @ ahead + ease / 2 * (size * ahead * ahead).sum() <= value + 1e-4 * part * (down @ move) + 1e-12 * abs(value):
+                    break
+                part /= 2
+            if better is None:
+                break
+            g, here = ahead, better
+        if not g.any():
             break
-        last = squares
-        steps.append([off[j] / size[j] for j in range(k)])
+        steps.append(g.tolist())
+        now, got, ease = here, here[1], ease / 10
+    say = log.warning if end != "targets met" else log.info
+    say("rates: %s after %d passes; %s", end, passes, ", ".join(f"{d} {x:.6g} (target {t:g})" for d, x, t in zip(DOMAINS, got, want, strict=True)))
     return steps
 
 

@@ -459,6 +459,31 @@ def test_rates_meet_targets(spark):
     assert min(x["rate"] for x in got) >= 0
 
 
+def test_rates_meet_each_target_of_rare_and_soft_domains(spark):
+    r = np.random.default_rng(9)
+    kind = r.choice(3, 3000, p=[0.88, 0.08, 0.04])
+    z = r.normal(0, 1, (3000, 3)) + 4.0 * np.eye(3)[kind]
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    rows = [(int(n), [float(x) for x in q]) for n, q in zip(r.integers(1, 900, 3000), p, strict=True)]
+    df = spark.createDataFrame(rows, "n_tokens long, shares array<double>").cache()
+    for targets in ({"clean": 0.96, "low": 0.03, "toxic": 0.01}, {"clean": 0.985, "low": 0.01, "toxic": 0.005}, {"clean": 0.5, "low": 0.2, "toxic": 0.3}):
+        got = mixing.totals(df, mixing.fit_rates(df, targets))
+        for d, x in zip(mixing.DOMAINS, got, strict=True):
+            assert x == pytest.approx(targets[d], rel=2e-3)
+
+
+def test_rates_out_of_reach_are_least_squares(spark):
+    rows = [(100, [1 - 3 * a, a, 2 * a]) for a in (0.01, 0.02, 0.05, 0.2)]
+    df = spark.createDataFrame(rows, "n_tokens long, shares array<double>").cache()
+    targets = {"clean": 0.99, "low": 0.009, "toxic": 0.001}
+    steps = mixing.fit_rates(df, targets)
+    want, p = np.array([0.99, 0.009, 0.001]), np.array([q for _, q in rows])
+    squares = lambda x: (((np.array(x) - want) ** 2) / p.mean(0)).sum()
+    # the optimum lies on the ray of the row with the smallest shares, as all others are worse by each of them
+    best = min(squares(t * p[0]) for t in np.linspace(0, 2, 20001))
+    assert squares(mixing.totals(df, steps)) == pytest.approx(best, rel=3e-3)
+
+
 def test_classifier_on_held_out_rows(spark, docs):
     texts = [(k, ("vile scum rant " if k % 3 == 0 else "calm kind words ") + f"of many things w{k % 17} w{k % 23}", k % 3 == 0) for k in range(300)]
     df = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string")
