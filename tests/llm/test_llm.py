@@ -472,6 +472,10 @@ def test_rates_meet_each_target_of_rare_and_soft_domains(spark):
             assert x == pytest.approx(targets[d], rel=2e-3)
 
 
+def test_production_targets_leave_room_for_low_and_toxic():
+    assert mixing.TARGETS == {"clean": 0.96, "low": 0.03, "toxic": 0.01}  # from the purpose, not from rows that they make
+
+
 def test_rates_out_of_reach_are_least_squares(spark):
     rows = [(100, [1 - 3 * a, a, 2 * a]) for a in (0.01, 0.02, 0.05, 0.2)]
     df = spark.createDataFrame(rows, "n_tokens long, shares array<double>").cache()
