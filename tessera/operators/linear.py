@@ -110,42 +110,70 @@ def elastic_modes(points: DataFrame, k: int = 6, cutoff: float = 12.0) -> DataFr
 
 
 def delaunay(points: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Tetrahedra by incremental insertion (Bowyer and Watson), in exact integers of a thousandth."""
+    """Tetrahedra by incremental insertion (Bowyer and Watson), in exact integers of a thousandth.
+
+    Whether a point lies in a sphere is first asked of all spheres at once in
+    floats; where the sign is within their rounding, of integers.
+    """
     q = [tuple(int(v) for v in np.rint(p * 1000)) for p in points]
     far = 64 * (max((abs(v) for p in q for v in p), default=1) + 1)
     n = len(q)
     q += [(-far, -far, -far), (4 * far, -far, -far), (-far, 4 * far, -far), (-far, -far, 4 * far)]
 
-    def volume(a, b, c, d) -> int:
-        (x1, y1, z1), (x2, y2, z2), (x3, y3, z3) = (tuple(u - v for u, v in zip(q[m], q[a], strict=True)) for m in (b, c, d))
-        return x1 * (y2 * z3 - z2 * y3) - y1 * (x2 * z3 - z2 * x3) + z1 * (x2 * y3 - y2 * x3)
-
-    def inside(t, p) -> bool:
-        rows = [[u - v for u, v in zip(q[m], q[p], strict=True)] for m in t]
-        rows = [[*r, sum(v * v for v in r)] for r in rows]
-        det = 0
-        for k in range(4):
-            m = [r[:3] for j, r in enumerate(rows) if j != k]
-            minor = m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
-            det += (-1) ** (k + 1) * rows[k][3] * minor
-        return det * (1 if volume(*t) > 0 else -1) < 0
-
-    tets = {(n, n + 1, n + 2, n + 3)}
+    def cross(u, v) -> tuple[int, int, int]:
+        return u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
+
+    def form(t) -> tuple[int, int, int, int]:
+        """Of x, the offset from the first corner: m.x + v |x|^2 is negative inside the sphere. v is six volumes, 0 if flat."""
+        u = [tuple(e - f for e, f in zip(q[k], q[t[0]], strict=True)) for k in t[1:]]
+        w = [sum(e * e for e in x) for x in u]
+        c = [cross(u[1], u[2]), cross(u[2], u[0]), cross(u[0], u[1])]
+        v = sum(e * f for e, f in zip(u[0], c[0], strict=True))
+        sign = -1 if v < 0 else 1
+        return *(-sign * sum(w[j] * c[j][k] for j in range(3)) for k in range(3)), sign * v
+
+    tets: list = []
+    exact: list = []
+    free: list[int] = []
+    corner, forms = np.zeros((64, 3)), np.zeros((64, 4))
+
+    def add(t, f) -> None:
+        nonlocal corner, forms
+        if free:
+            k = free.pop()
+            tets[k], exact[k] = t, f
+        else:
+            k = len(tets)
+            tets.append(t)
+            exact.append(f)
+            if k == len(forms):
+                corner, forms = np.vstack([corner, 0 * corner]), np.vstack([forms, 0 * forms])
+        corner[k], forms[k] = q[t[0]], f
+
+    def inside(k: int, p: int) -> bool:
+        x = [e - f for e, f in zip(q[p], q[tets[k][0]], strict=True)]
+        return sum(e * f for e, f in zip(exact[k], (*x, sum(e * e for e in x)), strict=True)) < 0
+
+    add((n, n + 1, n + 2, n + 3), form((n, n + 1, n + 2, n + 3)))
     seen = set()
     for p in range(n):
         if q[p] in seen:
             continue
         seen.add(q[p])
-        bad = [t for t in tets if inside(t, p)]
+        x = np.array(q[p], float) - corner[: len(tets)]
+        terms = forms[: len(tets)] * np.column_stack([x, (x * x).sum(1)])
+        value, rounding = terms.sum(1), 1e-14 * np.abs(terms).sum(1)
+        bad = [int(k) for k in np.flatnonzero(value <= rounding) if tets[k] and (value[k] < -rounding[k] or inside(k, p))]
         faces: dict = {}
-        for t in bad:
-            for f in itertools.combinations(sorted(t), 3):
+        for k in bad:
+            for f in itertools.combinations(sorted(tets[k]), 3):
                 faces[f] = faces.get(f, 0) + 1
-        tets.difference_update(bad)
+            tets[k], forms[k] = None, 0.0
+        free += bad
         for f, times in faces.items():
-            if times == 1 and volume(*f, p):
-                tets.add((*f, p))
-    return sorted(tuple(sorted(t)) for t in tets if max(t) < n)
+            if times == 1 and (new := form((*f, p)))[3]:
+                add((*f, p), new)
+    return sorted(tuple(sorted(t)) for t in tets if t and max(t) < n)
 
 
 def sphere(a, b, c, d) -> tuple[np.ndarray, float]:
@@ -156,11 +184,11 @@ def sphere(a, b, c, d) -> tuple[np.ndarray, float]:
     return centre, float(np.linalg.norm(centre - a))
 
 
-def void_spheres(points: DataFrame, low: float, high: float, most: int = 60) -> DataFrame:
-    """Delaunay tetrahedra whose spheres have a radius in the band. Points per unit: the first `most`, which bounds the exact arithmetic."""
+def void_spheres(points: DataFrame, low: float, high: float) -> DataFrame:
+    """Delaunay tetrahedra, of all points of a unit, whose spheres have a radius in the band."""
 
     def of(key, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i").head(most)
+        p = p.sort_values("i")
         x = p[XYZ].to_numpy(float)
         rows = []
         for t in delaunay(x):

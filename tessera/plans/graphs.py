@@ -298,7 +298,7 @@ def gra32(spark, d):
 
 @query("GRA33_void_spheres")
 def gra33(spark, d):
-    return L.void_spheres(pts(spark, d), 3.0, 12.0, 30)
+    return L.void_spheres(pts(spark, d), 3.0, 12.0)
 
 
 @query("GRA34_triangular_field_solve")

@@ -87,6 +87,13 @@ def test_delaunay_spheres_are_empty():
     assert volume > 0
 
 
+def test_void_spheres_are_empty_of_all_points(spark):
+    x = np.round(rng().random((150, 3)) * 40, 3)
+    got = linear.void_spheres(spark.createDataFrame([(1, k, *map(float, p)) for k, p in enumerate(x)], "unit int, i long, px double, py double, pz double"), 3.0, 12.0).collect()
+    assert {k for r in got for k in (r.a, r.b, r.c, r.d)} > set(range(60, 150, 10))
+    assert all((np.linalg.norm(x - np.array([r.cx, r.cy, r.cz]), axis=1) >= r.radius - 1e-6).all() for r in got)
+
+
 def test_known_circumradius():
     c, r = linear.sphere(*(np.array(p, float) for p in ((1, 1, 1), (1, -1, -1), (-1, 1, -1), (-1, -1, 1))))
     assert r == pytest.approx(3**0.5) and np.allclose(c, 0)
