@@ -271,6 +271,36 @@ def test_jaccard_on_groups_of_near_copies(spark, monkeypatch):
     assert Counter(map(tuple, ngram_jaccard.jaccard_components(df, 4, 85).collect())) == plain_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("small", [1, 16])
+def test_jaccard_near_the_threshold(spark, monkeypatch, small):
+    """Families whose copies differ from their pivot and from each other by about as much as the threshold allows, with edits that recur and families within families."""
+    monkeypatch.setattr(ngram_jaccard, "RARE", 2)
+    monkeypatch.setattr(ngram_jaccard, "SMALL", small)
+    r = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+
+    def edited(own, edits):
+        out = list(own)
+        for at in r.choice(len(own), edits, replace=False):
+            out[at] = "aber" if r.random() < 0.6 else f"z{r.integers(0, 40)}"
+        return out
+
+    for base in range(3):
+        own = r.choice(words, 160).tolist()
+        for k in range(50):
+            rows.append((1000 * base + k, " ".join(edited(own, int(r.integers(1, 10))))))
+        for branch in range(4):
+            far = edited(own, 9)[: 160 - 8 * branch]
+            for k in range(12):
+                rows.append((1000 * base + 100 * branch + 500 + k, " ".join(edited(far, int(r.integers(0, 6))))))
+    line = " ".join(r.choice(words, 9).tolist())
+    rows += [(9000 + k, line + " " + " ".join(r.choice(words, int(r.integers(0, 14))).tolist())) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((4, 85), (5, 80)):
+        assert Counter(map(tuple, ngram_jaccard.jaccard_components(df, size, percent).collect())) == plain_components(rows, size, percent)
+
+
 def test_signatures_survive_any_allowed_losses():
     """Random pairs above the threshold share a signature, for all kinds of frequencies."""
     r = np.random.default_rng(2)
@@ -303,6 +333,14 @@ def test_keep_one_of_each(odd, docs):
         assert full.count() == want
 
 
+def test_one_row_of_each_component_whatever_its_id(spark):
+    a, b, c = ("one two three four five six seven", "other words that nobody else has here", "a third text of its own kind entirely")
+    rows = [(1, a, 1), (1, b, 2), (2, c, 3), (2, c, 2), (3, a, 4), (None, a, 5), (4, "", 6), (4, "", 6), (5, b, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag int")
+    want = [(1, a, 1), (1, b, 2), (2, c, 2), (None, a, 5), (4, "", 6), (4, "", 6)]
+    assert Counter(map(tuple, ngram_jaccard.keep_one_of_each(df).collect())) == Counter(want)
+
+
 def test_star_components(spark):
     r = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(200)]
