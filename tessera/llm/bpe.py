@@ -8,10 +8,13 @@ as rows of a matrix of parts and a matrix of ranks; one of more than LONG
 parts goes alone, with a heap over linked parts in place of the scan, since
 repeated scans would grow with the square of its length.
 
-The tokenizer file (JSON, read here without the tokenizers library) gives the
-vocabulary, merges, normaliser and split pattern. Words between ASCII blanks,
-and their lower-case pieces, are encoded once per worker and kept in bounded
-tables.
+The tokenizer file (JSON) gives vocabulary, merges, normaliser and split
+pattern. Plain words (letters, then marks) are cut and lower-cased here; all
+others go through the tokenizers library's own normaliser and pattern, whose
+tables of letters, blanks and lower case belong to another Unicode version than
+this Python's. Merging and decoding are done here for all. Words between ASCII
+blanks, and their lower-case pieces, are encoded once per worker and kept in
+bounded tables.
 """
 
 from __future__ import annotations
@@ -21,13 +24,13 @@ import gc
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,6 @@ from tessera.llm.files import frugal, tokenizer_path
 
 LONG, ROWS = 48, 4096
 KEPT_WORDS, BLOCK = 100_000, 500
-#: What the pattern's \s means to its own engine, as a class.
-BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -108,6 +109,8 @@ class RankArrayBPE:
     """encode(text) -> ids and decode(ids) -> text for a word-end BPE tokenizer file."""
 
     def __init__(self, path: str):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -129,9 +132,10 @@ class RankArrayBPE:
         self.inner = [vocab.get(c) for c in byte_symbols()]
         self.last = [vocab.get(c + end) for c in byte_symbols()]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern.replace("[^\\s", "[^" + BLANK))
+        self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        cut = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.cutter = pre_tokenizers.Split(Regex(cut["pattern"]["Regex"]), cut["behavior"].lower(), cut["invert"])
+        self.normalizer = Tokenizer.from_file(path).normalizer
         self.inner_ids, self.last_ids = (np.array([-1 if x is None else x for x in ids], np.int32) for ids in (self.inner, self.last))
         self.words: dict[bytes, tuple[bytes, str]] = {}
         self.short: dict[str, tuple[bytes, str]] = {}
@@ -212,7 +216,7 @@ class RankArrayBPE:
             if k % 2:
                 out.append(self.special[part])
             elif part:
-                out += self.pieces.findall("".join(c.lower() for c in unicodedata.normalize("NFC", part)))
+                out += [p for p, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return out
 
     def learn(self, new: list[bytes]) -> None:

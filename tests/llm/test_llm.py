@@ -412,6 +412,25 @@ def test_bpe_equals_library(odd, docs):
     assert bpe.bpe_digests(empty(odd), "word_bpe_49k.json").count() == 0
 
 
+def test_every_code_point_equals_library():
+    """All assigned and unassigned code points, within a word, before and after one, and beside marks that combine."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own, table_ = bpe.loaded("word_bpe_49k.json"), word_ids.loaded("word_bpe_49k.json")
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = []
+    for at in range(0, len(points), 2000):
+        part = points[at : at + 2000]
+        texts.append("\n".join(f"a{c}b" for c in part))
+        texts.append(" ".join(f"{c}A {c}\u0301. 7{c}" for c in part[:: 1 if at < 0x30000 else 10]))
+    want = [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    for text, ids, mine, raw in zip(texts, want, table_.encode(texts), own.encode_bytes(texts), strict=True):
+        assert raw[0] == struct.pack(f"<{len(ids)}I", *ids), hex(ord(text[1]))
+        assert " ".join(raw[1]) == model.decode(ids, skip_special_tokens=False)
+        assert mine.tolist() == ids, hex(ord(text[1]))
+
+
 def test_bpe_rows_scan_and_heap_agree():
     b = bpe.loaded("word_bpe_49k.json")
     r = np.random.default_rng(0)
