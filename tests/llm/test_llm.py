@@ -499,6 +499,46 @@ def test_licenses_with_edits_and_at_any_place(spark):
     assert got == {**{k: "MIT" for k in range(9)}, 20: "MIT", 21: "", 22: "MIT"}
 
 
+def test_each_notice_alone_first_last_and_within(spark):
+    """Retrieval is certain for whole notices, wherever they stand and whatever stands beside them."""
+    notices = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    assert len(notices) >= 100
+    r, rows = np.random.default_rng(3), []
+    for k, (_, t) in enumerate(notices):
+        filler = lambda: " ".join(f"w{x}" for x in r.integers(0, 10**6, int(r.integers(1, 9))))
+        rows += [(10 * k + j, x) for j, x in enumerate([t, f"{t}\n{filler()}", f"{filler()}\n{t}", f"{filler()} {t} {filler()}", f"{filler()} {t.upper()}", f"{filler()} {t} {filler()} {t}"])]
+    got = {x["doc_id"]: x for x in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, _ in rows:
+        assert notices[doc // 10][0] in got[doc]["licenses"].split(",") and got[doc]["best_percent"] == 100.0
+
+
+@pytest.mark.parametrize("percent", [80, 90, 60])
+def test_licenses_with_words_changed_equal_plain_containment(spark, percent):
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [licenses.plain_words(t)] for k in range(len(w) - 4)}
+    notices = [(name, grams(t), t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    r, rows = np.random.default_rng(7), []
+    for k in range(400):
+        w = notices[int(r.integers(len(notices)))][2].split()
+        for _ in range(int(r.integers(0, 3))):
+            at = int(r.integers(len(w)))
+            w[at : at + int(r.integers(0, 2))] = [f"x{r.integers(99)}"] * int(r.integers(0, 2))
+        cut = int(r.integers(0, len(w) + 1)) if k % 4 == 0 else 0
+        rows.append((k, " ".join(w[cut:] + ["and", "more"] + w[:cut])))
+    got = {x["doc_id"]: (x["licenses"], round(x["best_percent"], 6)) for x in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    for doc, text in rows:
+        own = grams(text)
+        share = [(name, 100 * len(g & own) / len(g)) for name, g, _ in notices]
+        good = [(name, x) for name, x in share if x >= percent]
+        assert got[doc] == (",".join(sorted({n for n, _ in good})), round(max((x for _, x in good), default=0.0), 6)), text
+
+
+def test_licenses_of_odd_rows(spark):
+    rows = [(1, None, 9), (1, "", 9), (None, "Released under the MIT License.", 9), (2, "x " * 5000 + "Released under the MIT License.", 9), (2, "Released under the MIT License.", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("g", F.lit("c")).withColumn("band", F.lit(1)).withColumn("number", F.lit(1))
+    got = Counter((x["doc_id"], x["licenses"], x["n_licenses"], x["best_percent"]) for x in licenses.license_report(df).collect())
+    assert got == Counter([(1, "", 0, 0.0), (1, "", 0, 0.0), (None, "MIT", 1, 100.0), (2, "MIT", 1, 100.0), (2, "MIT", 1, 100.0)])
+
+
 # 10 mixing
 
 
