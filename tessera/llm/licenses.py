@@ -36,7 +36,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -173,20 +172,16 @@ def shingles(text: Column) -> Column:
 
 
 def bands(g: Column, seeds: list[int]) -> Column:
-    """All windows' MinHashes, each marked by its band, and all shingles, marked as windows of one."""
-    # the low bits of a hash say little about its order: they carry the band
-    marked = lambda x, k: F.transform(x, lambda v: v.bitwiseAND(F.lit(~7)).bitwiseOR(F.lit(k)))
+    """All windows' MinHashes; none for fewer shingles than a window. Seeds keep the bands' values apart."""
 
-    def of_band(k: int) -> Column:
-        seed = F.lit(seeds[k])
+    def of_band(seed: int) -> Column:
         n = F.size(g)
         two = lambda x: _zip(x, 1, n - 1, lambda a, b: F.least(a, b))
         window = lambda x: _zip(x, 2, n - 3, lambda a, b: F.least(a, b))
-        return marked(let(let(F.transform(g, lambda x: x.bitwiseXOR(seed)), two), window), k)
+        return let(let(F.transform(g, lambda x: x.bitwiseXOR(F.lit(seed))), two), window)
 
     none = F.array().cast("array<bigint>")
-    wide = F.when(F.size(g) >= WINDOW, reduce(lambda a, b: F.concat(a, b), [of_band(k) for k in range(BANDS)])).otherwise(none)
-    return F.concat(marked(g, 7), wide)
+    return F.when(F.size(g) >= WINDOW, F.concat(*[of_band(x) for x in seeds])).otherwise(none)
 
 
 def least_size(percent: int) -> int:
@@ -211,25 +206,22 @@ def template_rows(spark: SparkSession, templates: dict[str, list[str]], seeds: l
     least = least_size(percent)
     for r in rows:
         m = len(r["shingles"])
-        if m >= least:
-            r["bands"] = [x for x in r["bands"] if x & 7 != 7]
-        else:
-            some = sorted(r["shingles"], key=lambda x: (held[x], x))[: m - -(-percent * m // 100) + 1]
-            r["bands"] = [x & ~7 | 7 for x in some]
+        if m < least:  # windows of one shingle
+            r["bands"] = sorted(r["shingles"], key=lambda x: (held[x], x))[: m - -(-percent * m // 100) + 1]
     return rows
 
 
 def bloom(values: list[int]) -> list[int]:
     bits = np.zeros(64 * BLOOM, np.uint8)
     for v in values:
-        for shift in (3, 23):
+        for shift in (0, 20):
             bits[v >> shift & (64 * BLOOM - 1)] = 1
     return np.packbits(bits, bitorder="little").view("<i8").tolist()
 
 
 def _passes(v: Column, bits: Column) -> Column:
     probe = lambda shift: F.getbit(F.get(bits, F.shiftright(v, shift + 6).bitwiseAND(F.lit(BLOOM - 1)).cast("int")), F.shiftright(v, shift).bitwiseAND(F.lit(63)).cast("int")) == 1
-    return probe(3) & probe(23)
+    return probe(0) & probe(20)
 
 
 def seeds_for(seed: int) -> list[int]:
@@ -245,7 +237,7 @@ def license_report(docs: DataFrame, percent: int = 80, templates: dict[str, list
     # one literal of fixed size, whatever the templates
     bits = F.split(F.lit(",".join(map(str, bloom([b for r in known for b in r["bands"]])))), ",").cast("array<bigint>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingles(F.coalesce(F.col(text_col), F.lit(""))).alias("g"))
-    hits = rows.select("doc_id", "row", let(F.col("g"), lambda g: F.struct(g.alias("g"), F.array_distinct(F.filter(bands(g, seeds), lambda v: _passes(v, bits))).alias("b"))).alias("h"))
+    hits = rows.select("doc_id", "row", let(F.col("g"), lambda g: F.struct(g.alias("g"), F.array_distinct(F.filter(F.concat(g, bands(g, seeds)), lambda v: _passes(v, bits))).alias("b"))).alias("h"))
     hit = F.size("h.b") > 0
     one = hits.select("doc_id", "row", F.when(hit, F.col("h.g")).alias("g"), F.explode_outer("h.b").alias("band"))
     found = one.join(wanted, "band", "left").join(of_number, "number", "left")
