@@ -42,10 +42,10 @@ from tessera.session import shared_dir
 
 BLANKS = b" \t\n\x0b\x0c\r"
 NO_ID = (1 << 63) - 1
-#: Distinct repeated lines a shard should hold, and bytes of shards a worker keeps.
-SHARD_KEYS, KEPT_BYTES = 400_000, 128 << 20
+#: Distinct repeated lines a shard should hold, bytes of shards a worker keeps, and bytes of batches that are probed together.
+SHARD_KEYS, KEPT_BYTES, BLOCK_BYTES = 400_000, 128 << 20, 48 << 20
 GAMMA = 2.0
-MAGIC = b"TMPHLIN1"
+MAGIC = b"TMPHLIN2"
 OUT = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"
 
 
@@ -124,27 +124,32 @@ class PerfectHash:
 
 
 class Shard:
-    """A perfect hash with its fingerprint, count and holder arrays."""
+    """A perfect hash with its fingerprint, count and holder arrays.
 
-    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray, holders: np.ndarray):
-        self.mph, self.prints, self.counts, self.holders = mph, prints, counts, holders
-        self.size = 8 * (sum(map(len, mph.bits)) * 2 + len(mph.rest)) + 20 * mph.n
+    Of lines that share their first hash, one is in the arrays; the others, if
+    there are any, are rows of `more`: both hashes, count, holder.
+    """
+
+    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray, holders: np.ndarray, more: np.ndarray):
+        self.mph, self.prints, self.counts, self.holders, self.more = mph, prints, counts, holders, more
+        self.size = 8 * (sum(map(len, mph.bits)) * 2 + len(mph.rest)) + 20 * mph.n + more.nbytes
 
     @classmethod
     def build(cls, one: np.ndarray, two: np.ndarray, counts: np.ndarray, holders: np.ndarray) -> Shard:
         keys, at = np.unique(one, return_index=True)
-        if len(keys) != len(one):
-            raise ValueError("two distinct lines share their first 64 bits within a shard")
+        counts, holders = np.minimum(counts, 0xFFFFFFFF).astype(np.uint64), np.asarray(holders, np.int64)
+        clash = np.delete(np.arange(len(one)), at)
+        more = np.stack([one[clash], two[clash], counts[clash], holders[clash].view(np.uint64)], 1)
         mph = PerfectHash.build(keys)
-        where = mph.places(one)
-        out = cls(mph, np.empty(mph.n, np.uint64), np.empty(mph.n, np.uint32), np.empty(mph.n, np.int64))
-        out.prints[where], out.counts[where], out.holders[where] = two, np.minimum(counts, 0xFFFFFFFF), holders
+        where = mph.places(keys)
+        out = cls(mph, np.empty(mph.n, np.uint64), np.empty(mph.n, np.uint32), np.empty(mph.n, np.int64), more)
+        out.prints[where], out.counts[where], out.holders[where] = two[at], counts[at], holders[at]
         return out
 
     def dump(self) -> bytes:
         m = self.mph
-        head = np.array([m.n, len(m.rest), len(m.sizes), *m.sizes], "<i8")
-        return b"".join([MAGIC, struct.pack("<q", len(head)), head.tobytes(), *(b.astype("<u8").tobytes() for b in m.bits), m.rest.astype("<u8").tobytes(), self.prints.astype("<u8").tobytes(), self.holders.astype("<i8").tobytes(), self.counts.astype("<u4").tobytes()])
+        head = np.array([m.n, len(m.rest), len(self.more), *m.sizes], "<i8")
+        return b"".join([MAGIC, struct.pack("<q", len(head)), head.tobytes(), *(b.astype("<u8").tobytes() for b in m.bits), m.rest.astype("<u8").tobytes(), self.prints.astype("<u8").tobytes(), self.holders.astype("<i8").tobytes(), self.more.astype("<u8").tobytes(), self.counts.astype("<u4").tobytes()])
 
     @classmethod
     def load(cls, data: bytes) -> Shard:
@@ -162,8 +167,8 @@ class Shard:
 
         bits = [take("<u8", s // 64) for s in head[3:]]
         mph = PerfectHash(head[3:], bits, take("<u8", head[1]))
-        prints, holders = take("<u8", head[0]), take("<i8", head[0])
-        return cls(mph, prints, take("<u4", head[0]), holders)
+        prints, holders, more = take("<u8", head[0]), take("<i8", head[0]), take("<u8", 4 * head[2]).reshape(-1, 4)
+        return cls(mph, prints, take("<u4", head[0]), holders, more)
 
     def probe(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts (0: not here) and holders."""
@@ -172,6 +177,9 @@ class Shard:
         known[known] = self.prints[at[known]] == two[known]
         counts, holders = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
         counts[known], holders[known] = self.counts[at[known]], self.holders[at[known]]
+        for row in self.more:
+            same = (one == row[0]) & (two == row[1])
+            counts[same], holders[same] = int(row[2]), int(row[3:].view(np.int64)[0])
         return counts, holders
 
 
@@ -253,10 +261,23 @@ def _kept(index: Index, ids: list, docs: list[str], min_chars: int) -> tuple[lis
     return kept, dropped
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to blocks of about BLOCK_BYTES: a block asks each shard once."""
+    wait, size = [], 0
+    for b in batches:
+        wait.append(b)
+        size += b.nbytes
+        if size > BLOCK_BYTES:
+            yield pa.concat_batches(wait)
+            wait, size = [], 0
+    if wait:
+        yield pa.concat_batches(wait)
+
+
 def _drop(folder: str, shards: int, present: frozenset[int], min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(folder, shards, present)
-        for b in batches:
+        for b in _blocks(batches):
             docs = b.column("text").to_pylist()
             kept, dropped = _kept(index, b.column("doc_id").to_pylist(), docs, min_chars)
             sha = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
@@ -268,7 +289,7 @@ def _drop(folder: str, shards: int, present: frozenset[int], min_chars: int):
 def _rewrite(folder: str, shards: int, present: frozenset[int], min_chars: int, id_at: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(folder, shards, present)
-        for b in batches:
+        for b in _blocks(batches):
             kept, dropped = _kept(index, b.column(id_at).to_pylist(), [x or "" for x in b.column(text_at).to_pylist()], min_chars)
             columns = list(b.columns)
             columns[text_at] = pa.array([k if d else None if x is None else k for k, d, x in zip(kept, dropped, columns[text_at].to_pylist(), strict=True)], columns[text_at].type)
@@ -306,11 +327,13 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.mapInArrow(frugal(_drop(*built)), OUT)
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, folder: str | None = None) -> DataFrame:
-    """docs with the lines that stay as text, all other columns as they are, and n_dropped_lines."""
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, folder: str | None = None, count_col: str = "n_dropped_lines") -> DataFrame:
+    """docs with the lines that stay as text, all other columns as they are, and the number of lines dropped in count_col, a name that docs hasn't."""
+    if count_col in docs.columns:
+        raise ValueError(f"docs has a column {count_col}; name another for the count")
     _, built = _index(docs, id_col, text_col, min_chars, folder)
     names = docs.columns
     numbered = docs.select(*[(F.col(f"`{c}`").cast("long") if c == id_col else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(names)])
     schema = T.StructType([*numbered.schema.fields, T.StructField("n_dropped", T.LongType())])
     out = numbered.mapInArrow(frugal(_rewrite(*built, names.index(id_col), names.index(text_col))), schema)
-    return out.select(*[F.col(f"c{k}").cast(docs.schema[k].dataType).alias(c) for k, c in enumerate(names)], F.col("n_dropped").alias("n_dropped_lines"))
+    return out.select(*[F.col(f"c{k}").cast(docs.schema[k].dataType).alias(c) for k, c in enumerate(names)], F.col("n_dropped").alias(count_col))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import files
 from tessera.llm.files import frugal
-from tessera.session import shared_dir
+from tessera.session import shared_dir, stored
 
 SKIPPABLE = 0x184D2A5D
 #: The dictionary is trained on at most so many payload bytes, taken from at most so many rows.
@@ -165,17 +165,31 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 1000, level: int = 3) -> DataFrame:
     """Writes archives below folder and returns their list: file, n_records, n_bytes.
 
-    Payload digests shrink to one row each before the shuffle (partial
-    aggregation); only digests that occur twice are joined back, and payloads
-    that turn out to be revisits leave their text behind before it is written.
+    Digests shrink to one row each before the shuffle (partial aggregation).
+    Those that occur twice are written, so that the planner brings them to the
+    payloads while they are few; payloads that turn out to be revisits leave
+    their text behind before it is written. Nothing depends on rows' numbers:
+    rows with one id and payload are counted by url, and come out as so many records.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha1(payload.cast("binary")).alias("sha1"), F.monotonically_increasing_id().alias("row"))
-    best = F.max(F.struct(F.col("page_id"), F.col("row"))).alias("best")
-    repeated = rows.filter(F.col("size") >= min_revisit).groupBy("sha1", "size").agg(best, F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sha1").alias("r_sha1"), F.col("size").alias("r_size"), "best")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha1(payload.cast("binary")).alias("sha1"))
+    by_id = rows.filter(F.col("size") >= min_revisit).groupBy("sha1", "size", "page_id").agg(F.count(F.lit(1)).alias("c"))
+    by_digest = by_id.groupBy("sha1", "size").agg(F.max(F.struct("page_id", "c")).alias("best"), F.sum("c").alias("n")).filter("n > 1")
+    repeated = stored(by_digest.select(F.col("sha1").alias("r_sha1"), F.col("size").alias("r_size"), F.col("best.page_id").alias("best"), F.col("best.c").alias("ties")), "payload-digests")
     joined = rows.join(repeated, (F.col("sha1") == F.col("r_sha1")) & (F.col("size") == F.col("r_size")), "left")
-    revisit = F.coalesce(F.col("best").isNotNull() & (F.col("best.row") != F.col("row")), F.lit(False))
-    marked = joined.select("page_id", "url", F.when(revisit, "").otherwise(F.col("payload")).alias("payload"), "size", "sha1", F.when(revisit, F.col("best.page_id")).alias("refers_to"), revisit.alias("revisit"))
+    at_best = F.col("page_id").eqNullSafe(F.col("best"))
+    revisit = F.col("ties").isNotNull() & ~at_best
+    columns = ["page_id", "url", "payload", "size", "sha1", "refers_to", "revisit"]
+    marked = joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("best"))).withColumn("payload", F.when(revisit, "").otherwise(F.col("payload")))
+    if not repeated.filter("ties > 1").isEmpty():
+        tied = F.col("ties").isNotNull() & (F.col("ties") > 1) & at_best
+        alike = joined.filter(tied).groupBy("page_id", "sha1", "size", "url").agg(F.count(F.lit(1)).alias("c"), F.min("payload").alias("payload"))
+        first = joined.filter(tied).groupBy(F.col("page_id").alias("f_id"), F.col("sha1").alias("f_sha1"), F.col("size").alias("f_size")).agg(F.min(F.struct("url")).alias("f"))
+        copies = alike.join(first, F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("sha1") == F.col("f_sha1")) & (F.col("size") == F.col("f_size"))).withColumn("copy", F.explode(F.expr("sequence(1L, c)")))
+        again = (F.col("copy") > 1) | ~F.col("url").eqNullSafe(F.col("f.url"))
+        copies = copies.withColumn("revisit", again).withColumn("refers_to", F.when(again, F.col("page_id"))).withColumn("payload", F.when(again, "").otherwise(F.col("payload")))
+        marked = marked.filter(~tied).select(columns).unionByName(copies.select(columns))
+    marked = marked.select(columns)
     marked.mapInArrow(frugal(_write(folder, trained(pages, payload_col), level)), PARTS).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(PARTS).parquet(f"{folder}/manifest")
 

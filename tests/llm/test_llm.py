@@ -213,6 +213,25 @@ def test_perfect_hash():
     assert not s.probe(keys + np.uint64(1), keys)[0].any()
 
 
+def test_lines_that_share_their_first_hash(spark, docs, monkeypatch):
+    """All hashes end in few values: the second one tells lines apart, in the arrays and beside them."""
+    r = np.random.default_rng(5)
+    one, two = r.integers(0, 5, 900).astype(np.uint64) << np.uint64(60), np.arange(900).astype(np.uint64)
+    s = line_dedup.Shard.load(line_dedup.Shard.build(one, two, np.arange(900) + 2, np.arange(900) - 450).dump())
+    counts, holders = s.probe(one, two)
+    assert (counts == np.arange(900) + 2).all() and (holders == np.arange(900) - 450).all()
+    assert not s.probe(one, two + np.uint64(900))[0].any()
+
+
+def test_line_dedup_in_small_blocks(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", 1)
+    assert Counter(r["n_dropped"] for r in line_dedup.line_report(docs).collect()) == Counter(k for _, _, k, _ in plain_lines(pairs(docs)))
+    named = docs.withColumn("n_dropped_lines", F.lit("x"))
+    with pytest.raises(ValueError):
+        line_dedup.drop_repeated_lines(named)
+    assert line_dedup.drop_repeated_lines(named, count_col="n").columns == [*named.columns, "n"]
+
+
 # 5 Jaccard join
 
 
@@ -373,6 +392,24 @@ def test_archives(spark):
     assert warc.archive_report(empty(pages)).count() == 0
 
 
+def test_archives_of_shuffled_rows_with_shared_ids(spark):
+    """One response for each large payload, whatever the order and number of partitions; a very long payload comes back whole."""
+    r = np.random.default_rng(1)
+    texts = ["a" * 1000, "b" * 4000, "c" * 999, "d" * 3_000_000]
+    rows = [(int(i), f"http://{u}" if u else None, texts[int(k)]) for i, u, k in r.integers(0, [4, 3, 4], (60, 3))]
+    got = warc.archive_report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7, F.rand())).collect()
+    digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert Counter((x["page_id"], x["url"], x["payload_digest"]) for x in got) == Counter((i, u, digest(t)) for i, u, t in rows)
+    for t in texts:
+        own = [x for x in got if x["payload_digest"] == digest(t)]
+        if len(t) < 1000:
+            assert {x["record_type"] for x in own} == {"response"}
+        else:
+            best = max(x["page_id"] for x in own)
+            assert [x["page_id"] for x in own if x["record_type"] == "response"] == [best]
+            assert {x["refers_to"] for x in own if x["record_type"] == "revisit"} == {best}
+
+
 def test_archive_reader_refuses_damage():
     import zstandard
 
