@@ -1,19 +1,24 @@
 """Mixing documents to target weights of soft domains.
 
 A classifier fitted on labelled rows gives each document posterior shares of
-the domains. Rates, one per document and never negative, are then fitted so
-that the expected tokens of each domain, the sum of rate * tokens * share,
-meet its target: projected-gradient least squares from rates of 1, in the
-metric weighted by tokens, by implicit steps (see fit_rates). A step's gradient
-is one vector of a number per domain, summed over all documents; a document's
-rate follows from its shares and the list of those vectors, so steps keep no
-state per document.
+the domains. Rates, one per document, are then fitted so that the expected
+tokens of each domain, the sum of rate * tokens * share, meet its target:
+least squares of the totals' errors relative to their targets, over rates from
+0 to MOST_COPIES, by projected-gradient steps that are implicit (see fit_rates).
+A step's gradient is one vector of a number per domain, summed over all
+documents; a document's rate follows from its shares and the list of those
+vectors, so steps keep no state per document. Tokens are words between blanks.
+
+Targets may be out of reach, as where a domain is nearly absent and its
+documents may come MOST_COPIES times only. Then rates stay near 1 for documents
+that can't help: a step weighs squares against distance from the rates before
+it, by EASE, and a further step is taken only if it halves the largest error.
 
 Classifier: softmax regression on which of `vocabulary` words a text holds
 (those whose presence tells domains apart best by chi-square) and on a few
 shares of characters and words. It is fitted on at most `labelled_rows` labelled
 documents, those with the smallest hashes of their ids (of rows that share an id, the
-smallest text); everything else runs over all documents.
+smallest text; of an id's labels, the worst domain); everything else runs over all documents.
 
 Whole copies: a document comes floor(rate) times, and once more where a hash
 of its id falls below the fraction, so totals meet the targets in expectation.
@@ -27,6 +32,7 @@ totals are 0, rates are 1.
 from __future__ import annotations
 
 import logging
+import math
 import re
 from collections.abc import Iterator
 
@@ -44,9 +50,14 @@ log = logging.getLogger(__name__)
 DOMAINS = ("clean", "low", "toxic")
 #: Share of all tokens that each domain should get.
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
-#: Classifier sample and words; steps of the fit, most passes of the rates, the relative gap at which rates stop, and the first weight of staying near rates.
+#: Classifier sample and words.
 LABELLED_ROWS, VOCABULARY = 6000, 1500
-FIT_STEPS, RATE_STEPS, GAP, EASE = 400, 60, 1e-3, 1e-4
+#: Classifier's steps; most passes of the fit, and the relative error at which it ends.
+FIT_STEPS, RATE_STEPS, GAP = 400, 60, 1e-3
+#: A document's highest rate: repeats beyond four add little to what a model learns (published scaling results on repeated data).
+MOST_COPIES = 4.0
+#: Weight of staying near the rates before the first step, against relative squares.
+EASE = 0.1
 MARKS = re.compile(r"[#*$%&|<>!]")
 
 
@@ -89,7 +100,7 @@ class Classifier:
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Softmax regression, by accelerated gradient steps on the bounded sample."""
-    chosen = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), domain_of().alias("y")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(labelled_rows)
+    chosen = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), domain_of().alias("y")).groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(labelled_rows)
     sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))  # labelled_rows rows at most
     sample = stored(sample.withColumn("words", F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[.,;:!?]+|[.,;:!?]+$", "")))), "labelled")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -148,121 +159,119 @@ def scored(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> D
     return numbered.mapInArrow(frugal(_scored(classifier, docs.columns.index(text_col))), schema)
 
 
-def rate(steps: list[list[float]], k: int) -> Column:
+def _dot(g: Column, k: int) -> Column:
+    return sum((F.get(F.col("shares"), F.lit(j)) * F.get(g, F.lit(j)) for j in range(k)), F.lit(0.0))
+
+
+def rate(steps: list[list[float]], k: int, most: float = math.inf) -> Column:
     """The rate that the steps so far give a row with `shares` and `n_tokens`."""
     if not steps:
         return F.lit(1.0)
-    dot = lambda g: sum((F.get(F.col("shares"), F.lit(j)) * F.get(g, F.lit(j)) for j in range(k)), F.lit(0.0))
-    return F.when(F.col("n_tokens") > 0, F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))).otherwise(1.0)
+    all_steps = F.array(*[F.array(*map(F.lit, g)) for g in steps])
+    return F.when(F.col("n_tokens") > 0, F.aggregate(all_steps, F.lit(1.0), lambda r, g: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - _dot(g, k))))).otherwise(1.0)
 
 
-def totals(rows: DataFrame, steps: list[list[float]]) -> list[float]:
+def totals(rows: DataFrame, steps: list[list[float]], most: float = math.inf) -> list[float]:
     """Expected tokens of each domain as shares of all tokens before; rows: shares, n_tokens."""
-    *now, tokens = rows.agg(*[F.sum(rate(steps, len(DOMAINS)) * F.col("n_tokens") * F.get(F.col("shares"), F.lit(j))) for j in range(len(DOMAINS))], F.sum("n_tokens")).first()
+    *now, tokens = rows.agg(*[F.sum(rate(steps, len(DOMAINS), most) * F.col("n_tokens") * F.get(F.col("shares"), F.lit(j))) for j in range(len(DOMAINS))], F.sum("n_tokens")).first()
     return [(x or 0.0) / tokens if tokens else 0.0 for x in now]
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, limit: int = RATE_STEPS, gap: float = GAP) -> list[list[float]]:
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, limit: int = RATE_STEPS, gap: float = GAP, most: float = math.inf, ease: float = EASE) -> list[list[float]]:
     """Vectors of the projected steps. rows: stored shares, n_tokens.
 
-    The squares are of each domain's error over the root of its share of
-    tokens at rate 1. A step from rates r0 is implicit: r = max(0, r0 - g.p)
-    where g is the squares' gradient at r itself, over `ease`, which falls
-    tenfold each step. Such g is the minimum of a convex, piecewise quadratic
-    function of one number per domain, found by Newton's method on the rows
-    with positive rates (their sums of p and of p p' are one pass).
-
-    It ends when each total is within `gap` of its target, relative to the
-    target, or when no rates can have squares lower by more than `gap` of
-    them: squares are convex, so the gradient at r bounds what is left to
-    gain. Otherwise, after `limit` passes, it warns. Totals are logged.
+    A step from rates r0 is implicit: r is r0 - g.p brought into 0 .. most,
+    where g is the gradient of the relative squares at r itself, over `ease`, which falls tenfold each step.
+    That r is the least of squares + ease / 2 * (mean of (r - r0)^2 by tokens).
+    Such g is the minimum of a convex function of one number per domain, found
+    by Newton's method: its value, gradient and curvature are one pass of sums
+    over the rows, the curvature over those with rates within the bounds.
+
+    The fit ends when each total is within `gap` of its target, relative to the
+    target, or when a further step doesn't halve the largest relative error (that
+    step is dropped), or after `limit` passes. Totals are logged beside their
+    targets, as a warning where these are missed.
     """
     k = len(DOMAINS)
     want = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    near = gap * np.where(want > 0, want, gap)
+    unit = np.maximum(want, gap)
     p = [F.get(F.col("shares"), F.lit(j)) for j in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     tokens = rows.agg(F.sum("n_tokens")).first()[0]
     if not tokens:
         return []
 
-    def at(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
-        """Half the mean square rate, totals, and the mean p p' where rates are positive."""
-        r, n = F.col("r"), F.col("n_tokens") / float(tokens)
-        own = rows.withColumn("r", rate(steps, k))
-        on = F.when(r > 0, n).otherwise(0.0)
-        half, *more = own.agg(F.sum(n * r * r) / 2, *[F.sum(n * r * x) for x in p], *[F.sum(on * p[i] * p[j]) for i, j in pairs]).first()
+    def at(steps: list[list[float]], g: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Of a step g after `steps`: the convex function's sum over rows, totals, and the mean p p' where rates are within the bounds."""
+        free, r, n = F.col("free"), F.col("r"), F.col("n_tokens") / float(tokens)
+        own = rows.filter("n_tokens > 0").withColumn("free", rate(steps, k, most) - _dot(F.array(*map(F.lit, g.tolist())), k)).withColumn("r", F.least(F.lit(float(most)), F.greatest(F.lit(0.0), free)))
+        on = F.when((free > 0) & (free < most), n).otherwise(0.0)
+        value, *more = own.agg(F.sum(n * (r * free - r * r / 2)), *[F.sum(n * r * x) for x in p], *[F.sum(on * p[i] * p[j]) for i, j in pairs]).first()
         curve = np.zeros((k, k))
         for (i, j), x in zip(pairs, more[k:], strict=True):
             curve[i, j] = curve[j, i] = x
-        return half, np.array(more[:k]), curve
+        return value, np.array(more[:k]), curve
 
     steps: list[list[float]] = []
-    now = at(steps)
-    passes, ease, end = 1, EASE, "pass limit"
-    size = np.maximum(now[1], 1e-9)
-    got = now[1]
+    here = at(steps, np.zeros(k))
+    got, passes, end = here[1], 1, "pass limit"
+    error = abs(got - want) / unit
     while passes < limit:
-        off = got - want
-        if (abs(off) <= near).all():
+        if error.max() <= gap:
             end = "targets met"
             break
-        squares = (off * off / size).sum() / 2
-        if steps:  # the first one is always tried
-            slope = off / size
-            least = rows.filter("n_tokens > 0").agg(F.min(sum((x * float(s) for x, s in zip(p, slope, strict=True)), F.lit(0.0)))).first()[0]
-            passes += 1
-            if slope @ got - min(0.0, least) * (want.sum() + np.sqrt(2 * squares * size).sum()) <= gap * squares:
-                end = "least squares, targets out of reach"
-                break
-        g, here = np.zeros(k), now
+        g = np.zeros(k)
         while passes < limit:
-            value = here[0] + want @ g + ease / 2 * (size * g * g).sum()
-            down = want - here[1] + ease * size * g
-            if (abs(down) <= near / 4).all():
+            value = here[0] + want @ g + ease / 2 * (unit * unit * g * g).sum()
+            down = want - here[1] + ease * unit * unit * g
+            if (abs(down) <= gap / 10 * unit).all():
                 break
-            curve = here[2] + ease * np.diag(size)
+            curve = here[2] + ease * np.diag(unit * unit)
             scale = 1 / np.sqrt(np.diag(curve))
             move = -scale * np.linalg.solve(curve * np.outer(scale, scale) + 1e-13 * np.eye(k), scale * down)
             part, better = 1.0, None
             while passes < limit:
                 ahead = g + part * move
-                better = at([*steps, ahead.tolist()])
+                better = at(steps, ahead)
                 passes += 1
-                if better[0] + want @ ahead + ease / 2 * (size * ahead * ahead).sum() <= value + 1e-4 * part * (down @ move) + 1e-12 * abs(value):
+                if better[0] + want @ ahead + ease / 2 * (unit * unit * ahead * ahead).sum() <= value + 1e-4 * part * (down @ move) + 1e-12 * abs(value):
                     break
                 part /= 2
             if better is None:
                 break
             g, here = ahead, better
-        if not g.any():
+        after = abs(here[1] - want) / unit
+        if steps and after.max() > error.max() / 2:
+            end = "targets out of reach"
             break
         steps.append(g.tolist())
-        now, got, ease = here, here[1], ease / 10
+        got, error, ease = here[1], after, ease / 10
+        here = at(steps, np.zeros(k))
+        passes += 1
     say = log.warning if end != "targets met" else log.info
     say("rates: %s after %d passes; %s", end, passes, ", ".join(f"{d} {x:.6g} (target {t:g})" for d, x, t in zip(DOMAINS, got, want, strict=True)))
     return steps
 
 
-def copies(steps: list[list[float]], key: Column, k: int = len(DOMAINS)) -> Column:
-    r = rate(steps, k)
+def copies(steps: list[list[float]], key: Column, k: int = len(DOMAINS), most: float = math.inf) -> Column:
+    r = rate(steps, k, most)
     u = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
     return (F.floor(r) + F.when(u < r - F.floor(r), 1).otherwise(0)).cast("int")
 
 
-def mixing_report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixing_report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", most: float = MOST_COPIES) -> DataFrame:
     """doc_id, n_tokens, a share per domain, rate, copies; one row per input row."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     classifier = fit_classifier(own, labels.withColumnRenamed(id_col, "doc_id"))
     rows = stored(scored(own, classifier).select(F.col("c0").alias("doc_id"), "n_tokens", "shares"), "shares")
-    steps = fit_rates(rows, targets)
-    return rows.select("doc_id", "n_tokens", *[F.get("shares", F.lit(j)).alias(f"share_{d}") for j, d in enumerate(DOMAINS)], rate(steps, len(DOMAINS)).alias("rate"), copies(steps, F.col("doc_id")).alias("copies"))
+    steps = fit_rates(rows, targets, most=most)
+    return rows.select("doc_id", "n_tokens", *[F.get("shares", F.lit(j)).alias(f"share_{d}") for j, d in enumerate(DOMAINS)], rate(steps, len(DOMAINS), most).alias("rate"), copies(steps, F.col("doc_id"), most=most).alias("copies"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", most: float = MOST_COPIES) -> DataFrame:
     """The rows of docs, each as often as its rate says; columns as they are."""
     classifier = fit_classifier(docs, labels, id_col=id_col, text_col=text_col)
-    steps = fit_rates(stored(scored(docs.select(text_col), classifier, text_col).select("shares", "n_tokens"), "shares"), targets)
-    out = scored(docs, classifier, text_col).withColumn("n", copies(steps, F.col(f"c{docs.columns.index(id_col)}"))).filter("n > 0")
+    steps = fit_rates(stored(scored(docs.select(text_col), classifier, text_col).select("shares", "n_tokens"), "shares"), targets, most=most)
+    out = scored(docs, classifier, text_col).withColumn("n", copies(steps, F.col(f"c{docs.columns.index(id_col)}"), most=most)).filter("n > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

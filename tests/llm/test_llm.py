@@ -610,16 +610,55 @@ def test_production_targets_leave_room_for_low_and_toxic():
     assert mixing.TARGETS == {"clean": 0.96, "low": 0.03, "toxic": 0.01}  # from the purpose, not from rows that they make
 
 
-def test_rates_out_of_reach_are_least_squares(spark):
-    rows = [(100, [1 - 3 * a, a, 2 * a]) for a in (0.01, 0.02, 0.05, 0.2)]
+def plain_step(n, p, before, targets, ease, steps=60_000):
+    """The least of relative squares and distance from the rates before, by plain projected gradient steps."""
+    want, n = np.array(list(targets.values())), n / n.sum()
+    r, near = before.copy(), None
+    size = 1 / ((n[:, None] * p * p).sum() / (want**2).min() + ease)
+    v = r
+    for t in range(steps):
+        ahead = r + t / (t + 3) * (r - v)
+        slope = p @ (((n * ahead) @ p - want) / want**2) + ease * (ahead - before)
+        v, r = r, np.clip(ahead - size * slope, 0, mixing.MOST_COPIES)
+        if near is not None and t % 2000 == 0 and abs(r - near).max() < 1e-9:
+            break
+        near = r if t % 2000 == 0 else near
+    return r
+
+
+@pytest.mark.parametrize("targets", [{"clean": 0.96, "low": 0.03, "toxic": 0.01}, {"clean": 0.6, "low": 0.1, "toxic": 0.3}, {"clean": 0.3, "low": 0.6, "toxic": 0.1}])
+def test_rates_equal_plain_projected_gradient(spark, targets):
+    """200 documents: within reach, and beyond it, where rates stop at their bounds."""
+    r = np.random.default_rng(12)
+    p, n = r.dirichlet([6, 0.4, 0.1], 200), r.integers(1, 900, 200)
+    df = spark.createDataFrame([(k, int(n[k]), p[k].tolist()) for k in range(200)], "doc_id long, n_tokens long, shares array<double>").cache()
+    steps = mixing.fit_rates(df, targets, most=mixing.MOST_COPIES)
+    got = np.array([x["r"] for x in df.withColumn("r", mixing.rate(steps, 3, mixing.MOST_COPIES)).orderBy("doc_id").collect()])
+    want, error = np.ones(200), 1.0
+    for k in range(len(steps)):
+        want = plain_step(n, p, want, targets, mixing.EASE / 10**k)
+        error = max(abs((n * want / n.sum()) @ p - list(targets.values())) / np.array(list(targets.values())))
+    assert abs(got - want).max() < 0.02 and got.min() >= 0 and got.max() <= mixing.MOST_COPIES
+    assert abs((n * got / n.sum()) @ p - (n * want / n.sum()) @ p).max() < 1e-3
+    if error <= 1e-3:
+        assert max(abs((n * got / n.sum()) @ p / np.array(list(targets.values())) - 1)) <= 2e-3
+
+
+def test_targets_out_of_reach_leave_documents_that_cannot_help(spark):
+    """A domain that is nearly absent can't get its target; documents that hold next to nothing of it stay near their rate of 1."""
+    rows = [(100, [1 - a - 1e-5, a, 1e-5]) for a in [1e-6, 1e-5, 1e-4] * 100 + [0.5]]
     df = spark.createDataFrame(rows, "n_tokens long, shares array<double>").cache()
-    targets = {"clean": 0.99, "low": 0.009, "toxic": 0.001}
-    steps = mixing.fit_rates(df, targets)
-    want, p = np.array([0.99, 0.009, 0.001]), np.array([q for _, q in rows])
-    squares = lambda x: (((np.array(x) - want) ** 2) / p.mean(0)).sum()
-    # the optimum lies on the ray of the row with the smallest shares, as all others are worse by each of them
-    best = min(squares(t * p[0]) for t in np.linspace(0, 2, 20001))
-    assert squares(mixing.totals(df, steps)) == pytest.approx(best, rel=3e-3)
+    steps = mixing.fit_rates(df, {"clean": 0.96, "low": 0.03, "toxic": 0.01}, most=mixing.MOST_COPIES)
+    got = [(x["shares"][1], x["r"]) for x in df.withColumn("r", mixing.rate(steps, 3, mixing.MOST_COPIES)).collect()]
+    assert all(0.8 < r < 1.3 for a, r in got if a < 0.1) and all(r == mixing.MOST_COPIES for a, r in got if a > 0.1)
+
+
+def test_worst_label_of_an_id_counts(spark):
+    labels = spark.createDataFrame([(k, 1, int(k % 2)) for k in range(60)] + [(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame([(k, "vile scum rant words" if k % 2 else "calm kind gentle words") for k in range(60)], "doc_id long, text string")
+    c = mixing.fit_classifier(df, labels)
+    shares, _ = c.shares(["vile scum rant words", "calm kind gentle words"])
+    assert shares.argmax(1).tolist() == [2, 0]
 
 
 def test_classifier_on_held_out_rows(spark, docs):
