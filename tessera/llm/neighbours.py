@@ -17,7 +17,8 @@ rows per query, and the best k over the blocks remain. Every vector is indexed.
 Contract: vectors that are null, zero, of another length than the most usual
 one, or that hold null or non-finite components take no part. A null id takes
 no part. Rows that repeat an id are candidates each, but never for a query of
-that id. Ties in distance go to the smaller id.
+that id; of different vectors of one id, the first in the order of their components
+is its query. Ties in distance go to the smaller id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return good.filter(F.size("v") == (length[0]["dim"] if length else 0))
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, projections: int = 8, sure: float = 0.99, seed: int = 7, block_rows: int = 8192, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, projections: int = 16, sure: float = 0.99, seed: int = 7, block_rows: int = 16384, query_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     A task holds one block of vectors and one chunk of queries, both bounded.
@@ -160,7 +161,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, projec
     # rows are dealt evenly, whatever their ids
     spread = F.xxhash64(F.col("vec_id"), F.col("v"))
     base = good.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
-    queries = good.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = good.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     dealt = queries.withColumn("chunk", F.pmod(spread, F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     base = base.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     near = base.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInArrow(_search_blocks(k, chi2_quantile(sure, projections), axes), OUT)

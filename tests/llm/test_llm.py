@@ -169,6 +169,8 @@ def test_neighbours_of_odd_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest_neighbours(e, every=100).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 9, 2.0)]
     assert neighbours.nearest_neighbours(empty(e)).count() == 0
+    two = spark.createDataFrame([(0, [9.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [8.0, 0.0], 1)], "vec_id long, embedding array<double>, block int").withColumn("v", F.lit("x")).withColumn("chunk", F.lit(3))
+    assert [tuple(r) for r in neighbours.nearest_neighbours(two, every=100).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 7.0)]
 
 
 # 4 line dedup
