@@ -18,18 +18,22 @@ def top_rows(df: DataFrame, order: list, k: int, keys: list[str]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def suppress(df: DataFrame, score: str, xyz: tuple[str, str, str], apart: float, k: int, candidates: int, unit: str = "unit", order: str = "i") -> DataFrame:
+def suppress(df: DataFrame, score: str, xyz: tuple[str, str, str], apart: float, k: int, unit: str = "unit", order: str = "i") -> DataFrame:
     """Greedy suppression: by descending score, keep a point at least `apart` from all kept, up to k per unit.
 
-    A fold over the unit's first `candidates` points, which bound the array.
+    k rounds over all points: the best of each unit that is far from those kept
+    joins them. A round is a grouped maximum, so a unit of any size spreads over
+    tasks; the kept ones, k per unit at most, are all that meets the points again.
     """
-    first = top_rows(df.select(unit, order, score, *xyz), [F.desc(score), F.col(order)], candidates, [unit])
-    point = F.struct(F.col("rank"), F.col(order).alias("i"), F.col(score).alias("s"), F.array(*xyz).alias("p"))
-    rows = first.groupBy(unit).agg(F.array_sort(F.collect_list(point)).alias("r"))
-    kind = rows.schema["r"].dataType.simpleString()
+    point = F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"), F.col(order).alias("i"), F.array(*xyz).alias("p"))
+    points = df.select(unit, point.alias("c"))
+    kept = points.groupBy(unit).agg(F.array(F.max("c")).alias("kept"))
     far = lambda a, b: F.sqrt(sum((F.pow(F.get(a["p"], F.lit(j)) - F.get(b["p"], F.lit(j)), F.lit(2.0)) for j in range(3)), F.lit(0.0))) >= apart
-    kept = F.aggregate("r", F.array().cast(kind), lambda acc, c: F.when((F.size(acc) < k) & F.forall(acc, lambda o: far(o, c)), F.array_append(acc, c)).otherwise(acc))
-    out = rows.select(unit, F.posexplode(kept).alias("place", "c"))
+    for _ in range(k - 1):
+        far_from_all = F.forall("kept", lambda o: far(o, F.col("c")))
+        best = points.join(kept, unit).groupBy(unit).agg(F.any_value("kept").alias("kept"), F.max(F.when(far_from_all, F.col("c"))).alias("b"))
+        kept = best.select(unit, F.when(F.col("b").isNull(), F.col("kept")).otherwise(F.array_append("kept", F.col("b"))).alias("kept"))
+    out = kept.select(unit, F.posexplode("kept").alias("place", "c"))
     return out.select(unit, (F.col("place") + 1).cast("int").alias("place"), F.col("c.i").alias(order), F.col("c.s").alias("score"))
 
 

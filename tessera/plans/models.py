@@ -428,7 +428,7 @@ def det01(spark, d):
     p = pts(spark, d)
     n = S.radius_join(p, p, 8.0).groupBy("unit", F.col("a_i").alias("i")).agg(F.count(F.lit(1)).alias("n"))
     s = p.join(n, ["unit", "i"]).withColumn("score", F.round(F.col("n") * F.log1p(F.col("n")), 9))
-    return R.suppress(s, "score", S.XYZ, 6.0, 5, 60)
+    return R.suppress(s, "score", S.XYZ, 6.0, 5)
 
 
 @query("DET02_dilation_gain")
@@ -464,7 +464,7 @@ def det05(spark, d):
     p = pts(spark, d)
     c = jittered_candidates(p, 6.0, 0)
     n = S.radius_join(c, p, 8.0).groupBy("unit", F.col("a_i").alias("i")).agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return R.suppress(c.join(n, ["unit", "i"]), "score", S.XYZ, 4.0, 5, 60)
+    return R.suppress(c.join(n, ["unit", "i"]), "score", S.XYZ, 4.0, 5)
 
 
 @query("DET20_random_box")

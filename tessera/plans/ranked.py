@@ -205,11 +205,11 @@ def top02(spark, d):
     return top.groupBy("unit").agg(F.round(m, 8).alias("dca"), (m <= 4).alias("hit"))
 
 
-@query("TOP03_suppression", f"""WITH {PTS}, r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY v DESC, i) AS rank FROM pts), l AS (SELECT unit, list(struct_pack(i := i, s := v, px := px, py := py, pz := pz) ORDER BY rank) AS c FROM r WHERE rank <= 60 GROUP BY unit),
+@query("TOP03_suppression", f"""WITH {PTS}, r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY v DESC, i) AS rank FROM pts), l AS (SELECT unit, list(struct_pack(i := i, s := v, px := px, py := py, pz := pz) ORDER BY rank) AS c FROM r GROUP BY unit),
     k AS (SELECT unit, list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 5 AND len(list_filter(acc, lambda o: sqrt((o.px - x[1].px) ** 2 + (o.py - x[1].py) ** 2 + (o.pz - x[1].pz) ** 2) < 6)) = 0 THEN list_concat(acc, x) ELSE acc END) AS kept FROM l),
     u AS (SELECT unit, CAST(generate_subscripts(kept, 1) AS INTEGER) AS place, unnest(kept) AS c FROM k) SELECT unit, place, c.i AS i, c.s AS score FROM u""")
 def top03(spark, d):
-    return R.suppress(pts(spark, d), "v", ("px", "py", "pz"), 6.0, 5, 60)
+    return R.suppress(pts(spark, d), "v", ("px", "py", "pz"), 6.0, 5)
 
 
 @query("TOP04_stride", f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY unit) AS n FROM ev) SELECT unit, i FROM r WHERE n <= 20 OR pos % CAST(ceil(n / 20.0) AS BIGINT) = 0")

@@ -12,11 +12,12 @@ from tessera.session import shared_dir, table
 from tessera.sources import cif, structures, volumes
 
 RESN = "['GLY', 'ALA', 'HOH', 'SER', 'LIG']"
-#: Lines of a structure per label: alternates A and B, some hydrogens, waters and ligands, a second model after the first.
+#: Lines of a structure per label: alternates A and B, some hydrogens, waters and ligands, the same lines again as a second model after the last one.
 LINES = f"""{PTS}, a0 AS (SELECT unit, i, round(px, 3) AS px, round(py, 3) AS py, round(pz, 3) AS pz, CAST(i // 40 AS INTEGER) AS resseq, CAST(i % 5 AS INTEGER) AS m FROM pts),
-    lines AS (SELECT unit, i AS pos, printf('%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s', CASE WHEN m IN (2, 4) THEN 'HETATM' ELSE 'ATOM' END, CAST(i % 100000 AS INTEGER), CASE WHEN i % 11 = 0 THEN 'H1' WHEN i % 3 = 0 THEN 'CA' ELSE 'N' END, CASE WHEN i % 4 = 0 THEN 'A' WHEN i % 4 = 1 THEN 'B' ELSE ' ' END, {RESN}[m + 1], CASE WHEN i % 2 = 0 THEN 'A' ELSE 'B' END, resseq, ' ', px, py, pz, CASE WHEN i % 4 < 2 THEN 0.5 + (i % 3) * 0.1 ELSE 1.0 END, CAST(i % 90 AS DOUBLE), CASE WHEN i % 11 = 0 THEN 'H' WHEN i % 3 = 0 THEN 'C' ELSE '' END) AS value FROM a0 UNION ALL SELECT unit, 300, 'ENDMDL' FROM a0 GROUP BY unit)"""
+    one AS (SELECT unit, i AS pos, printf('%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s', CASE WHEN m IN (2, 4) THEN 'HETATM' ELSE 'ATOM' END, CAST(i % 100000 AS INTEGER), CASE WHEN i % 11 = 0 THEN 'H1' WHEN i % 3 = 0 THEN 'CA' ELSE 'N' END, CASE WHEN i % 4 = 0 THEN 'A' WHEN i % 4 = 1 THEN 'B' ELSE ' ' END, {RESN}[m + 1], CASE WHEN i % 2 = 0 THEN 'A' ELSE 'B' END, resseq, ' ', px, py, pz, CASE WHEN i % 4 < 2 THEN 0.5 + (i % 3) * 0.1 ELSE 1.0 END, CAST(i % 90 AS DOUBLE), CASE WHEN i % 11 = 0 THEN 'H' WHEN i % 3 = 0 THEN 'C' ELSE '' END) AS value FROM a0), ends AS (SELECT unit, max(pos) + 1 AS stop FROM one GROUP BY unit),
+    lines AS (SELECT * FROM one UNION ALL SELECT unit, stop, 'ENDMDL' FROM ends UNION ALL SELECT unit, stop + 1 + pos, value FROM one JOIN ends USING (unit))"""
 FIELD = lambda name: "substring(value, {}, {})".format(*structures.FIELDS[name])
-FIRST = f"{LINES}, fm AS (SELECT * FROM lines WHERE pos < 300)"
+FIRST = f"{LINES}, fm AS (SELECT lines.* FROM lines JOIN ends USING (unit) WHERE pos < stop)"
 ATOMS = f"""{FIRST}, atoms AS (SELECT unit, pos, trim({FIELD('record')}) AS record, CAST(trim({FIELD('serial')}) AS INTEGER) AS serial, trim({FIELD('name')}) AS name, {FIELD('altloc')} AS altloc, trim({FIELD('resname')}) AS resname, {FIELD('chain')} AS chain, CAST(trim({FIELD('resseq')}) AS INTEGER) AS resseq, {FIELD('icode')} AS icode, CAST(trim({FIELD('occupancy')}) AS DOUBLE) AS occupancy, CAST(trim({FIELD('x')}) AS DOUBLE) AS x, CAST(trim({FIELD('y')}) AS DOUBLE) AS y, CAST(trim({FIELD('z')}) AS DOUBLE) AS z, CASE WHEN trim({FIELD('element')}) <> '' THEN trim({FIELD('element')}) ELSE left(trim({FIELD('name')}), 1) END AS element FROM fm WHERE value LIKE 'ATOM  %' OR value LIKE 'HETATM%')"""
 COLS = ["unit", "pos", "record", "serial", "name", "altloc", "resname", "chain", "resseq", "icode", "occupancy", "x", "y", "z", "element"]
 
@@ -28,7 +29,10 @@ def lines(spark, d):
     alt = F.when(i % 4 == 0, "A").when(i % 4 == 1, "B").otherwise(" ")
     occ = F.when(i % 4 < 2, 0.5 + (i % 3) * 0.1).otherwise(1.0)
     value = F.format_string("%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.when(F.col("m").isin(2, 4), "HETATM").otherwise("ATOM"), (i % 100000).cast("int"), F.when(i % 11 == 0, "H1").when(i % 3 == 0, "CA").otherwise("N"), alt, F.get(F.array(*map(F.lit, ("GLY", "ALA", "HOH", "SER", "LIG"))), F.col("m")), F.when(i % 2 == 0, "A").otherwise("B"), F.col("resseq"), F.lit(" "), "px", "py", "pz", occ, (i % 90).cast("double"), F.when(i % 11 == 0, "H").when(i % 3 == 0, "C").otherwise(""))
-    return a.select("unit", i.alias("pos"), value.alias("value")).unionByName(a.select("unit").distinct().select("unit", F.lit(300).cast("long").alias("pos"), F.lit("ENDMDL").alias("value")))
+    one = a.select("unit", i.alias("pos"), value.alias("value"))
+    ends = one.groupBy("unit").agg((F.max("pos") + 1).alias("stop"))
+    again = one.join(ends, "unit").select("unit", (F.col("stop") + 1 + F.col("pos")).alias("pos"), "value")
+    return one.unionByName(ends.select("unit", F.col("stop").alias("pos"), F.lit("ENDMDL").alias("value"))).unionByName(again)
 
 
 def atoms(spark, d):
@@ -403,12 +407,12 @@ def flt21(spark, d):
     return m.filter(F.size("u") > 0).select("unit", F.array_join(F.transform(order, lambda e: F.concat(e["k"], F.lit(":"), e["v"])), ",").alias("scores"))
 
 
-@query("FLT22_occupied", f"WITH {PTS} SELECT DISTINCT a.unit, a.i FROM pts a JOIN pts b ON a.unit = b.unit AND b.i % 20 = 3 AND a.i % 20 = 0 AND ((a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2) <= 49")
+@query("FLT22_occupied", f"WITH {PTS} SELECT DISTINCT a.unit, a.i FROM pts a JOIN pts b ON a.unit = b.unit AND b.v <= 0 AND a.v > 0 AND ((a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2) <= 49")
 def flt22(spark, d):
     from tessera.operators.spatial import radius_join
 
     p = pts(spark, d)
-    return radius_join(p.filter("i % 20 = 0"), p.filter("i % 20 = 3"), 7.0).select("unit", F.col("a_i").alias("i")).distinct()
+    return radius_join(p.filter("v > 0"), p.filter("v <= 0"), 7.0).select("unit", F.col("a_i").alias("i")).distinct()
 
 
 @query("FLT23_outcome_class", f"WITH {EV} SELECT i, CASE WHEN x >= 50 AND k >= 50 THEN 'both' WHEN x >= 50 THEN 'first' WHEN k >= 50 THEN 'second' ELSE 'neither' END AS outcome FROM ev")

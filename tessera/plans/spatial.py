@@ -21,10 +21,10 @@ def edge_sql(r, name="e", op="<="):
     return f"{name} AS (SELECT a.unit, a.i AS src, b.i AS dst, sqrt{D2} AS d, a.v AS s_v, b.v AS t_v FROM pts a JOIN pts b ON a.unit = b.unit AND a.i <> b.i AND {D2} {op} {r * r})"
 
 
-@query("JON01_radius_join", f"WITH {PTS}, q AS (SELECT * FROM pts WHERE i % 5 = 0) SELECT a.unit, a.i AS q, b.i AS a, round({D2}, 7) AS d2 FROM q a JOIN pts b ON a.unit = b.unit AND {D2} <= 36")
+@query("JON01_radius_join", f"WITH {PTS} SELECT a.unit, a.i AS q, b.i AS a, round({D2}, 7) AS d2 FROM pts a JOIN pts b ON a.unit = b.unit AND {D2} <= 36")
 def jon01(spark, d):
     p = pts(spark, d)
-    j = S.radius_join(p.filter("i % 5 = 0"), p, 6.0)
+    j = S.radius_join(p, p, 6.0)
     return j.select("unit", F.col("a_i").alias("q"), F.col("b_i").alias("a"), F.round("d2", 7).alias("d2"))
 
 
@@ -91,13 +91,13 @@ def jon10(spark, d):
     return e.select("unit", "k").distinct().join(s, ["unit", "k"], "left").select("unit", "k", F.coalesce("x", F.lit(0.0)).alias("score"), F.col("x").isNotNull().alias("has"))
 
 
-@query("JON11_aligned_metrics", f"WITH {EV}, m AS (SELECT DISTINCT event_type AS method FROM ev), u AS (SELECT DISTINCT unit FROM ev WHERE unit < 60), v AS (SELECT event_type AS method, unit, round(avg(x), 8) AS value FROM ev WHERE i % 3 = 0 GROUP BY ALL) SELECT method, unit, value FROM m CROSS JOIN u LEFT JOIN v USING (method, unit)")
+@query("JON11_aligned_metrics", f"WITH {EV}, m AS (SELECT DISTINCT event_type AS method FROM ev), u AS (SELECT DISTINCT unit FROM ev), v AS (SELECT event_type AS method, unit, round(avg(x), 8) AS value FROM ev GROUP BY ALL) SELECT method, unit, value FROM m CROSS JOIN u LEFT JOIN v USING (method, unit)")
 def jon11(spark, d):
     e = ev(spark, d)
-    v = e.filter("i % 3 = 0").groupBy(F.col("event_type").alias("method"), "unit").agg(F.round(F.avg("x"), 8).alias("value"))
+    v = e.groupBy(F.col("event_type").alias("method"), "unit").agg(F.round(F.avg("x"), 8).alias("value"))
     # the method list is a handful: an array in each unit's row stands for the product
     methods = e.agg(F.array_sort(F.collect_set("event_type")).alias("ms"))
-    grid = e.filter("unit < 60").select("unit").distinct().join(F.broadcast(methods), F.lit(True)).select("unit", F.explode("ms").alias("method"))
+    grid = e.select("unit").distinct().join(F.broadcast(methods), F.lit(True)).select("unit", F.explode("ms").alias("method"))
     return grid.join(v, ["method", "unit"], "left").select("method", "unit", "value")
 
 
