@@ -13,8 +13,10 @@ estimate, estimate anew from those), and the start with the smaller
 determinant stays. Each step is a grouped sum over the stored statistics; the
 distance within which the share lies comes from a histogram of distances, so
 no group meets in one task. Floors added to the variances keep groups regular
-whose ratios are all zero. Groups with fewer than `least` rows use their
-language's, and then all, rows together.
+whose ratios are all zero. Groups of fewer than `least` rows share one estimate
+per language, from those groups' rows; where these are too few as well, the
+rest shares one. If even that has fewer than `least` rows, its documents have
+no estimate and pass the outlier test.
 
 Contract: a null text has no words (and fails). Null languages and sources are
 groups of their own. Each input row gives one output row, rows with equal ids
