@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, licenses, line_dedup, mixing, neighbours, ngram_jaccard, quality, token_counts, token_files, warc
+from tessera.llm import bpe, exact_dedup, licenses, line_dedup, merkle, mixing, neighbours, ngram_jaccard, quality, token_counts, token_files, warc
 from tessera.session import prepare, shared_dir, table
 
 
@@ -47,10 +47,23 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixing_report(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op5_ngram_jaccard, op6_warc, op7_bpe, op8_quality, op9_licenses, op10_mixing)}
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.merkle_report(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_groups(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op5_ngram_jaccard, op6_warc, op7_bpe, op8_quality, op9_licenses, op10_mixing, op12_merkle_manifest, op13_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_licenses": licenses.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
+    "op13_exact_dedup": """
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+        FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)""",
     "op3_nearest_neighbours": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
