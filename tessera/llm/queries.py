@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, licenses, line_dedup, merkle, mixing, neighbours, ngram_jaccard, quality, token_counts, token_files, warc
+from tessera.llm import alignment, bpe, exact_dedup, licenses, line_dedup, merkle, mixing, neighbours, ngram_jaccard, quality, token_counts, token_files, warc
 from tessera.session import prepare, shared_dir, table
 
 
@@ -47,6 +47,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixing_report(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.alignment_report(table(prepare(spark), sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.merkle_report(table(prepare(spark), sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op13_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op5_ngram_jaccard, op6_warc, op7_bpe, op8_quality, op9_licenses, op10_mixing, op12_merkle_manifest, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_nearest_neighbours, op4_line_dedup, op5_ngram_jaccard, op6_warc, op7_bpe, op8_quality, op9_licenses, op10_mixing, op11_alignment, op12_merkle_manifest, op13_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_licenses": licenses.oracle_sql(),
