@@ -27,6 +27,7 @@ import io
 import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from tessera.llm.files import frugal, tokenizer_path
 from tessera.session import shared_dir, stored
 
 #: Bytes of text that DuckDB gets at a time; longer texts are cut where tokens of both sides end.
-PORTION = 1 << 20
+PORTION = 1 << 19
 #: Links are kept as a * BASE + b.
 BASE = 1 << 20
 ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, links array<bigint>, counts array<struct<pair: bigint, n: bigint>>"
@@ -91,17 +92,58 @@ class Tokenizers:
         self.bytes_a, self.bytes_b = token_bytes_a(path), token_bytes_b(self.b)
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A and B of each text; two empty lists where either doesn't give the text back."""
+        self.quick = rank_encoding(path)
+
+    def ids_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of A. Texts of old letters and short words go through the same ranks in another library, three times as fast."""
+        out = [None] * len(texts)
+        if self.quick:
+            for k, t in enumerate(texts):
+                if usual(t):
+                    out[k] = self.quick.encode_ordinary(t)
+        left = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(left, self.a.encode_batch_fast([texts[k] for k in left], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int], int]]:
+        """Ids of A and B of each text, and their bytes; two empty lists where either doesn't give the text back."""
         out = []
-        found_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for t, x, b in zip(texts, found_a, self.b.encode(texts, num_threads=1), strict=True):
-            a, whole = x.ids, b" " + t.encode()
+        for t, a, b in zip(texts, self.ids_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1), strict=True):
+            whole = b" " + t.encode()
             good = t and b"".join([self.bytes_a[i] for i in a]) == whole == b"".join([self.bytes_b[i] for i in b])
-            out.append((a, b) if good else ([], []))
+            out.append((a, b, len(whole)) if good else ([], [], 0))
         return out
 
 
+#: Letters, digits and blanks of these blocks are the same in every library's Unicode version.
+NEWER = re.compile("[^\\x00-\u0377\u0391-\u03a1\u03a3-\u0481\u2010-\u2027\u4e00-\u9fa5]")
+#: Runs that an engine for patterns may take long for, or overflow on.
+RUNS = re.compile(r"\S{500}|\s{100}")
+
+
+def usual(text: str) -> bool:
+    """Whether both libraries cut the text alike, without doubt."""
+    return (text.isascii() or not NEWER.search(text)) and not RUNS.search(text)
+
+
+def rank_encoding(path: str):
+    """A byte-level BPE file as ranks of byte strings; None where the file says more than that."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut, byte = spec["model"], spec["pre_tokenizer"] or {}, {s: b for b, s in enumerate(byte_symbols())}
+    plain = model["type"] == "BPE" and not spec["normalizer"] and cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and cut.get("use_regex", True) and not model.get("dropout") and not model.get("ignore_merges")
+    vocab = model["vocab"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if not plain or any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(merges)) or len({vocab.get(c, 999) for c in byte} & set(range(256))) < 256:
+        return None
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @functools.lru_cache(maxsize=2)
 def loaded(a: str, b: str) -> Tokenizers:
     return Tokenizers(a, b)
@@ -119,20 +161,20 @@ def _duck():
 #: For each A token, whether a B token ends where it ends; grp is the number of common ends before it. B tokens take the number of the A token that reaches their end.
 GROUPS = """
     CREATE OR REPLACE TEMP TABLE ga AS
-    SELECT doc, pos, id, lo, hi, both_end, coalesce(sum(both_end::INT) OVER (ORDER BY hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grp
-    FROM (SELECT a.*, coalesce(b.hi = a.hi, false) AS both_end FROM a ASOF LEFT JOIN b ON a.hi >= b.hi);
-    CREATE OR REPLACE TEMP TABLE gb AS SELECT b.doc, b.pos, b.id, b.lo, b.hi, ga.grp FROM b ASOF JOIN ga ON b.hi <= ga.hi"""
-LINKS = "SELECT ga.doc, ga.id * {base} + gb.id AS pair FROM ga JOIN gb ON ga.lo < gb.hi AND gb.lo < ga.hi AND ga.hi = gb.hi ORDER BY ga.hi"
-TOKENS = "SELECT doc, 0 AS side, id, grp, hi FROM ga UNION ALL SELECT doc, 1, id, grp, hi FROM gb ORDER BY grp, side, hi"
+    SELECT id, lo, hi, coalesce(sum(both_end) OVER (ORDER BY hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS grp
+    FROM (SELECT a.*, (b.hi IS NOT DISTINCT FROM a.hi)::INT AS both_end FROM a ASOF LEFT JOIN b ON a.hi >= b.hi);
+    CREATE OR REPLACE TEMP TABLE gb AS SELECT b.id, b.lo, b.hi, ga.grp FROM b ASOF JOIN ga ON b.hi <= ga.hi"""
+LINKS = "SELECT ga.hi, ga.id::BIGINT * {base} + gb.id AS pair FROM ga JOIN gb ON ga.lo < gb.hi AND gb.lo < ga.hi AND ga.hi = gb.hi ORDER BY ga.hi"
+TOKENS = "SELECT side, id, grp FROM (SELECT 0::TINYINT AS side, id, grp, hi FROM ga UNION ALL SELECT 1::TINYINT, id, grp, hi FROM gb) ORDER BY grp, side, hi"
 
 
 def intervals(ids: list[list[int]], size: np.ndarray) -> pa.Table:
-    """doc, pos, id, lo, hi of all tokens; each document starts where the one before ends."""
-    n = np.array([len(x) for x in ids])
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, n.sum())
-    hi = np.cumsum(size[flat]) if len(flat) else flat
-    first = np.repeat(np.cumsum(n) - n, n)
-    return pa.table({"doc": np.repeat(np.arange(len(ids)), n), "pos": np.arange(len(flat)) - first, "id": flat, "lo": hi - size[flat] if len(flat) else flat, "hi": hi})
+    """id, lo, hi of all tokens; each document starts where the one before ends."""
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+    wide = size[flat]
+    hi = np.cumsum(wide)
+    kind = np.int32 if not len(hi) or hi[-1] < 2**31 else np.int64
+    return pa.table({"id": flat, "lo": (hi - wide).astype(kind), "hi": hi.astype(kind)})
 
 
 @functools.lru_cache(maxsize=1)
@@ -145,26 +187,25 @@ def _spellings(largest: int) -> np.ndarray:
     return _marked(1 << max(16, (largest + 1).bit_length()))
 
 
-def spelled(tokens: dict[str, np.ndarray], n_docs: int) -> list[str]:
+def spelled(tokens: dict[str, np.ndarray], starts: list[int]) -> list[str]:
     """`a1,a2|b1;a3|b2,b3` of each document, from tokens in order of group, side and place."""
-    doc, side, grp = tokens["doc"], tokens["side"], tokens["grp"]
-    if not len(doc):
-        return [""] * n_docs
-    mark = np.zeros(len(doc), np.int64)
+    side, grp = tokens["side"], tokens["grp"]
+    if not len(side):
+        return [""] * (len(starts) - 1)
+    mark = np.zeros(len(side), np.int64)
     mark[1:][side[1:] != side[:-1]] = 1
     mark[1:][grp[1:] != grp[:-1]] = 2
     shown = _spellings(int(tokens["id"].max()))[mark, tokens["id"]]
-    starts = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
     return ["".join(shown[s:e].tolist())[1:] for s, e in zip(starts[:-1], starts[1:], strict=True)]
 
 
-def pieces(ids: list[tuple[list[int], list[int]]], t: Tokenizers) -> Iterator[tuple[int, list[int], list[int], int]]:
+def pieces(ids: list[tuple[list[int], list[int], int]], t: Tokenizers) -> Iterator[tuple[int, list[int], list[int], int]]:
     """Document, ids of A and B, bytes: whole documents, and long ones in pieces that end where tokens of A and B both end."""
-    for k, (a, b) in enumerate(ids):
-        hi_a, hi_b = (np.cumsum(size[np.array(x, np.int64)]) for x, size in ((a, t.size_a), (b, t.size_b)))
-        if not len(hi_a) or hi_a[-1] <= PORTION:
-            yield k, a, b, int(hi_a[-1]) if len(hi_a) else 0
+    for k, (a, b, size) in enumerate(ids):
+        if size <= PORTION:
+            yield k, a, b, size
             continue
+        hi_a, hi_b = (np.cumsum(wide[np.array(x, np.int64)]) for x, wide in ((a, t.size_a), (b, t.size_b)))
         common = np.intersect1d(hi_a, hi_b, assume_unique=True)
         done = at_a = at_b = 0
         while done < hi_a[-1]:
@@ -181,13 +222,13 @@ def joined(part: list[tuple[int, list[int], list[int], int]], t: Tokenizers) ->
     for k, (name, size) in enumerate((("a", t.size_a), ("b", t.size_b))):
         con.register(name, intervals([x[k + 1] for x in part], size))
     con.execute(GROUPS)
-    links = con.execute(LINKS.format(base=BASE)).fetchnumpy()
-    n_groups = dict(con.execute("SELECT doc, count(DISTINCT grp) FROM ga GROUP BY doc").fetchall())
-    groups = spelled(con.execute(TOKENS).fetchnumpy(), len(part))
+    links, tokens = ({c: x.to_numpy() for c, x in zip(t.column_names, t.columns, strict=True)} for t in (con.sql(q).to_arrow_table() for q in (LINKS.format(base=BASE), TOKENS)))
     for name in "ab":
         con.unregister(name)
-    at = np.searchsorted(links["doc"], np.arange(len(part) + 1))
-    return [{"doc": x[0], "n_a": len(x[1]), "n_b": len(x[2]), "n_groups": n_groups.get(k, 0), "groups": g, "links": links["pair"][at[k] : at[k + 1]].astype(np.int64)} for k, (x, g) in enumerate(zip(part, groups, strict=True))]
+    n_a, n_b = (np.array([len(x[k]) for x in part]) for k in (1, 2))
+    groups = spelled(tokens, np.append(0, np.cumsum(n_a + n_b)).tolist())
+    at = np.searchsorted(links["hi"], np.append(0, np.cumsum([x[3] for x in part])), side="right")
+    return [{"doc": x[0], "n_a": len(x[1]), "n_b": len(x[2]), "n_groups": g.count("|"), "groups": g, "links": links["pair"][at[k] : at[k + 1]]} for k, (x, g) in enumerate(zip(part, groups, strict=True))]
 
 
 def align(texts: list[str], a: str, b: str) -> list[dict]:

@@ -112,3 +112,12 @@ def test_pair_bound():
     a, b = t.bytes_a[:400], t.bytes_b[:900]
     want = sum(bool(x and y) and (x.endswith(y) or y.endswith(x)) for x in a for y in b)
     assert alignment.pair_bound(a, b) == want
+
+
+def test_rank_encoding_gives_the_librarys_ids():
+    t = alignment.loaded(A, B)
+    points = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [x for c in points for x in (c, f"a{c}b {c} 1{c}{c} '{c}") if alignment.usual(x)]
+    texts += ["don't I'LL we've 's", " \n\t x  y\n\n z ", "1234 56,7.8", "x" * 499, "<|endoftext|>"]
+    assert len(texts) > 40_000 and t.quick
+    assert t.ids_a(texts) == [x.ids for x in t.a.encode_batch_fast(texts, add_special_tokens=False)]
