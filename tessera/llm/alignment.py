@@ -119,12 +119,12 @@ class Tokenizers:
 #: Letters, digits and blanks of these blocks are the same in every library's Unicode version.
 NEWER = re.compile("[^\\x00-\u0377\u0391-\u03a1\u03a3-\u0481\u2010-\u2027\u4e00-\u9fa5]")
 #: Runs that an engine for patterns may take long for, or overflow on.
-RUNS = re.compile(r"\S{500}|\s{100}")
+LONG_WORD, LONG_BLANK = 500, re.compile(r"\s{100}")
 
 
 def usual(text: str) -> bool:
     """Whether both libraries cut the text alike, without doubt."""
-    return (text.isascii() or not NEWER.search(text)) and not RUNS.search(text)
+    return (text.isascii() or not NEWER.search(text)) and max(map(len, text.split()), default=0) < LONG_WORD and not LONG_BLANK.search(text)
 
 
 def rank_encoding(path: str):
@@ -161,10 +161,10 @@ def _duck():
 #: For each A token, whether a B token ends where it ends; grp is the number of common ends before it. B tokens take the number of the A token that reaches their end.
 GROUPS = """
     CREATE OR REPLACE TEMP TABLE ga AS
-    SELECT id, lo, hi, coalesce(sum(both_end) OVER (ORDER BY hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS grp
+    SELECT id, lo, hi, both_end, coalesce(sum(both_end) OVER (ORDER BY hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS grp
     FROM (SELECT a.*, (b.hi IS NOT DISTINCT FROM a.hi)::INT AS both_end FROM a ASOF LEFT JOIN b ON a.hi >= b.hi);
     CREATE OR REPLACE TEMP TABLE gb AS SELECT b.id, b.lo, b.hi, ga.grp FROM b ASOF JOIN ga ON b.hi <= ga.hi"""
-LINKS = "SELECT ga.hi, ga.id::BIGINT * {base} + gb.id AS pair FROM ga JOIN gb ON ga.lo < gb.hi AND gb.lo < ga.hi AND ga.hi = gb.hi ORDER BY ga.hi"
+LINKS = "SELECT ga.hi, ga.id::BIGINT * {base} + gb.id AS pair FROM ga JOIN gb ON ga.lo < gb.hi AND gb.lo < ga.hi AND ga.hi = gb.hi WHERE ga.both_end = 1 ORDER BY ga.hi"
 TOKENS = "SELECT side, id, grp FROM (SELECT 0::TINYINT AS side, id, grp, hi FROM ga UNION ALL SELECT 1::TINYINT, id, grp, hi FROM gb) ORDER BY grp, side, hi"
 
 
@@ -302,7 +302,7 @@ def _scored(uri: str):
         pairs, n, best = _totals(uri)
         for b in batches:
             links = b.column("links")
-            flat, ends = links.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum([len(x) for x in links]))
+            flat, ends = links.flatten().to_numpy(), np.append(0, np.cumsum(links.value_lengths().to_numpy()))
             count = n[np.searchsorted(pairs, flat)] if len(flat) else flat
             sums = [np.append(0, np.cumsum(x))[ends] for x in (count == best[flat % BASE], count)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")), *(pa.array(np.diff(x), pa.int64()) for x in (ends, *sums)), b.column("groups")], [x.split(" ")[0] for x in REPORT.split(", ")])
