@@ -8,6 +8,7 @@ graphs without such a bound.
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,22 +54,46 @@ def adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return nodes, np.maximum(a, a.T)
 
 
-def minimum_forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kruskal over rows src < dst with d; ties by (src, dst)."""
-    own = pdf[pdf.src < pdf.dst].sort_values(["d", "src", "dst"])
-    nodes = np.unique(np.concatenate([own.src, own.dst])) if len(own) else np.array([], int)
-    parent = list(range(len(nodes)))
-    keep = []
-    for s, t in zip(np.searchsorted(nodes, own.src), np.searchsorted(nodes, own.dst), strict=True):
-        a, b = find(parent, int(s)), find(parent, int(t))
-        keep.append(a != b)
-        parent[max(a, b)] = min(a, b)
-    return own[np.array(keep, bool)]
+def forest(edge: DataFrame, rounds: int = 64) -> DataFrame:
+    """Minimum spanning forest of each unit's edges, ties by (d, src, dst): rounds of least edges, all in joins.
 
-
-def forest(edge: DataFrame) -> DataFrame:
-    schema = "unit int, src long, dst long, d double"
-    return edge.select("unit", "src", "dst", "d").groupBy("unit").applyInPandas(lambda k, p: minimum_forest(p)[["unit", "src", "dst", "d"]], schema)
+    Each component takes its least edge; components joined by those become one,
+    by pointers to the other end that jump until they reach a root; edges within
+    a component go, and of those between the same two the least stays. Components
+    at least halve each round, so edges are shuffled a logarithm of times.
+    """
+    key = F.struct("d", "src", "dst")
+    now = stored(edge.filter("src < dst").select("unit", F.col("src").alias("a"), F.col("dst").alias("b"), key.alias("e")).groupBy("unit", "a", "b").agg(F.min("e").alias("e")), "edges")
+    chosen = []
+    for _ in range(rounds):
+        ends = now.select("unit", F.inline(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("to"), "e"), F.struct(F.col("b").alias("c"), F.col("a").alias("to"), "e"))))
+        least = stored(ends.groupBy("unit", "c").agg(F.min(F.struct("e", "to")).alias("m")).select("unit", "c", "m.to", "m.e"), "least")
+        taken = least.groupBy("unit", "e").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"))
+        if least.isEmpty():
+            break
+        chosen.append(taken.select("unit", "e.src", "e.dst", "e.d"))
+        # where both ends take the same edge, the smaller is the root of what points there
+        roots = taken.filter("n = 2").select("unit", "c", F.lit(True).alias("root"))
+        at = _roots(least.join(roots, ["unit", "c"], "left").select("unit", "c", F.when(F.col("root"), F.col("c")).otherwise(F.col("to")).alias("to")))
+        ra, rb = (at.select("unit", F.col("c").alias(end), F.col("to").alias(f"r{end}")) for end in "ab")
+        moved = now.join(ra, ["unit", "a"]).join(rb, ["unit", "b"]).filter("ra <> rb")
+        now = stored(moved.groupBy("unit", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("e").alias("e")), "edges")
+    else:
+        raise RuntimeError(f"the forest did not close in {rounds} rounds")
+    return reduce(DataFrame.unionByName, chosen) if chosen else now.select("unit", "e.src", "e.dst", "e.d")
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """unit, c, to: pointers followed to their ends, which point to themselves; each round doubles the steps taken twice."""
+    while True:
+        for _ in range(2):
+            far = pointers.select("unit", F.col("c").alias("to"), F.col("to").alias("far"))
+            pointers = pointers.join(far, ["unit", "to"]).select("unit", "c", "to", "far")
+            pointers = pointers.select("unit", "c", F.col("to").alias("was"), F.col("far").alias("to"))
+        pointers = stored(pointers, "roots")
+        if pointers.filter("was <> to").isEmpty():
+            return pointers.select("unit", "c", "to")
+        pointers = pointers.select("unit", "c", "to")
 
 
 def merge_threshold(tree: DataFrame, least: int = 4, most: float = 0.9) -> DataFrame:
@@ -93,6 +118,26 @@ def merge_threshold(tree: DataFrame, least: int = 4, most: float = 0.9) -> DataF
     return tree.groupBy("unit").applyInPandas(of, "unit int, tau double, n_components int")
 
 
+def hop_rows(edge: DataFrame, most: int) -> DataFrame:
+    """unit, source, i, hop: all nodes within `most` hops of each node, itself at 0, by frontiers.
+
+    A frontier meets the edges, and what no earlier frontier of the same source
+    has reached is the next one. Frontiers are keyed by (unit, node), so neither
+    a unit nor a source is held in one task.
+    """
+    e = stored(edge.select("unit", "src", "dst").distinct(), "edges")
+    levels = [e.select("unit", F.col("src").alias("source"), F.col("src").alias("i"), F.lit(0).alias("hop")).distinct(), e.select("unit", F.col("src").alias("source"), F.col("dst").alias("i"), F.lit(1).alias("hop"))]
+    for k in range(2, most + 1):
+        # neighbours of level k - 1 lie in levels k - 2, k - 1 and k
+        seen = levels[-1].unionByName(levels[-2]).select("unit", "source", "i")
+        new = levels[-1].select("unit", "source", F.col("i").alias("src")).join(e, ["unit", "src"]).select("unit", "source", F.col("dst").alias("i")).distinct()
+        front = stored(new.join(seen, ["unit", "source", "i"], "left_anti").withColumn("hop", F.lit(k)), "frontier")
+        if front.isEmpty():
+            break
+        levels.append(front)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def hop_distances(a: np.ndarray, start: int, most: int | None = None) -> np.ndarray:
     out = np.full(len(a), -1)
     out[start] = 0

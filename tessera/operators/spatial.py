@@ -9,6 +9,7 @@ any size spreads over tasks.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,17 +41,46 @@ def radius_join(left: DataFrame, right: DataFrame, r: float, keys: Sequence[str]
     return j.filter(near).drop("_a", "_b", "_c", "_ra", "_rb", "_rc", *[f"_k{k}" for k in range(len(keys))])
 
 
-def radius_pairs(points: DataFrame, r: float, keys: Sequence[str] = ("unit",), index: str = "i", xyz: Sequence[str] = XYZ) -> DataFrame:
-    """Each unordered pair once (a_i < b_i), with d."""
-    j = radius_join(points, points, r, keys, xyz).filter(F.col(f"a_{index}") < F.col(f"b_{index}"))
-    return j.withColumn("d", F.sqrt("d2"))
+#: The 13 of a cube's 26 neighbours that come after it in order; the other 13 meet the cube as theirs.
+FORWARD = [step for step in itertools.product((-1, 0, 1), repeat=3) if step > (0, 0, 0)]
+
+
+def candidate_pairs(points: DataFrame, r: float, keys: Sequence[str] = ("unit",), index: str = "i", xyz: Sequence[str] = XYZ, columns: Sequence[str] = ()) -> DataFrame:
+    """Pairs of points in the same cube or in neighbouring ones, each once: keys and the structs a and b, a before b by index.
+
+    A point goes to its own cube and to 13 neighbours, and meets what lies
+    there: half of the neighbourhood, so no pair is made twice and then dropped.
+    Only the index, the place and the columns asked for travel.
+    """
+    point = F.struct(index, *dict.fromkeys([*xyz, *columns]))
+    own = cube(xyz, r)
+    at = [F.struct(*[(o + s).alias(f"_{n}") for o, s, n in zip(own, step, "abc", strict=True)], F.lit(step == (0, 0, 0)).alias("_home")) for step in [(0, 0, 0), *FORWARD]]
+    out = points.select(*keys, point.alias("_p"), F.inline(F.array(*at)))
+    here = points.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], point.alias("_q"), *[c.alias(f"_r{n}") for c, n in zip(own, "abc", strict=True)])
+    on = [F.col(k) == F.col(f"_k{j}") for j, k in enumerate(keys)] + [F.col(f"_{n}") == F.col(f"_r{n}") for n in "abc"]
+    p, q = F.col(f"_p.{index}"), F.col(f"_q.{index}")
+    pairs = out.join(here, [*on, F.when(F.col("_home"), p < q).otherwise(p != q)])
+    return pairs.select(*keys, F.when(p < q, F.col("_p")).otherwise(F.col("_q")).alias("a"), F.when(p < q, F.col("_q")).otherwise(F.col("_p")).alias("b"))
+
+
+def radius_pairs(points: DataFrame, r: float, keys: Sequence[str] = ("unit",), index: str = "i", xyz: Sequence[str] = XYZ, columns: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """Each unordered pair within r once, a_<index> before b_<index>: keys, both ends' index, place and columns, d2 and d."""
+    j = candidate_pairs(points, r, keys, index, xyz, columns)
+    d2 = sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), F.lit(2.0)) for c in xyz[1:]), F.pow(F.col(f"a.{xyz[0]}") - F.col(f"b.{xyz[0]}"), F.lit(2.0)))
+    j = j.withColumn("d2", d2).filter(F.col("d2") < r * r if strict else F.col("d2") <= r * r)
+    names = list(dict.fromkeys([index, *xyz, *columns]))
+    return j.select(*keys, *[F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in "ab" for c in names], "d2", F.sqrt("d2").alias("d"))
+
+
+def both_ways(pairs: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """Each pair as two directed edges: unit, src, dst, d, and the given columns of either end (s_, t_)."""
+    ends = [F.struct(F.col(f"{s}_i").alias("src"), F.col(f"{t}_i").alias("dst"), "d", *[F.col(f"{s}_{c}").alias(f"s_{c}") for c in columns], *[F.col(f"{t}_{c}").alias(f"t_{c}") for c in columns]) for s, t in ("ab", "ba")]
+    return pairs.select("unit", F.inline(F.array(*ends)))
 
 
 def edges(points: DataFrame, r: float, columns: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Directed edges without loops: unit, src, dst, d, and the given columns of either end (s_, t_)."""
-    p = points.select("unit", "i", *XYZ, *[c for c in columns if c not in XYZ])
-    j = radius_join(p, p, r, strict=strict).filter("a_i <> b_i")
-    return j.select("unit", F.col("a_i").alias("src"), F.col("b_i").alias("dst"), F.sqrt("d2").alias("d"), *[F.col(f"a_{c}").alias(f"s_{c}") for c in columns], *[F.col(f"b_{c}").alias(f"t_{c}") for c in columns])
+    return both_ways(radius_pairs(points, r, columns=columns, strict=strict), columns)
 
 
 def neighbourhood_means(points: DataFrame, radii: Sequence[float], columns: Sequence[str]) -> DataFrame:

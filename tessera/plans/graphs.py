@@ -35,19 +35,45 @@ def deflated(spark, d):
     return e.select("unit", "src", "dst", (F.col("d") * F.pow(F.col("s_top") / F.least("s_rho", "t_rho"), F.lit(2.0))).alias("d"))
 
 
-@query("GRA02_minimum_forest")
+def _bottlenecks(doublings=7):
+    """Ranks of undirected deflated edges (rk), and the least possible largest rank on a path between two nodes (bt); paths double in length."""
+    steps = [f"b{k + 1} AS MATERIALIZED (SELECT unit, i, j, min(r) AS r FROM (SELECT * FROM b{k} UNION ALL SELECT x.unit, x.i, y.j, greatest(x.r, y.r) FROM b{k} x JOIN b{k} y ON x.unit = y.unit AND x.j = y.i) GROUP BY ALL)" for k in range(doublings)]
+    return f"""{PTS}, {COUNT8}, m AS (SELECT unit, greatest(max(n), 1) AS top FROM n GROUP BY unit), {edge_sql(8)},
+    rk AS MATERIALIZED (SELECT e.unit, src, dst, d * (top / least(greatest(a.n, 1), greatest(b.n, 1))::DOUBLE) ** 2 AS d, row_number() OVER (PARTITION BY e.unit ORDER BY d * (top / least(greatest(a.n, 1), greatest(b.n, 1))::DOUBLE) ** 2, src, dst) AS r
+           FROM e JOIN n a ON e.unit = a.unit AND e.src = a.i JOIN n b ON e.unit = b.unit AND e.dst = b.i JOIN m ON m.unit = e.unit WHERE src < dst),
+    b0 AS (SELECT unit, src AS i, dst AS j, r FROM rk UNION ALL SELECT unit, dst, src, r FROM rk), {", ".join(steps)}, bt AS (SELECT * FROM b{doublings}),
+    fo AS MATERIALIZED (SELECT rk.* FROM rk JOIN bt ON rk.unit = bt.unit AND src = i AND dst = j AND rk.r = bt.r)"""
+
+
+BOTTLENECKS = _bottlenecks()
+#: Of each forest edge: the nodes that its merge and those before it leave in one component with each node; then the best edge before one component holds nine tenths.
+MERGES = f"""{BOTTLENECKS}, nd AS (SELECT DISTINCT unit, src AS i FROM e),
+    co AS (SELECT fo.unit, fo.r, fo.d, nd.i, least(nd.i, coalesce(min(bt.j), nd.i)) AS root FROM fo JOIN nd ON nd.unit = fo.unit LEFT JOIN bt ON bt.unit = fo.unit AND bt.i = nd.i AND bt.r <= fo.r GROUP BY fo.unit, fo.r, fo.d, nd.i),
+    sz AS (SELECT unit, r, d, root, count(*) AS size FROM co GROUP BY ALL), ct AS (SELECT unit, r, d, max(size) AS top, count(*) FILTER (WHERE size >= 4) AS n, sum(size) AS total FROM sz GROUP BY ALL),
+    ok AS (SELECT *, bool_or(top > 0.9 * total) OVER (PARTITION BY unit ORDER BY r) AS late FROM ct),
+    th AS (SELECT unit, coalesce(arg_min(d, (-n, r)) FILTER (WHERE NOT late), 0) AS tau, coalesce(max(n) FILTER (WHERE NOT late), 0) AS n_components FROM ok GROUP BY unit)"""
+
+
+@query("GRA02_minimum_forest", f"WITH {BOTTLENECKS} SELECT unit, src, dst, round(d, 6) AS d FROM fo")
 def gra02(spark, d):
+    return forest8(spark, d).withColumn("d", F.round("d", 6))
+
+
+def forest8(spark, d):
     return G.forest(deflated(spark, d))
 
 
-@query("GRA03_merge_threshold")
+@query("GRA03_merge_threshold", f"WITH {MERGES} SELECT unit, round(tau, 6) AS tau, CAST(n_components AS INTEGER) AS n_components FROM th")
 def gra03(spark, d):
-    return G.merge_threshold(gra02(spark, d))
+    return G.merge_threshold(forest8(spark, d)).withColumn("tau", F.round("tau", 6))
 
 
-@query("GRA04_ball_partition")
+@query("GRA04_ball_partition", f"WITH {MERGES} SELECT p.unit, p.i, least(p.i, coalesce(min(bt.j), p.i)) AS root FROM pts p LEFT JOIN th ON th.unit = p.unit LEFT JOIN bt ON bt.unit = p.unit AND bt.i = p.i AND EXISTS (SELECT 1 FROM rk WHERE rk.unit = bt.unit AND rk.r = bt.r AND rk.d <= tau) GROUP BY p.unit, p.i")
 def gra04(spark, d):
-    f = gra02(spark, d).join(gra03(spark, d), "unit").filter("d <= tau")
+    from tessera.session import stored
+
+    f = stored(forest8(spark, d), "forest")
+    f = f.join(G.merge_threshold(f), "unit").filter("d <= tau")
     return G.connected(f.select("unit", F.col("src").alias("a"), F.col("dst").alias("b")), pts(spark, d).select("unit", "i"))
 
 
@@ -92,13 +118,13 @@ def gra09(spark, d):
     return L.local_shapes(pts(spark, d), (14.0,)).select("unit", "i", "gauss14", "mean14")
 
 
-@query("GRA10_linkage_levels")
+@query("GRA10_linkage_levels", f"WITH {BOTTLENECKS}, lv AS (SELECT unnest([4.0::DOUBLE, 8, 16, 32]) AS level) SELECT p.unit, p.i, level, 1 + count(DISTINCT bt.j) FILTER (WHERE rk.d <= level AND bt.j <> p.i) AS size FROM pts p CROSS JOIN lv LEFT JOIN bt ON bt.unit = p.unit AND bt.i = p.i LEFT JOIN rk ON rk.unit = bt.unit AND rk.r = bt.r GROUP BY p.unit, p.i, level")
 def gra10(spark, d):
     """Sizes of single-linkage balls at four levels, from the forest's edges below each level."""
     from tessera.session import stored
 
     p = pts(spark, d).select("unit", "i")
-    f = stored(gra02(spark, d), "forest")
+    f = stored(forest8(spark, d), "forest")
     out = []
     for level in (4.0, 8.0, 16.0, 32.0):
         c = G.connected(f.filter(F.col("d") <= level).select("unit", F.col("src").alias("a"), F.col("dst").alias("b")), p)
@@ -222,9 +248,12 @@ def gra25(spark, d):
     return c.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query("GRA26_hops")
+@query("GRA26_hops", f"""WITH RECURSIVE {PTS}, {edge_sql(8)}, h AS (SELECT DISTINCT unit, src AS source, src AS i, 0 AS hop FROM e UNION SELECT e.unit, h.source, e.dst, hop + 1 FROM h JOIN e ON e.unit = h.unit AND e.src = h.i WHERE hop < 6),
+    m AS (SELECT unit, source, i, min(hop) AS hop FROM h GROUP BY ALL) SELECT unit, source AS i, round(avg(hop) FILTER (WHERE hop > 0), 9) AS mean_path, max(hop) AS eccentricity FROM m GROUP BY ALL""")
 def gra26(spark, d):
-    return G.invariants(edge8(spark, d)).select("unit", "i", "mean_path", "eccentricity")
+    """Mean and largest number of hops to the nodes within six hops."""
+    h = G.hop_rows(edge8(spark, d), 6)
+    return h.groupBy("unit", F.col("source").alias("i")).agg(F.round(F.avg(F.when(F.col("hop") > 0, F.col("hop"))), 9).alias("mean_path"), F.max("hop").alias("eccentricity"))
 
 
 @query("GRA26b_local_energy", f"WITH {PTS}, {edge_sql(8)} SELECT unit, src AS i, 2 * count(*) AS energy FROM e GROUP BY ALL")
@@ -265,9 +294,11 @@ def gra29b(spark, d):
 @query("GRA29c_triangles", f"WITH {PTS}, {edge_sql(8)} SELECT a.unit, a.src AS i, count(*) // 2 AS triangles FROM e a JOIN e b ON a.unit = b.unit AND a.dst = b.src JOIN e c ON c.unit = a.unit AND c.src = b.dst AND c.dst = a.src GROUP BY ALL")
 def gra29c(spark, d):
     """Common neighbours along each edge, from neighbour sets: no triple of edges is made twice over."""
-    e = edge8(spark, d).select("unit", "src", "dst")
-    near = e.groupBy("unit", "src").agg(F.collect_set("dst").alias("s"))
-    j = e.filter("src < dst").join(near, ["unit", "src"]).join(near.select("unit", F.col("src").alias("dst"), F.col("s").alias("t")), ["unit", "dst"])
+    from tessera.session import stored
+
+    pairs = stored(S.radius_pairs(pts(spark, d), 8.0).select("unit", "a_i", "b_i", "d"), "pairs")
+    near = S.both_ways(pairs).groupBy("unit", "src").agg(F.collect_set("dst").alias("s"))
+    j = pairs.select("unit", F.col("a_i").alias("src"), F.col("b_i").alias("dst")).join(near, ["unit", "src"]).join(near.select("unit", F.col("src").alias("dst"), F.col("s").alias("t")), ["unit", "dst"])
     n = j.select("unit", "src", "dst", F.size(F.array_intersect("s", "t")).alias("n"))
     both = n.select("unit", F.col("src").alias("i"), "n").unionByName(n.select("unit", F.col("dst").alias("i"), "n"))
     return both.groupBy("unit", "i").agg(F.floor(F.sum("n") / 2).cast("long").alias("triangles")).filter("triangles > 0")

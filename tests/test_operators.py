@@ -20,14 +20,81 @@ def rng():
     return np.random.default_rng(3)
 
 
+def kruskal(pairs):
+    """(unit, src, dst, d) of the forest, ties by (d, src, dst)."""
+    parent, out = {}, []
+    root = lambda x: x if parent.setdefault(x, x) == x else root(parent[x])
+    for d, s, t, u in sorted((d, s, t, u) for u, s, t, d in pairs):
+        a, b = root((u, s)), root((u, t))
+        if a != b:
+            parent[a] = b
+            out.append((u, s, t, d))
+    return sorted(out)
+
+
 def test_forest_weight_equals_best_of_all_trees():
     n = 5
     r = rng()
     pairs = list(itertools.combinations(range(n), 2))
     d = r.random(len(pairs))
-    p = pd.DataFrame({"src": [a for a, _ in pairs], "dst": [b for _, b in pairs], "d": d})
     best = min(sum(d[list(c)]) for c in itertools.combinations(range(len(pairs)), n - 1) if len(set(graph_roots(n, [pairs[k] for k in c]))) == 1)
-    assert graph.minimum_forest(p).d.sum() == pytest.approx(best)
+    assert sum(e[3] for e in kruskal([(0, *p, w) for p, w in zip(pairs, d, strict=True)])) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_forest_equals_kruskal(spark, ties):
+    r = rng()
+    n = 120
+    rows = [(u, s, t, float(r.integers(1, 4) if ties else r.random())) for u in (0, 1, 2) for s, t in itertools.combinations(range(n), 2) if r.random() < (0.01, 0.05, 0.3)[u]]
+    df = spark.createDataFrame(rows + [(u, t, s, d) for u, s, t, d in rows[::2]], "unit int, src long, dst long, d double")
+    assert sorted(map(tuple, graph.forest(df).collect())) == kruskal(rows)
+    assert graph.forest(df.filter("false")).count() == 0
+
+
+def test_forest_of_a_path(spark):
+    """Least edges that all point one way make one long chain of pointers."""
+    rows = [(0, k, k + 1, 1.0 - k / 1000) for k in range(300)]
+    df = spark.createDataFrame(rows, "unit int, src long, dst long, d double")
+    assert sorted(map(tuple, graph.forest(df).collect())) == kruskal(rows)
+
+
+def test_hop_rows(spark):
+    r = rng()
+    n = 40
+    rows = [(u, s, t) for u in (0, 1) for s, t in itertools.combinations(range(n), 2) if r.random() < 0.06]
+    df = spark.createDataFrame(rows + [(u, t, s) for u, s, t in rows], "unit int, src long, dst long")
+    got = {(x["unit"], x["source"], x["i"]): x["hop"] for x in graph.hop_rows(df, 4).collect()}
+    want = {}
+    for u in (0, 1):
+        a = np.zeros((n, n))
+        for v, s, t in rows:
+            if v == u:
+                a[s, t] = a[t, s] = 1
+        for s in np.flatnonzero(a.sum(1)):
+            want |= {(u, int(s), k): int(h) for k, h in enumerate(graph.hop_distances(a, s)) if 0 <= h <= 4}
+    assert got == want
+    assert graph.hop_rows(df.filter("false"), 4).count() == 0
+
+
+def test_half_neighbourhood_makes_each_pair_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import spatial as S
+
+    r = rng()
+    x = np.round(r.standard_normal((150, 3)) * 6) / 2
+    p = spark.createDataFrame(pd.DataFrame({"unit": np.arange(150) % 2, "i": np.arange(150) // 2, "px": x[:, 0], "py": x[:, 1], "pz": x[:, 2], "w": x[:, 0] * 2}))
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for strict in (False, True):
+        want = sorted((a % 2, a // 2, b // 2, x[a, 0] * 2, x[b, 0] * 2) for a in range(150) for b in range(a + 2, 150, 2) if (d2[a, b] < 4 if strict else d2[a, b] <= 4))
+        got = S.radius_pairs(p, 2.0, columns=["w"], strict=strict)
+        assert sorted(map(tuple, got.select("unit", "a_i", "b_i", "a_w", "b_w").collect())) == want
+        assert sorted(map(tuple, S.edges(p, 2.0, ["w"], strict).select("unit", "src", "dst", "s_w", "t_w").collect())) == sorted(want + [(u, b, a, w, v) for u, a, b, v, w in want])
+    # what the join makes: half of the ordered pairs of different points in the 27 cubes
+    cubes = np.floor(x / 2)
+    near = (np.abs(cubes[:, None] - cubes[None]).max(-1) <= 1) & (np.arange(150)[:, None] % 2 == np.arange(150)[None] % 2)
+    assert S.candidate_pairs(p, 2.0).count() == (near.sum() - 150) // 2
+    assert S.radius_pairs(p.withColumn("px", F.lit(None).cast("double")), 2.0).count() == 0
 
 
 def graph_roots(n, edges):
