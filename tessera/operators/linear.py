@@ -7,6 +7,7 @@ import itertools
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 XYZ = ["px", "py", "pz"]
 
@@ -110,12 +111,12 @@ def elastic_modes(points: DataFrame, k: int = 6, cutoff: float = 12.0) -> DataFr
 
 
 def delaunay(points: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Tetrahedra by incremental insertion (Bowyer and Watson), in exact integers of a thousandth.
+    """Tetrahedra by incremental insertion (Bowyer and Watson), in exact integers of 2**-40.
 
     Whether a point lies in a sphere is first asked of all spheres at once in
     floats; where the sign is within their rounding, of integers.
     """
-    q = [tuple(int(v) for v in np.rint(p * 1000)) for p in points]
+    q = [tuple(int(v) for v in np.rint(p * 2.0**40)) for p in points]
     far = 64 * (max((abs(v) for p in q for v in p), default=1) + 1)
     n = len(q)
     q += [(-far, -far, -far), (4 * far, -far, -far), (-far, 4 * far, -far), (-far, -far, 4 * far)]
@@ -184,20 +185,44 @@ def sphere(a, b, c, d) -> tuple[np.ndarray, float]:
     return centre, float(np.linalg.norm(centre - a))
 
 
-def void_spheres(points: DataFrame, low: float, high: float) -> DataFrame:
-    """Delaunay tetrahedra, of all points of a unit, whose spheres have a radius in the band."""
+def void_spheres(points: DataFrame, low: float, high: float, cell: float | None = None) -> DataFrame:
+    """Delaunay tetrahedra of each unit's points whose spheres have a radius in the band.
+
+    A unit's box is cut into cells at least `cell` wide (by default twice the
+    largest radius). A cell's task gets the points within the largest radius of
+    it, and keeps the spheres whose centres lie in it; outer cells reach to
+    infinity. A sphere's corners and all that could lie in it are within its
+    radius of its centre, so each sphere comes out of one cell, and is empty
+    there where it is empty in the unit. At a fixed density a cell holds a bounded
+    number of points, whatever the unit's size; a box less than two cells wide
+    stays whole.
+    """
+    wide, halo = cell or 2 * high, high * (1 + 1e-9)
+    box = points.groupBy("unit").agg(*[f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
+    placed = points.select("unit", "i", *XYZ).join(box, "unit")
+    for c in XYZ:
+        lo, span = F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")
+        n = F.greatest(F.floor(span / wide), F.lit(1)).cast("int")
+        side = span / n
+        # a box without extent is one cell
+        at = lambda x, n=n, side=side: F.when(side > 0, F.least(F.greatest(F.floor(x / side), F.lit(0)), n - 1)).otherwise(0).cast("int")
+        own = F.explode(F.sequence(at(F.col(c) - lo - halo), at(F.col(c) - lo + halo)))
+        placed = placed.withColumn(f"n_{c}", n).withColumn(f"side_{c}", side).withColumn(f"at_{c}", own)
 
     def of(key, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("i")
-        x = p[XYZ].to_numpy(float)
+        x, first = p[XYZ].to_numpy(float), p.iloc[0]
+        lo, side, n = (first[[f"{k}_{c}" for c in XYZ]].to_numpy(float) for k in ("lo", "side", "n"))
         rows = []
-        for t in delaunay(x):
+        for t in delaunay(x) if len(p) > 3 else []:
             centre, r = sphere(*x[list(t)])
             if low <= r <= high:
-                rows.append((key[0], *[int(p.i.iloc[m]) for m in t], *[float(v) for v in centre], r))
+                at = np.clip(np.floor((centre - lo) / np.where(side > 0, side, 1)), 0, n - 1)
+                if (at == key[1:]).all():
+                    rows.append((key[0], *[int(p.i.iloc[m]) for m in t], *[float(v) for v in centre], r))
         return pd.DataFrame(rows, columns=["unit", "a", "b", "c", "d", "cx", "cy", "cz", "radius"])
 
-    return points.select("unit", "i", *XYZ).groupBy("unit").applyInPandas(of, "unit int, a long, b long, c long, d long, cx double, cy double, cz double, radius double")
+    return placed.groupBy("unit", *[f"at_{c}" for c in XYZ]).applyInPandas(of, "unit int, a long, b long, c long, d long, cx double, cy double, cz double, radius double")
 
 
 def peel_depth(points: DataFrame, directions: int = 32) -> DataFrame:
@@ -221,7 +246,6 @@ def peel_depth(points: DataFrame, directions: int = 32) -> DataFrame:
 def hull_fallback(points: DataFrame) -> DataFrame:
     """Points at or beyond the 85th percentile of the radius about the centre: the form of the hull used where none is built."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
     u = Window.partitionBy("unit")
     r = points.withColumn("r", F.sqrt(sum(((F.col(c) - F.avg(c).over(u)) ** 2 for c in XYZ), F.lit(0.0))))

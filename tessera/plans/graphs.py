@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import detectors as D
 from tessera.operators import graph as G
+from tessera.operators import hull as H
 from tessera.operators import linear as L
 from tessera.operators import spatial as S
 from tessera.operators import windows as W
@@ -235,6 +236,25 @@ def gra24(spark, d):
     return L.hull_fallback(pts(spark, d)).withColumnRenamed("outer", "outer_")
 
 
+#: Planes through three points that leave all others on one side.
+FACETS = """tr AS (SELECT unit, (uy * vz - uz * vy) AS nx, (uz * vx - ux * vz) AS ny, (ux * vy - uy * vx) AS nz, ax, ay, az, ai, bi, ci
+           FROM (SELECT a.unit, a.i AS ai, b.i AS bi, c.i AS ci, a.px AS ax, a.py AS ay, a.pz AS az, b.px - a.px AS ux, b.py - a.py AS uy, b.pz - a.pz AS uz, c.px - a.px AS vx, c.py - a.py AS vy, c.pz - a.pz AS vz
+                 FROM pts a JOIN pts b ON a.unit = b.unit AND a.i < b.i JOIN pts c ON c.unit = a.unit AND c.i > b.i)),
+    fa AS MATERIALIZED (SELECT tr.unit, ai, bi, ci, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz, any_value(ax) AS ax, any_value(ay) AS ay, any_value(az) AS az FROM tr JOIN pts p ON p.unit = tr.unit
+           GROUP BY tr.unit, ai, bi, ci HAVING min((px - ax) * nx + (py - ay) * ny + (pz - az) * nz) > -1e-9 OR max((px - ax) * nx + (py - ay) * ny + (pz - az) * nz) < 1e-9)"""
+
+
+@query("GRA24b_hull_corners", f"WITH {PTS}, {FACETS} SELECT DISTINCT unit, unnest([ai, bi, ci]) AS i FROM fa")
+def gra24b(spark, d):
+    return H.hull_corners(pts(spark, d)).select("unit", "i")
+
+
+@query("GRA24c_hull_depth", f"WITH {PTS}, {FACETS} SELECT p.unit, p.i, round(min(abs((px - ax) * nx + (py - ay) * ny + (pz - az) * nz) / sqrt(nx * nx + ny * ny + nz * nz)), 6) + 0 AS depth FROM pts p JOIN fa ON fa.unit = p.unit GROUP BY p.unit, p.i")
+def gra24c(spark, d):
+    p = pts(spark, d)
+    return H.hull_depth(p, H.hull_planes(H.hull_corners(p))).select("unit", "i", F.abs(F.round("depth", 6)).alias("depth"))
+
+
 def _components_sql(r):
     return f"""WITH RECURSIVE {PTS}, f AS (SELECT * FROM pts WHERE v > 0), {edge_sql(r).replace('pts a JOIN pts b', 'f a JOIN f b')},
     w AS (SELECT unit, i, i AS root FROM f UNION SELECT e.unit, e.dst, w.root FROM w JOIN e ON e.unit = w.unit AND e.src = w.i),
@@ -327,9 +347,19 @@ def gra32(spark, d):
     return D.free_runs(pts(spark, d)).select("unit", "i", F.round("longest", 7).alias("longest"), F.round("mean", 7).alias("mean"))
 
 
-@query("GRA33_void_spheres")
+#: Spheres through four points, by Cramer's rule, that hold no fifth one.
+SPHERES = """qu AS (SELECT a.unit, a.i AS a, b.i AS b, c.i AS c, d.i AS d, a.px AS ox, a.py AS oy, a.pz AS oz, b.px - a.px AS bx, b.py - a.py AS by_, b.pz - a.pz AS bz, c.px - a.px AS cx, c.py - a.py AS cy, c.pz - a.pz AS cz, d.px - a.px AS dx, d.py - a.py AS dy, d.pz - a.pz AS dz
+           FROM pts a JOIN pts b ON a.unit = b.unit AND a.i < b.i JOIN pts c ON c.unit = a.unit AND c.i > b.i JOIN pts d ON d.unit = a.unit AND d.i > c.i),
+    de AS (SELECT *, 2 * (bx * (cy * dz - cz * dy) - by_ * (cx * dz - cz * dx) + bz * (cx * dy - cy * dx)) AS v, bx * bx + by_ * by_ + bz * bz AS bb, cx * cx + cy * cy + cz * cz AS cc, dx * dx + dy * dy + dz * dz AS dd FROM qu),
+    ce AS (SELECT unit, a, b, c, d, ox, oy, oz, (bb * (cy * dz - cz * dy) + cc * (dy * bz - dz * by_) + dd * (by_ * cz - bz * cy)) / v AS x, (bb * (cz * dx - cx * dz) + cc * (dz * bx - dx * bz) + dd * (bz * cx - bx * cz)) / v AS y, (bb * (cx * dy - cy * dx) + cc * (dx * by_ - dy * bx) + dd * (bx * cy - by_ * cx)) / v AS z FROM de WHERE v <> 0),
+    sp AS (SELECT unit, a, b, c, d, ox + x AS cx, oy + y AS cy, oz + z AS cz, sqrt(x * x + y * y + z * z) AS radius FROM ce),
+    em AS (SELECT * FROM sp WHERE radius BETWEEN 3 AND 12 AND NOT EXISTS (SELECT 1 FROM pts p WHERE p.unit = sp.unit AND p.i NOT IN (a, b, c, d) AND (px - cx) ** 2 + (py - cy) ** 2 + (pz - cz) ** 2 < radius * radius))"""
+
+
+@query("GRA33_void_spheres", f"WITH {PTS}, {SPHERES} SELECT unit, a, b, c, d, round(cx, 6) + 0 AS cx, round(cy, 6) + 0 AS cy, round(cz, 6) + 0 AS cz, round(radius, 6) AS radius FROM em")
 def gra33(spark, d):
-    return L.void_spheres(pts(spark, d), 3.0, 12.0)
+    """Empty spheres through four points, with radii of 3 to 12."""
+    return L.void_spheres(pts(spark, d), 3.0, 12.0).select("unit", "a", "b", "c", "d", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "radius")])
 
 
 @query("GRA34_triangular_field_solve")

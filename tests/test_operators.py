@@ -235,3 +235,79 @@ def test_mid_rank_ties_and_radius_join_on_points(spark):
     assert got == {(a, b) for a in range(80) for b in range(a + 1, 80) if d2[a, b] <= 9.0}
     d = [v["d"] for v in spark.createDataFrame([(0, v) for v in (1.0, 1.0, 1.0, 1.0)], "unit int, x double").select(quartile_digit("x").alias("d")).collect()]
     assert len(set(d)) == 1
+
+
+def points_df(spark, x, unit=0):
+    return spark.createDataFrame(pd.DataFrame({"unit": unit, "i": np.arange(len(x)), "px": x[:, 0], "py": x[:, 1], "pz": x[:, 2]}))
+
+
+@pytest.mark.parametrize("wide", [3.0, 5.0, 9.0, 1e9])
+def test_void_spheres_by_cells(spark, wide):
+    """Cells give the spheres that the whole unit gives, each once."""
+    r = rng()
+    x = np.vstack([r.random((140, 3)) * [30, 20, 12], r.random((40, 3)) * [5, 5, 40] - 5])
+    want = []
+    for t in linear.delaunay(x):
+        centre, radius = linear.sphere(*x[list(t)])
+        if 1.0 <= radius <= 3.0:
+            want.append((*t, *centre, radius))
+    got = sorted(tuple(v)[1:] for v in linear.void_spheres(points_df(spark, x), 1.0, 3.0, wide).collect())
+    assert len(want) > 50 and [g[:4] for g in got] == [w[:4] for w in sorted(want)]
+    assert np.allclose(got, sorted(want))
+
+
+def test_void_spheres_of_few_or_flat_points(spark):
+    for x in (np.zeros((0, 3)), np.zeros((1, 3)), np.eye(3), np.array([[k, k % 3, 0.0] for k in range(9)])):
+        df = points_df(spark, x) if len(x) else points_df(spark, np.eye(3)).filter("false")
+        assert linear.void_spheres(df, 0.1, 3.0).count() == 0
+
+
+def hull_sets():
+    r = rng()
+    grid = np.array(list(itertools.product(range(4), repeat=3)), float)
+    ball = r.standard_normal((90, 3))
+    shell = ball / np.sqrt((ball**2).sum(1))[:, None] * 7
+    return {"ball": ball, "shell": shell, "grid": grid, "repeated": np.vstack([ball[:20], ball[:20]]), "tetra": np.vstack([np.zeros(3), np.eye(3)]), "octahedron": np.vstack([np.eye(3), -np.eye(3), np.zeros((1, 3))]), "prism": np.array([[np.cos(a), np.sin(a), z] for a in range(6) for z in (0, 1, 2)])}
+
+
+def plain_hull(x):
+    """Planes by the definition, over all triples; corners are where three of them meet."""
+    planes = {}
+    for a, b, c in itertools.combinations(range(len(x)), 3):
+        n = np.cross(x[b] - x[a], x[c] - x[a])
+        if (size := np.sqrt(n @ n)) < 1e-12:
+            continue
+        side = (x - x[a]) @ n / size
+        for sign in (1, -1):
+            if (sign * side <= 1e-9).all():
+                planes[tuple(np.round(sign * n / size, 6) + 0.0)] = (sign * n / size, np.flatnonzero(np.abs(side) < 1e-9))
+    met = [sum(k in on for _, on in planes.values()) for k in range(len(x))]
+    return planes, [k for k in range(len(x)) if met[k] > 2]
+
+
+@pytest.mark.parametrize("name", hull_sets())
+@pytest.mark.parametrize("size", [6, 2048])
+def test_hull(spark, name, size):
+    from tessera.operators import hull
+
+    x = hull_sets()[name]
+    planes, corners = plain_hull(x)
+    first = {tuple(v): k for k, v in reversed(list(enumerate(x)))}
+    df = points_df(spark, x)
+    found = hull.hull_corners(df, size)
+    assert sorted(r["i"] for r in found.collect()) == sorted({first[tuple(x[k])] for k in corners})
+    got = hull.hull_planes(found).first()["planes"]
+    assert {tuple(np.round([e["x"], e["y"], e["z"]], 6) + 0.0) for e in got} == set(planes)
+    depth = {r["i"]: r["depth"] for r in hull.hull_depth(df, hull.hull_planes(found)).collect()}
+    want = [min(-(x[k] - x[on[0]]) @ n for n, on in planes.values()) for k in range(len(x))]
+    assert np.allclose([depth[k] for k in range(len(x))], want, atol=1e-9)
+
+
+def test_hull_of_flat_or_few_points(spark):
+    from tessera.operators import hull
+
+    flat = points_df(spark, np.array([[k % 4, k // 4, 2.0] for k in range(16)]))
+    assert hull.hull_corners(flat, 5).count() == 16
+    assert {r["depth"] for r in hull.hull_depth(flat, hull.hull_planes(hull.hull_corners(flat))).collect()} == {None}
+    none = flat.filter("false")
+    assert hull.hull_corners(none).count() == 0 and hull.hull_depth(none, hull.hull_planes(hull.hull_corners(none))).count() == 0
