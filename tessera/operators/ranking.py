@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.windows import mid_rank, unit_size
+from tessera.session import stored
 
 
 def top_share(score: str, q: float, unit: str = "unit", order: str = "i") -> Column:
@@ -21,12 +22,12 @@ def top_rows(df: DataFrame, order: list, k: int, keys: list[str]) -> DataFrame:
 def suppress(df: DataFrame, score: str, xyz: tuple[str, str, str], apart: float, k: int, unit: str = "unit", order: str = "i") -> DataFrame:
     """Greedy suppression: by descending score, keep a point at least `apart` from all kept, up to k per unit.
 
-    k rounds over all points: the best of each unit that is far from those kept
+    Points are stored first, since each of k rounds reads them: the best of each unit that is far from those kept
     joins them. A round is a grouped maximum, so a unit of any size spreads over
     tasks; the kept ones, k per unit at most, are all that meets the points again.
     """
     point = F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"), F.col(order).alias("i"), F.array(*xyz).alias("p"))
-    points = df.select(unit, point.alias("c"))
+    points = stored(df.select(unit, point.alias("c")), "points")
     kept = points.groupBy(unit).agg(F.array(F.max("c")).alias("kept"))
     far = lambda a, b: F.sqrt(sum((F.pow(F.get(a["p"], F.lit(j)) - F.get(b["p"], F.lit(j)), F.lit(2.0)) for j in range(3)), F.lit(0.0))) >= apart
     for _ in range(k - 1):

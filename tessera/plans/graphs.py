@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import detectors as D
+from tessera.operators import ego as E
 from tessera.operators import graph as G
 from tessera.operators import hull as H
 from tessera.operators import linear as L
@@ -324,6 +325,34 @@ def gra29c(spark, d):
     return both.groupBy("unit", "i").agg(F.floor(F.sum("n") / 2).cast("long").alias("triangles")).filter("triangles > 0")
 
 
+#: Members of each point's lining (itself included), and who touches whom among them.
+LINING = """nb AS (SELECT a.unit, a.i AS c, b.i, row_number() OVER (PARTITION BY a.unit, a.i ORDER BY sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2), b.i) AS r FROM pts a JOIN pts b ON a.unit = b.unit AND a.i <> b.i AND (a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2 <= 100),
+    mb AS (SELECT unit, c, i FROM nb WHERE r <= 48 UNION ALL SELECT DISTINCT unit, c, c FROM nb), mp AS (SELECT mb.unit, mb.c, mb.i, px, py, pz FROM mb JOIN pts ON mb.unit = pts.unit AND mb.i = pts.i),
+    ad AS MATERIALIZED (SELECT a.unit, a.c, a.i AS x, b.i AS y FROM mp a JOIN mp b ON a.unit = b.unit AND a.c = b.c AND a.i <> b.i AND (a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2 <= 49),
+    t1 AS (SELECT a.unit, a.c, count(*) // 2 AS v FROM ad a JOIN ad b ON a.unit = b.unit AND a.c = b.c AND a.y = b.x JOIN ad z ON z.unit = a.unit AND z.c = a.c AND z.x = b.y AND z.y = a.c WHERE a.x = a.c GROUP BY ALL),
+    pa AS (SELECT a.unit, a.c, b.y AS far, count(*) AS n FROM ad a JOIN ad b ON a.unit = b.unit AND a.c = b.c AND a.y = b.x WHERE a.x = a.c AND b.y <> a.c GROUP BY ALL),
+    fa AS (SELECT * FROM pa WHERE NOT EXISTS (SELECT 1 FROM ad WHERE ad.unit = pa.unit AND ad.c = pa.c AND ad.x = pa.c AND ad.y = pa.far)),
+    t2 AS (SELECT unit, c, sum(n * (n - 1) // 2) AS v, count(*) AS two FROM fa GROUP BY ALL),
+    wa AS MATERIALIZED (SELECT * FROM ad WHERE x <> c AND y <> c),
+    t3 AS (SELECT a.unit, a.c, count(*) // 6 AS v FROM wa a JOIN wa b ON a.unit = b.unit AND a.c = b.c AND a.y = b.x JOIN wa z ON z.unit = a.unit AND z.c = a.c AND z.x = b.y AND z.y = a.x GROUP BY ALL),
+    t4 AS (SELECT unit, c, count(*) AS v FROM (SELECT unit, c, x FROM wa GROUP BY ALL HAVING count(*) = 1) GROUP BY ALL),
+    t5 AS (SELECT a.unit, a.c, count(*) AS v FROM ad a JOIN ad b ON a.unit = b.unit AND a.c = b.c AND a.y = b.x AND b.y <> a.c JOIN wa z ON z.unit = a.unit AND z.c = a.c AND z.x = b.y AND z.y <> a.y
+           WHERE a.x = a.c AND NOT EXISTS (SELECT 1 FROM ad q WHERE q.unit = a.unit AND q.c = a.c AND q.x = a.c AND q.y IN (b.y, z.y)) AND NOT EXISTS (SELECT 1 FROM ad q WHERE q.unit = a.unit AND q.c = a.c AND q.x = a.y AND q.y = z.y) GROUP BY ALL)"""
+
+
+@query("GRA29e_lining_counts", f"""WITH {PTS}, {LINING} SELECT m.unit, m.c AS i, coalesce(t1.v, 0) AS tri_centre, CAST(coalesce(t2.v, 0) AS BIGINT) AS c4_centre, coalesce(t5.v, 0) AS p4_centre, coalesce(t2.two, 0) AS expansion, coalesce(t3.v, 0) AS tri_wall, coalesce(t4.v, 0) AS leaves_wall
+    FROM (SELECT DISTINCT unit, c FROM nb) m LEFT JOIN t1 USING (unit, c) LEFT JOIN t2 USING (unit, c) LEFT JOIN t3 USING (unit, c) LEFT JOIN t4 USING (unit, c) LEFT JOIN t5 USING (unit, c)""")
+def gra29e(spark, d):
+    """Counts of each point's lining: its 48 nearest within 10, touching at 7."""
+    return E.lining_counts(E.linings(pts(spark, d)))
+
+
+@query("GRA29d_lining_invariants")
+def gra29d(spark, d):
+    """Fifteen invariants of each point's lining."""
+    return E.lining_invariants(pts(spark, d))
+
+
 @query("GRA30_superposition")
 def gra30(spark, d):
     p = pts(spark, d)
@@ -521,7 +550,7 @@ def fea22(spark, d):
 
 @query("FEA23_graph_columns")
 def fea23(spark, d):
-    return gra29(spark, d)
+    return gra29d(spark, d)
 
 
 @query("FEA24_sequence_geometry", f"WITH {PTS} SELECT unit, i, {', '.join(f'round(coalesce(sqrt((lead(px, {k}) OVER w - px) ** 2 + (lead(py, {k}) OVER w - py) ** 2 + (lead(pz, {k}) OVER w - pz) ** 2), 0), 7) AS d{k}' for k in (1, 2, 4))} FROM pts WINDOW w AS (PARTITION BY unit ORDER BY i)")

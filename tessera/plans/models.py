@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import grid
 from tessera.operators import ranking as R
 from tessera.operators import spatial as S
 from tessera.operators import tables as T
@@ -15,7 +16,7 @@ from tessera.operators import windows as W
 from tessera.plans.bindings import EV, PTS, ev, pts
 from tessera.plans.registry import query
 from tessera.plans.scored import AUC, F1
-from tessera.plans.spatial import ADR, CELL, DIG, TABLES, addresses, digits
+from tessera.plans.spatial import ADR, CELL, D2, DIG, TABLES, addresses, digits
 
 BASE = "(SELECT avg(y) FROM dg)"
 SCORE = f"{ADR}, {CELL}, sc AS (SELECT ad.unit, ad.i, any_value(ad.y) AS y, sum(pos / tot::DOUBLE) AS x FROM ad JOIN ce USING (t, addr) GROUP BY ad.unit, ad.i)"
@@ -422,12 +423,24 @@ for _n, _s in {"DET10_with_geometry": "k // 7", "DET11_with_seams": "k // 3", "D
     _wider(_n, _s, "cast(" + _s.replace("//", "div") + " as bigint)")
 
 
-@query("DET01_free_grid")
+RAYS = "ry AS (SELECT * FROM (VALUES " + ", ".join(f"({1 << k}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for k, (x, y, z) in enumerate(grid.directions(30))) + ") t(bit, v0, v1, v2))"
+#: The grid of each unit's box, what is free of it, how buried that is, and the score of the buried.
+GRID = f"""bx AS (SELECT unit, min(px) - 3 AS lx, min(py) - 3 AS ly, min(pz) - 3 AS lz, CAST(ceil((max(px) + 3 + 1.5 - (min(px) - 3)) / 1.5) AS BIGINT) AS nx, CAST(ceil((max(py) + 3 + 1.5 - (min(py) - 3)) / 1.5) AS BIGINT) AS ny, CAST(ceil((max(pz) + 3 + 1.5 - (min(pz) - 3)) / 1.5) AS BIGINT) AS nz FROM pts GROUP BY unit),
+    gr AS (SELECT unit, (x * ny + y) * nz + z AS i, lx + x * 1.5::DOUBLE AS gx, ly + y * 1.5::DOUBLE AS gy, lz + z * 1.5::DOUBLE AS gz FROM bx, LATERAL (SELECT unnest(range(nx)) AS x), LATERAL (SELECT unnest(range(ny)) AS y), LATERAL (SELECT unnest(range(nz)) AS z)),
+    df AS (SELECT g.*, px - gx AS o0, py - gy AS o1, pz - gz AS o2 FROM gr g JOIN pts p ON g.unit = p.unit),
+    fr AS MATERIALIZED (SELECT unit, i, any_value(gx) AS px, any_value(gy) AS py, any_value(gz) AS pz FROM df GROUP BY unit, i HAVING min(o0 * o0 + o1 * o1 + o2 * o2) > 6.76 AND min(o0 * o0 + o1 * o1 + o2 * o2) < 36),
+    hi AS (SELECT unit, i, bit_or(bit) AS bits FROM (SELECT df.unit, df.i, bit, o0 * v0 + o1 * v1 + o2 * v2 AS along, o0 * o0 + o1 * o1 + o2 * o2 AS d2 FROM df SEMI JOIN fr ON df.unit = fr.unit AND df.i = fr.i JOIN ry ON o0 * o0 + o1 * o1 + o2 * o2 <= 121) WHERE along > 0 AND along <= 11 AND d2 - along * along <= 3.24 GROUP BY ALL),
+    bu AS (SELECT fr.*, coalesce(bit_count(bits), 0) / 30.0::DOUBLE AS buried FROM fr LEFT JOIN hi ON fr.unit = hi.unit AND fr.i = hi.i),
+    dp AS MATERIALIZED (SELECT * FROM (SELECT *, max(buried) OVER (PARTITION BY unit) AS top, row_number() OVER (PARTITION BY unit ORDER BY buried DESC, i) AS r FROM bu) WHERE buried >= 0.55 OR top < 0.55 AND r <= 50),
+    gs AS (SELECT a.unit, a.i, any_value(a.px) AS px, any_value(a.py) AS py, any_value(a.pz) AS pz, round(any_value(a.buried) * ln(1.0::DOUBLE + count(*)), 9) AS v FROM dp a JOIN dp b ON a.unit = b.unit AND {D2} <= 64 GROUP BY a.unit, a.i)"""
+
+
+@query("DET01_free_grid", f"""WITH {PTS}, {RAYS}, {GRID}, r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY v DESC, i) AS rank FROM gs), l AS (SELECT unit, list(struct_pack(i := i, s := v, px := px, py := py, pz := pz) ORDER BY rank) AS c FROM r GROUP BY unit),
+    k AS (SELECT unit, list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 5 AND len(list_filter(acc, lambda o: sqrt((o.px - x[1].px) ** 2 + (o.py - x[1].py) ** 2 + (o.pz - x[1].pz) ** 2) < 6)) = 0 THEN list_concat(acc, x) ELSE acc END) AS kept FROM l),
+    u AS (SELECT unit, CAST(generate_subscripts(kept, 1) AS INTEGER) AS place, unnest(kept) AS c FROM k) SELECT unit, place, c.i AS i, c.s AS score FROM u""")
 def det01(spark, d):
-    """Dense neighbourhoods by score, thinned by greedy suppression."""
-    p = pts(spark, d)
-    n = S.radius_join(p, p, 8.0).groupBy("unit", F.col("a_i").alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    s = p.join(n, ["unit", "i"]).withColumn("score", F.round(F.col("n") * F.log1p(F.col("n")), 9))
+    """Free grid points at least 0.55 buried (else the 50 most buried), scored by burial and buried company, thinned by greedy suppression."""
+    s = grid.pocket_scores(pts(spark, d)).withColumn("score", F.round("score", 9))
     return R.suppress(s, "score", S.XYZ, 6.0, 5)
 
 

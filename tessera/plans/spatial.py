@@ -14,7 +14,6 @@ from tessera.plans.registry import query
 from tessera.session import table
 
 D2 = "((a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2)"
-ATOMS = "at AS (SELECT l_suppkey % 7 AS unit, l_orderkey * 8 + l_linenumber AS i, l_quantity::DOUBLE AS px, round(l_discount * 100, 0)::DOUBLE AS py, round(l_tax * 100, 0)::DOUBLE AS pz FROM lineitem WHERE l_orderkey % 40 = 0)"
 
 
 def edge_sql(r, name="e", op="<="):

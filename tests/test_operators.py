@@ -311,3 +311,134 @@ def test_hull_of_flat_or_few_points(spark):
     assert {r["depth"] for r in hull.hull_depth(flat, hull.hull_planes(hull.hull_corners(flat))).collect()} == {None}
     none = flat.filter("false")
     assert hull.hull_corners(none).count() == 0 and hull.hull_depth(none, hull.hull_planes(hull.hull_corners(none))).count() == 0
+
+
+def plain_grid(x, step=1.5):
+    """i, place, burial and score of buried free places, by the definition, point by point."""
+    lo, hi = x.min(0) - 3, x.max(0) + 3
+    axes = [lo[j] + step * np.arange(int(np.ceil((hi[j] + step - lo[j]) / step))) for j in range(3)]
+    g = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
+    near = np.sqrt(((g[:, None] - x[None]) ** 2).sum(-1).min(1))
+    at = np.flatnonzero((near > 2.6) & (near < 6))
+    from tessera.operators.grid import directions
+
+    ways = np.array(directions(30))
+    assert np.allclose((ways**2).sum(1), 1)
+    bur = []
+    for p in g[at]:
+        off = x - p
+        along = off @ ways.T
+        bur.append(((along > 0) & (along <= 11) & ((off**2).sum(1)[:, None] - along**2 <= 1.8**2) & ((off**2).sum(1)[:, None] <= 121)).any(0).mean())
+    bur = np.array(bur)
+    keep = bur >= 0.55
+    if not keep.any():
+        keep[np.argsort(-bur, kind="stable")[:50]] = True
+    at, bur = at[keep], bur[keep]
+    n = (((g[at][:, None] - g[at][None]) ** 2).sum(-1) <= 64).sum(1)
+    return {int(k): (b, b * np.log1p(c)) for k, b, c in zip(at, bur, n, strict=True)}
+
+
+def test_pocket_grid(spark):
+    from tessera.operators import grid
+
+    r = rng()
+    shell = r.standard_normal((400, 3))
+    shell = 9 * shell / np.sqrt((shell**2).sum(1))[:, None]
+    sets = {0: shell, 1: r.random((30, 3)) * 20, 2: np.zeros((1, 3))}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"unit": u, "i": np.arange(len(x)), "px": x[:, 0], "py": x[:, 1], "pz": x[:, 2]}) for u, x in sets.items()]))
+    got = {}
+    for v in grid.pocket_scores(df).collect():
+        got.setdefault(v["unit"], {})[v["i"]] = (v["buried"], v["score"])
+    for u, x in sets.items():
+        want = plain_grid(x)
+        assert set(got[u]) == set(want)
+        assert np.allclose([got[u][k] for k in sorted(want)], [want[k] for k in sorted(want)])
+    assert max(b for b, _ in got[0].values()) > 0.55 > max(b for b, _ in got[2].values())
+    assert grid.pocket_scores(df.filter("false")).count() == 0
+
+
+def plain_invariants(a):
+    """The fifteen numbers by their definitions, over all subsets."""
+    n = len(a)
+    hops = lambda m, s: graph.hop_distances(m, s)
+    own = [k for k in range(1, n) if a[0, k]]
+    common = lambda x, y: sum(a[x, k] and a[y, k] for k in range(n))
+    core = max(len(own) and k for k in range(n) if any(0 in c and all(sum(a[x, y] for y in c) >= k for x in c) for m in range(1, n + 1) for c in itertools.combinations(range(n), m)))
+    clique = max(m for m in range(1, n + 1) if any(0 in c and all(a[x, y] for x, y in itertools.combinations(c, 2)) for c in itertools.combinations(range(n), m)))
+    p4 = sum(a[0, x] and a[x, y] and a[y, z] and not a[0, y] and not a[0, z] and not a[x, z] for x, y, z in itertools.permutations(range(1, n), 3))
+    w = a[1:, 1:]
+    m = n - 1
+    cycles = [k for k in range(3, m + 1) if any(all(w[c[j], c[(j + 1) % k]] for j in range(k)) for c in itertools.permutations(range(m), k))]
+    d = [hops(w, s) for s in range(m)]
+    parts = lambda g, keep: len({frozenset(np.flatnonzero(hops(g, s) >= 0)) for s in keep})
+    base = parts(w, range(m))
+    bridges = cuts = 0
+    for x, y in itertools.combinations(range(m), 2):
+        if w[x, y]:
+            g = w.copy()
+            g[x, y] = g[y, x] = 0
+            bridges += parts(g, range(m)) > base
+    for x in range(m):
+        g = w.copy()
+        g[x] = g[:, x] = 0
+        cuts += parts(g, [k for k in range(m) if k != x]) > base - (not w[x].any())
+    big = max(range(m), key=lambda s: ((d[s] >= 0).sum(), -s))
+    inside = np.flatnonzero(d[big] >= 0)
+    odd = any(all(w[c[j], c[(j + 1) % k]] for j in range(k)) for k in range(3, m + 1, 2) for c in itertools.permutations(range(m), k))
+    return (
+        sum(a[x, y] for x, y in itertools.combinations(own, 2)), sum(common(0, k) * (common(0, k) - 1) // 2 for k in range(1, n) if not a[0, k]), core, max(hops(a, 0)), clique, p4,
+        int((hops(a, 0) == 2).sum()), sum(w[x, y] and w[y, z] and w[x, z] for x, y, z in itertools.combinations(range(m), 3)), min(cycles, default=0), max(d[s].max() for s in inside), sum(d[s][d[s] > 0].sum() for s in inside) // 2,
+        bridges, cuts, int((w.sum(1) == 1).sum()), int(not odd),
+    )
+
+
+def test_invariants_of_linings_by_definition():
+    from tessera.operators import ego
+
+    r = rng()
+    for _ in range(40):
+        n = int(r.integers(2, 8))
+        a = np.triu(r.random((n, n)) < r.choice([0.25, 0.5, 0.8]), 1).astype(int)
+        a = a + a.T
+        masks = [sum(int(v) << k for k, v in enumerate(row)) for row in a]
+        assert ego.invariants(masks) == tuple(map(int, plain_invariants(a))), a
+
+
+def test_invariants_of_known_graphs():
+    from tessera.operators import ego
+
+    named = lambda edges, n: dict(zip(ego.INVARIANTS, ego.invariants([sum(1 << b for a, b in [*edges, *((y, x) for x, y in edges)] if a == k) for k in range(n)]), strict=True))
+    wheel = named([(0, k) for k in range(1, 14)] + [(k, k % 13 + 1) for k in range(1, 14)], 14)
+    assert (wheel["tri_centre"], wheel["kcore"], wheel["maxclique"], wheel["girth_wall"], wheel["diam_wall"], wheel["bipartite_wall"]) == (13, 3, 3, 0, 6, 0)
+    wheel = named([(0, k) for k in range(1, 13)] + [(k, k % 12 + 1) for k in range(1, 13)], 13)
+    assert (wheel["girth_wall"], wheel["bipartite_wall"], wheel["wiener_wall"], wheel["bridges_wall"]) == (12, 1, 216, 0)
+    full = named(list(itertools.combinations(range(49), 2)), 49)
+    assert (full["maxclique"], full["kcore"], full["tri_centre"], full["tri_wall"], full["p4_centre"]) == (49, 48, 48 * 47 // 2, 48 * 47 * 46 // 6, 0)
+    path = named([(k, k + 1) for k in range(20)], 21)
+    assert (path["ecc_centre"], path["p4_centre"], path["bridges_wall"], path["artic_wall"], path["leaves_wall"], path["diam_wall"]) == (20, 1, 19, 18, 2, 19)
+
+
+def test_linings(spark):
+    """Masks, the cap of 48 and points without neighbours, against distances."""
+    from tessera.operators import ego
+
+    r = rng()
+    x = np.vstack([r.standard_normal((70, 3)) * 4, [[100, 100, 100]]])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    df = points_df(spark, x)
+    want = {}
+    for k in range(len(x)):
+        near = [j for j in range(len(x)) if j != k and d[k, j] <= 10]
+        if len(near) > 48:
+            near = sorted(near, key=lambda j: (d[k, j], j))[:48]
+        s = [k, *near]
+        if near:
+            want[k] = [sum(1 << b for b, q in enumerate(s) if q != p and d[p, q] <= 7) for p in s]
+    assert any(len(v) == 49 for v in want.values()) and any(len(v) < 49 for v in want.values())
+    got = {v["i"]: v["masks"] for v in ego.linings(df).collect()}
+    assert got == want
+    full = {v["i"]: tuple(v)[2:] for v in ego.lining_invariants(df).collect()}
+    assert full == {k: ego.invariants(want[k]) if k in want else (0,) * 15 for k in range(len(x))}
+    few = {v["i"]: v.asDict() for v in ego.lining_counts(ego.linings(df)).collect()}
+    for k, v in few.items():
+        assert all(full[k][ego.INVARIANTS.index(c)] == n for c, n in v.items() if c in ego.INVARIANTS)
