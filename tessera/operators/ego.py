@@ -25,9 +25,10 @@ INVARIANTS = ("tri_centre", "c4_centre", "kcore", "ecc_centre", "maxclique", "p4
 
 
 def linings(points: DataFrame, near: float = 10.0, touch: float = 7.0, most: int = 48) -> DataFrame:
-    """unit, i, masks: for each point with neighbours within `near`, who touches whom among it and its `most` nearest.
+    """unit, i, masks, wide: for each point with neighbours within `near`, who touches whom among it and its `most` nearest.
 
-    Members are in order of their indices, or of distance where some were left out.
+    masks says who lies within `touch`, wide who lies within `near`. Members are
+    in order of their indices, or of distance where some were left out.
     """
     pair = both_ways(radius_pairs(points, near), XYZ)
     w = Window.partitionBy("unit", "src")
@@ -38,8 +39,8 @@ def linings(points: DataFrame, near: float = 10.0, touch: float = 7.0, most: int
     found = ranked.groupBy("unit", F.col("src").alias("i")).agg(F.array_sort(F.collect_list(member)).alias("others"), F.any_value(own).alias("own"))
     d2 = lambda x, y: sum(((x[c] - y[c]) * (x[c] - y[c]) for c in XYZ[1:]), (x[XYZ[0]] - y[XYZ[0]]) * (x[XYZ[0]] - y[XYZ[0]]))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    touches = lambda x, j: F.aggregate(F.transform("m", lambda y, k: F.when((j != k) & (d2(x, y) <= touch * touch), bit(k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return found.select("unit", "i", F.concat(F.array("own"), "others").alias("m")).select("unit", "i", F.transform("m", touches).alias("masks"))
+    touches = lambda r: lambda x, j: F.aggregate(F.transform("m", lambda y, k: F.when((j != k) & (d2(x, y) <= r * r), bit(k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return found.select("unit", "i", F.concat(F.array("own"), "others").alias("m")).select("unit", "i", F.transform("m", touches(touch)).alias("masks"), F.transform("m", touches(near)).alias("wide"))
 
 
 def _summed(f) -> Column:
@@ -145,8 +146,7 @@ def invariants(masks: list[int]) -> tuple[int, ...]:
         parts.setdefault(sum(x), s)
     biggest = max(parts, key=lambda m: (m.bit_count(), -parts[m]))
     inside = [steps[s] for s in bits(biggest)]
-    matrix = np.array([[m >> k & 1 for k in range(len(wall))] for m in wall])
-    bridges, cuts = cut_parts(matrix)
+    bridges, cuts = cut_parts(matrix(wall))
     return (
         sum((masks[k] & own).bit_count() for k in near0) // 2,
         sum(c * (c - 1) // 2 for c in squares),
@@ -166,15 +166,37 @@ def invariants(masks: list[int]) -> tuple[int, ...]:
     )
 
 
-def lining_invariants(points: DataFrame, near: float = 10.0, touch: float = 7.0, most: int = 48) -> DataFrame:
-    """unit, i and the fifteen invariants of each point's lining; all 0 for a point without neighbours."""
+def matrix(masks: list[int]) -> np.ndarray:
+    return np.array([[m >> k & 1 for k in range(len(masks))] for m in masks], float).reshape(len(masks), -1)
+
+
+def spectrum(wide: list[int], masks: list[int]) -> tuple[float, float, float, int, int]:
+    """Second and largest eigenvalue of the lining's Laplacian, its mean degree, and of the wall, by touch, the parts and the independent cycles."""
+    a = matrix(wide)
+    w = np.linalg.eigvalsh(np.diag(a.sum(1)) - a)
+    wall = [m >> 1 for m in masks[1:]]
+    parts = len({sum(layers(wall, s)) for s in range(len(wall))})
+    return float(w[1]), float(w[-1]), float(a.sum() / len(a)), parts, sum(m.bit_count() for m in wall) // 2 - len(wall) + parts
+
+
+def _by_row(points: DataFrame, rows: DataFrame, f, columns: dict[str, str]) -> DataFrame:
+    """unit, i and f(row) for each lining; zeros for points without neighbours."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = np.array([invariants([int(m) for m in x]) for x in b["masks"]], np.int64).reshape(-1, len(INVARIANTS))
-            yield pd.DataFrame({"unit": b["unit"], "i": b["i"], **dict(zip(INVARIANTS, found.T, strict=True))})
+            found = [f([int(m) for m in x], [int(m) for m in y]) for x, y in zip(b["wide"], b["masks"], strict=True)]
+            yield pd.DataFrame({"unit": b["unit"], "i": b["i"], **{c: pd.Series([r[k] for r in found], dtype="float64" if t == "double" else "int64") for k, (c, t) in enumerate(columns.items())}})
 
-    rows = linings(points, near, touch, most)
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    found = rows.mapInPandas(run, f"unit {kind['unit']}, i {kind['i']}, " + ", ".join(f"{c} long" for c in INVARIANTS))
-    return points.select("unit", "i").join(found, ["unit", "i"], "left").select("unit", "i", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in INVARIANTS])
+    found = rows.mapInPandas(run, f"unit {kind['unit']}, i {kind['i']}, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
+    return points.select("unit", "i").join(found, ["unit", "i"], "left").select("unit", "i", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in columns.items()])
+
+
+def lining_invariants(points: DataFrame, near: float = 10.0, touch: float = 7.0, most: int = 48) -> DataFrame:
+    """unit, i and the fifteen invariants of each point's lining; all 0 for a point without neighbours."""
+    return _by_row(points, linings(points, near, touch, most), lambda wide, masks: invariants(masks), dict.fromkeys(INVARIANTS, "long"))
+
+
+def lining_spectra(points: DataFrame, near: float = 10.0, touch: float = 7.0, most: int = 48) -> DataFrame:
+    """unit, i, fiedler, lap_max, mean_degree, betti0, betti1 of each point's lining, each a matrix of its own."""
+    return _by_row(points, linings(points, near, touch, most), spectrum, {"fiedler": "double", "lap_max": "double", "mean_degree": "double", "betti0": "long", "betti1": "long"})

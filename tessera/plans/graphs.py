@@ -81,7 +81,8 @@ def gra04(spark, d):
 
 @query("GRA05_local_spectra")
 def gra05(spark, d):
-    return G.spectra(S.edges(pts(spark, d), 7.0), 4)
+    """Spectrum and cycles of each point's lining: its 48 nearest within 10."""
+    return E.lining_spectra(pts(spark, d))
 
 
 @query("GRA06_density_gradient", f"""WITH {PTS}, {COUNT8}, q AS (SELECT a.unit, a.i, b.px - a.px AS x, b.py - a.py AS y, b.pz - a.pz AS z, nb.n - na.n AS r FROM pts a JOIN pts b ON a.unit = b.unit AND a.i <> b.i AND {D2} <= 100 JOIN n na ON na.unit = a.unit AND na.i = a.i JOIN n nb ON nb.unit = b.unit AND nb.i = b.i),

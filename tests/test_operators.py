@@ -437,6 +437,18 @@ def test_linings(spark):
     assert any(len(v) == 49 for v in want.values()) and any(len(v) < 49 for v in want.values())
     got = {v["i"]: v["masks"] for v in ego.linings(df).collect()}
     assert got == want
+    shown = {v["i"]: tuple(v)[2:] for v in ego.lining_spectra(df).collect()}
+    for k in range(len(x)):
+        if k not in want:
+            assert shown[k] == (0, 0, 0, 0, 0)
+            continue
+        near = sorted((j for j in range(len(x)) if j != k and d[k, j] <= 10), key=lambda j: (d[k, j], j))[:48]
+        s = [k, *near]
+        a, touch = ((d[np.ix_(s, s)] <= r) & ~np.eye(len(s), dtype=bool) for r in (10, 7))
+        w = np.linalg.eigvalsh(np.diag(a.sum(1)) - a.astype(float))
+        wall = touch[1:, 1:].astype(float)
+        parts = len({frozenset(np.flatnonzero(graph.hop_distances(wall, v) >= 0)) for v in range(len(wall))})
+        assert np.allclose(shown[k], (w[1], w[-1], a.sum() / len(s), parts, wall.sum() / 2 - len(wall) + parts), atol=1e-9)
     full = {v["i"]: tuple(v)[2:] for v in ego.lining_invariants(df).collect()}
     assert full == {k: ego.invariants(want[k]) if k in want else (0,) * 15 for k in range(len(x))}
     few = {v["i"]: v.asDict() for v in ego.lining_counts(ego.linings(df)).collect()}
