@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import blocks as B
 from tessera.operators import grid
 from tessera.operators import ranking as R
 from tessera.operators import spatial as S
@@ -16,7 +17,7 @@ from tessera.operators import windows as W
 from tessera.plans.bindings import EV, PTS, ev, pts
 from tessera.plans.registry import query
 from tessera.plans.scored import AUC, F1
-from tessera.plans.spatial import ADR, CELL, D2, DIG, TABLES, addresses, digits
+from tessera.plans.spatial import ADR, CELL, D2, DIG, TABLES, WIDE, addresses, digits, wide
 
 BASE = "(SELECT avg(y) FROM dg)"
 SCORE = f"{ADR}, {CELL}, sc AS (SELECT ad.unit, ad.i, any_value(ad.y) AS y, sum(pos / tot::DOUBLE) AS x FROM ad JOIN ce USING (t, addr) GROUP BY ad.unit, ad.i)"
@@ -106,6 +107,17 @@ def mod11(spark, d):
     return spark.createDataFrame([(c, float(b)) for c, b in zip(cols, beta, strict=True)], "wire string, beta double")
 
 
+@query("MOD11b_wide_ridge")
+def mod11b(spark, d):
+    """Ridge regression of the class on 625 standardised columns, by conjugate gradients on stored blocks."""
+    beta = _wide_beta(spark, d)
+    return spark.createDataFrame([(k, float(b)) for k, b in enumerate(beta)], "k int, beta double")
+
+
+def _wide_beta(spark, d):
+    return B.wide_ridge(B.gram_blocks(wide(spark, d), WIDE), {0: 0.0, 1: 1.0}, 1.0)
+
+
 @query("MOD12_nearest_cell_fill", f"""WITH {EV}, {DIG}, o AS (SELECT CAST(d0 + 4 * d1 + 16 * d2 AS BIGINT) AS addr, avg(y) AS frac FROM dg WHERE i % 7 = 0 AND d0 <> d1 GROUP BY 1), a AS (SELECT addr FROM range(64) t(addr)),
     h AS (SELECT a.addr, o.addr AS src, frac, CAST(a.addr % 4 <> o.addr % 4 AS INTEGER) + CAST(a.addr // 4 % 4 <> o.addr // 4 % 4 AS INTEGER) + CAST(a.addr // 16 <> o.addr // 16 AS INTEGER) AS hd FROM a, o) SELECT addr, arg_min(src, (hd, src)) AS src, min(hd) AS distance, round(arg_min(frac, (hd, src)), 9) AS frac FROM h GROUP BY addr""")
 def mod12(spark, d):
@@ -404,6 +416,14 @@ def det08(spark, d):
     return digits(spark, d).select("unit", "i", sum((F.col(c) * b for c, b in sorted(beta.items())), F.lit(0.0)).alias("score"))
 
 
+@query("DET08b_wide_linear_field")
+def det08b(spark, d):
+    """Each embedding's score by the coefficients on 625 columns, in one pass over the rows."""
+    beta = F.array(*[F.lit(float(b)) for b in _wide_beta(spark, d)])
+    x = wide(spark, d, ("vec_id",))
+    return x.select("vec_id", "y", F.aggregate(F.zip_with("x", beta, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("score"))
+
+
 def _wider(n, extra_sql, extra):
     """The table field with one more digit column from another family."""
     sql = f"""WITH {EV}, {ADR}, fx AS (SELECT unit, i, y, CAST(({extra_sql}) % 4 AS INTEGER) AS d3 FROM ev), a2 AS (SELECT * FROM ad UNION ALL SELECT dg.unit, dg.i, dg.y, 3, d0 + 4 * d3 FROM dg JOIN fx USING (unit, i)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import blocks as B
 from tessera.operators import ranking as R
 from tessera.operators import spatial as S
 from tessera.operators import tables as T
@@ -337,6 +338,26 @@ def agg16(spark, d):
     return spark.createDataFrame(rows, "y int, n bigint, m0 double, m1 double, m2 double, " + ", ".join(f"s{a}{b} double" for a in range(3) for b in range(a + 1)))
 
 
+#: Each embedding's 64 numbers and the products of its first 34, in order: 625 columns.
+WIDE_SQL = """wd AS (SELECT vec_id AS i, label % 2 AS y, list_concat(list_transform(embedding, lambda v: v::DOUBLE), flatten(list_transform(range(1, 34), lambda a: list_transform(range(a + 1, 35), lambda b: embedding[a]::DOUBLE * embedding[b]::DOUBLE)))) AS x FROM embeddings),
+    lo AS (SELECT i, y, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS k FROM wd), ce AS (SELECT i, y, k, v - avg(v) OVER (PARTITION BY y, k) AS v FROM lo)"""
+WIDE = 64 + 34 * 33 // 2
+
+
+def wide(spark, d, more=()):
+    """y and x, an array of WIDE numbers, of each embedding, and more of its columns."""
+    e = table(spark, d, "embeddings").select(*more, (F.col("label") % 2).alias("y"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    at = lambda k: F.get("e", k)
+    products = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(32)), lambda a: F.transform(F.sequence(a + 1, F.lit(33)), lambda b: at(a) * at(b))))
+    return e.select(*more, "y", F.concat("e", products).alias("x"))
+
+
+@query("AGG16b_wide_scatter", f"WITH {WIDE_SQL} SELECT a.y, CAST(a.k AS INTEGER) AS a, CAST(b.k AS INTEGER) AS b, round(sum(a.v * b.v), 7) + 0 AS s FROM ce a JOIN ce b ON a.i = b.i AND a.k >= b.k GROUP BY ALL")
+def agg16b(spark, d):
+    """Scatter of 625 columns by class, in blocks."""
+    return B.gram_blocks(wide(spark, d), WIDE).scatter().select(F.col("y"), "a", "b", (F.round("s", 7) + 0).alias("s"))
+
+
 @query("AGG17_joint_levels", f"WITH {EV}, {DIG}, l AS (SELECT i, 0 AS w, d0 AS l FROM dg UNION ALL SELECT i, 1, d1 FROM dg UNION ALL SELECT i, 2, d2 FROM dg) SELECT a.w AS w1, a.l AS l1, b.w AS w2, b.l AS l2, count(*) AS n FROM l a JOIN l b ON a.i = b.i AND a.w < b.w GROUP BY ALL")
 def agg17(spark, d):
     pairs = F.array(*[F.struct(F.lit(a).alias("w1"), F.col(f"d{a}").alias("l1"), F.lit(b).alias("w2"), F.col(f"d{b}").alias("l2")) for a in range(3) for b in range(a + 1, 3)])

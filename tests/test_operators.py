@@ -454,3 +454,40 @@ def test_linings(spark):
     few = {v["i"]: v.asDict() for v in ego.lining_counts(ego.linings(df)).collect()}
     for k, v in few.items():
         assert all(full[k][ego.INVARIANTS.index(c)] == n for c, n in v.items() if c in ego.INVARIANTS)
+
+
+@pytest.mark.parametrize("strip,held", [(5, 1), (5, 1 << 20), (64, 1 << 20)])
+def test_gram_blocks(spark, monkeypatch, strip, held):
+    from tessera.operators import blocks
+
+    monkeypatch.setattr(blocks, "HELD", held)
+    r = rng()
+    x, y = r.standard_normal((300, 23)) + 3, r.integers(0, 3, 300)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x.tolist()})).repartition(5)
+    g = blocks.gram_blocks(df, 23, strip=strip)
+    assert g.blocks.count() == 3 * len(g.sizes()) * (len(g.sizes()) + 1) // 2
+    got = {(v.y, v.a, v.b): v.s for v in g.scatter().collect()}
+    assert len(got) == 3 * 23 * 24 // 2
+    for v in range(3):
+        own = x[y == v] - x[y == v].mean(0)
+        s = own.T @ own
+        assert np.allclose([got[v, a, b] for a in range(23) for b in range(a + 1)], [s[a, b] for a in range(23) for b in range(a + 1)])
+    vectors = {v: r.standard_normal(24) for v in range(3)}
+    full = {v: np.column_stack([np.ones((y == v).sum()), x[y == v]]) for v in range(3)}
+    assert np.allclose(g.times(vectors), sum(full[v].T @ (full[v] @ vectors[v]) for v in range(3)))
+
+
+def test_wide_ridge_equals_a_dense_solve(spark):
+    from tessera.operators import blocks
+
+    r = rng()
+    x, y = r.standard_normal((200, 40)), r.integers(0, 2, 200)
+    x[:, 7] = 5.0
+    x[:, 9] = x[:, 8] + 1e-3 * r.standard_normal(200)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x.tolist()}))
+    beta = blocks.wide_ridge(blocks.gram_blocks(df, 40, strip=9), {0: 0.0, 1: 1.0}, 0.1)
+    sd = x.std(0)
+    z = np.where(sd > 1e-9, (x - x.mean(0)) / np.where(sd > 1e-9, sd, 1), 0)
+    assert np.allclose(beta, np.linalg.solve(z.T @ z / 200 + 0.1 * np.eye(40), z.T @ (y - y.mean()) / 200), atol=1e-7)
+    with pytest.raises(Exception, match="should hold 41 numbers"):
+        blocks.gram_blocks(df, 41)
