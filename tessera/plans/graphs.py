@@ -152,9 +152,10 @@ def gra13(spark, d):
     return L.elastic_modes(pts(spark, d), 6, 14.0)
 
 
-@query("GRA14_mode_amplitudes", "SELECT CAST(k AS INTEGER) AS k, round(1.5 * sqrt(2.0 / (2.0 + k)), 9) AS amplitude FROM range(6) t(k)")
+@query("GRA14_mode_amplitudes", f"WITH {EV} SELECT unit, i, round(x * 1.5 * sqrt(2.0 / (2.0 + k)), 8) AS moved FROM ev")
 def gra14(spark, d):
-    return spark.range(6).select(F.col("id").cast("int").alias("k"), F.round(1.5 * F.sqrt(2.0 / (2.0 + F.col("id"))), 9).alias("amplitude"))
+    """Each value moved by the amplitude of its mode."""
+    return ev(spark, d).select("unit", "i", F.round(F.col("x") * 1.5 * F.sqrt(2.0 / (2.0 + F.col("k"))), 8).alias("moved"))
 
 
 @query("GRA15_rigid_projection")

@@ -18,6 +18,7 @@ from tessera.plans.bindings import EV, PTS, ev, pts
 from tessera.plans.registry import query
 from tessera.plans.scored import AUC, F1
 from tessera.plans.spatial import ADR, CELL, D2, DIG, TABLES, WIDE, addresses, digits, wide
+from tessera.session import table
 
 BASE = "(SELECT avg(y) FROM dg)"
 SCORE = f"{ADR}, {CELL}, sc AS (SELECT ad.unit, ad.i, any_value(ad.y) AS y, sum(pos / tot::DOUBLE) AS x FROM ad JOIN ce USING (t, addr) GROUP BY ad.unit, ad.i)"
@@ -30,11 +31,24 @@ def scored(spark, d, weights=None):
     return T.score_rows(a, T.cells(a), ["unit", "i", "y"], F.lit(0.0), w).withColumnRenamed("score", "x")
 
 
-@query("MOD01_table_partition")
+#: Parts and suppliers as wires, each in an order that a linear congruential function shuffles.
+SHUFFLED = "wr AS (SELECT p_partkey AS w, row_number() OVER (ORDER BY (p_partkey * 1103515245 + 12345) % 2147483648, p_partkey) - 1 AS place FROM part), ws AS (SELECT s_suppkey AS w, row_number() OVER (ORDER BY (s_suppkey * 1103515245 + 12345) % 2147483648, s_suppkey) - 1 AS place FROM supplier)"
+
+
+def shuffled(wires, key):
+    """w and at, its place in the shuffled order: by ranges of that order, none of which is the whole table."""
+    from tessera.operators.bootstrap import A, C, M
+    from tessera.operators.ordered import running
+
+    rows = wires.select(F.col(key).alias("w"), F.pmod(F.col(key) * A + C, F.lit(M)).alias("mix"), F.lit(1).cast("long").alias("one"))
+    return running(rows, ["mix", "w"], {"one": "after"}).select("w", (F.col("after") - 1).alias("at"))
+
+
+@query("MOD01_table_partition", f"WITH {SHUFFLED} SELECT place // 2 AS t, min(w) FILTER (WHERE place % 2 = 0) AS a, min(w) FILTER (WHERE place % 2 = 1) AS b FROM wr GROUP BY 1")
 def mod01(spark, d):
-    """The seeded partition of wires into pairs, as the dimension that table queries join."""
-    rows = [(t, a, b) for t, (a, b) in enumerate(T.random_pairs(645, 20260725, 16))]
-    return spark.createDataFrame(rows, "t int, a int, b int")
+    """A seeded partition of wires into pairs, as the dimension that table queries join; the last of an odd number stands alone."""
+    side = lambda k: F.min(F.when(F.col("at") % 2 == k, F.col("w")))
+    return shuffled(table(spark, d, "part"), "p_partkey").groupBy(F.expr("at div 2").alias("t")).agg(side(0).alias("a"), side(1).alias("b"))
 
 
 @query("MOD02_cell_addresses", f"WITH {EV}, {ADR} SELECT unit, i, t, addr + 16 * t AS cell FROM ad")
@@ -118,12 +132,12 @@ def _wide_beta(spark, d):
     return B.wide_ridge(B.gram_blocks(wide(spark, d), WIDE), {0: 0.0, 1: 1.0}, 1.0)
 
 
-@query("MOD12_nearest_cell_fill", f"""WITH {EV}, {DIG}, o AS (SELECT CAST(d0 + 4 * d1 + 16 * d2 AS BIGINT) AS addr, avg(y) AS frac FROM dg WHERE i % 7 = 0 AND d0 <> d1 GROUP BY 1), a AS (SELECT addr FROM range(64) t(addr)),
+@query("MOD12_nearest_cell_fill", f"""WITH {EV}, {DIG}, o AS (SELECT CAST(d0 + 4 * d1 + 16 * d2 AS BIGINT) AS addr, avg(y) AS frac FROM dg WHERE d0 <> d1 GROUP BY 1), a AS (SELECT addr FROM range(64) t(addr)),
     h AS (SELECT a.addr, o.addr AS src, frac, CAST(a.addr % 4 <> o.addr % 4 AS INTEGER) + CAST(a.addr // 4 % 4 <> o.addr // 4 % 4 AS INTEGER) + CAST(a.addr // 16 <> o.addr // 16 AS INTEGER) AS hd FROM a, o) SELECT addr, arg_min(src, (hd, src)) AS src, min(hd) AS distance, round(arg_min(frac, (hd, src)), 9) AS frac FROM h GROUP BY addr""")
 def mod12(spark, d):
-    """Every one of the 64 addresses gets the nearest occupied cell; both sides are bounded by the address space."""
+    """Every one of the 64 addresses gets the nearest cell with unlike digits (all of those are occupied, the others not); both sides are bounded by the address space."""
     w = F.col("d0") + 4 * F.col("d1") + 16 * F.col("d2")
-    o = digits(spark, d).filter("i % 7 = 0 and d0 <> d1").groupBy(w.cast("long").alias("src")).agg(F.avg("y").alias("frac"))
+    o = digits(spark, d).filter("d0 <> d1").groupBy(w.cast("long").alias("src")).agg(F.avg("y").alias("frac"))
     cells = o.agg(F.collect_list(F.struct("src", "frac")).alias("c"))  # at most 64
     a = spark.range(64).withColumnRenamed("id", "addr").join(F.broadcast(cells), F.lit(True)).select("addr", F.explode("c").alias("c")).select("addr", "c.*")
     at = lambda c, k: F.pmod(F.floor(F.col(c) / 4**k), F.lit(4))
@@ -184,12 +198,13 @@ def mod17(spark, d):
     return e.join(F.broadcast(q), F.lit(True)).select("i", F.size(F.filter("q", lambda c: c < F.col("x"))).alias("band"))
 
 
-@query("MOD18_cells_or_base", f"WITH {EV}, {DIG}, ce AS (SELECT d0, d1, avg(y) AS f FROM dg WHERE i % 50 = 0 GROUP BY ALL) SELECT dg.i, round(coalesce(f, {BASE}), 9) AS frac FROM dg LEFT JOIN ce ON dg.d0 = ce.d0 AND dg.d1 = ce.d1")
+@query("MOD18_cells_or_base", f"WITH {EV}, {DIG}, dk AS (SELECT dg.*, k FROM dg JOIN ev USING (unit, i)), ce AS (SELECT k, d0, d1, d2, avg(y) AS f FROM dk WHERE unit % 5 <> 0 GROUP BY ALL), ba AS (SELECT avg(y) AS b FROM dk WHERE unit % 5 <> 0) SELECT dk.unit, dk.i, round(coalesce(f, b), 9) AS frac, f IS NOT NULL AS known FROM dk CROSS JOIN ba LEFT JOIN ce ON dk.k = ce.k AND dk.d0 = ce.d0 AND dk.d1 = ce.d1 AND dk.d2 = ce.d2")
 def mod18(spark, d):
-    g = digits(spark, d)
-    ce = g.filter("i % 50 = 0").groupBy("d0", "d1").agg(F.avg("y").alias("f"))
-    base = g.agg(F.avg("y").alias("b"))
-    return g.join(ce, ["d0", "d1"], "left").join(F.broadcast(base), F.lit(True)).select("i", F.round(F.coalesce("f", "b"), 9).alias("frac"))
+    """Cells from all folds but the first; rows whose cell no such fold has seen get the base rate."""
+    g = digits(spark, d).join(ev(spark, d).select("unit", "i", "k"), ["unit", "i"])
+    seen = g.filter("unit % 5 <> 0")
+    ce, base = seen.groupBy("k", "d0", "d1", "d2").agg(F.avg("y").alias("f")), seen.agg(F.avg("y").alias("b"))
+    return g.join(ce, ["k", "d0", "d1", "d2"], "left").join(F.broadcast(base), F.lit(True)).select("unit", "i", F.round(F.coalesce("f", "b"), 9).alias("frac"), F.col("f").isNotNull().alias("known"))
 
 
 HALF = "hf AS (SELECT unit, unit % 23 AS cluster, (unit % 23 * 1103515245 + 12345) % 2147483648 % 2 AS half FROM (SELECT DISTINCT unit FROM ev))"
@@ -279,11 +294,11 @@ def variances(spark, d):
     return part(T.cells(addresses(spark, d)), "t"), part(single, "w")
 
 
-@query("MOD27_bipartite_pairs")
+@query("MOD27_bipartite_pairs", f"WITH {SHUFFLED} SELECT wr.w AS old, ws.w AS new FROM wr JOIN ws ON wr.place = ws.place")
 def mod27(spark, d):
-    rng = np.random.default_rng(20260725)
-    rows = sorted({(int(a), int(b)) for a, b in zip(rng.permutation(645)[:48], rng.permutation(48), strict=True)})
-    return spark.createDataFrame(rows, "old int, new int")
+    """Old wires paired with new ones, place by place of their shuffled orders, until one kind is used up."""
+    old, new = (shuffled(table(spark, d, t), k) for t, k in (("part", "p_partkey"), ("supplier", "s_suppkey")))
+    return old.withColumnRenamed("w", "old").join(new.withColumnRenamed("w", "new"), "at").select("old", "new")
 
 
 @query("MOD28_stagewise_selection")

@@ -9,7 +9,7 @@ from tessera.functions.codes import residue_number
 from tessera.plans.bindings import EV, ORD, PTS, ev, orders, pts
 from tessera.plans.registry import query
 from tessera.session import shared_dir, table
-from tessera.sources import cif, structures, volumes
+from tessera.sources import cif, structures, slabs
 
 RESN = "['GLY', 'ALA', 'HOH', 'SER', 'LIG']"
 #: Lines of a structure per label: alternates A and B, some hydrogens, waters and ligands, the same lines again as a second model after the last one.
@@ -188,19 +188,38 @@ def src18(spark, d):
     return g.groupBy("unit", "qpos").agg(F.count_if(F.col("b") != "").alias("cover"), F.count_if(F.col("a") == F.col("b")).alias("same"))
 
 
-def _volumes(spark):
-    rows = [(f"v{k}", volumes.made((3 + k, 4, 5), ((1, 2, 3), (3, 2, 1), (2, 1, 3))[k % 3], k, 0.5 + 0.2 * k)) for k in range(6)]
-    return spark.createDataFrame(rows, "unit string, content binary")
+#: Each embedding as a row of a volume: 64 places along x, 8 along y, 32 along z; 256 embeddings a volume.
+VOL = "vo AS (SELECT 'v' || (vec_id // 256) AS unit, vec_id // 256 AS k, vec_id % 8 AS y, vec_id % 256 // 8 AS z, embedding FROM embeddings), vu AS (SELECT unit, any_value(k) AS k, 0.5::FLOAT + 0.25::FLOAT * (any_value(k) % 3) AS voxel FROM vo GROUP BY unit)"
 
 
-@query("SRC20_volume_read")
+def _volumes(spark, d):
+    """The folder of the volumes made from embeddings."""
+    e = table(spark, d, "embeddings").select(F.expr("vec_id div 256").alias("k"), (F.col("vec_id") % 8).alias("y"), F.expr("vec_id % 256 div 8").alias("z"), F.posexplode("embedding").alias("x", "value"))
+    rows = e.select(F.concat(F.lit("v"), "k").alias("unit"), "x", "y", "z", "value", (F.col("k") % 6).alias("turn"), (0.5 + 0.25 * (F.col("k") % 3)).alias("voxel"))
+    path = shared_dir(spark, "volumes")
+    slabs.write_volumes(rows, path, (64, 8, 32)).write.format("noop").mode("overwrite").save()
+    return path
+
+
+@query("SRC20_volume_read", f"WITH {VOL} SELECT unit, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, CAST(unnest(embedding) AS DOUBLE) AS value FROM vo")
 def src20(spark, d):
-    return volumes.summaries(_volumes(spark))
+    """Voxels of gzipped volumes, read in slabs; places that hold no number are left out."""
+    return slabs.density(spark, _volumes(spark, d)).filter(~F.isnan("value"))
+
+
+@query("SRC20b_volume_slab", f"WITH {VOL} SELECT unit, count(*) AS n, round(sum(v), 5) AS total FROM (SELECT unit, unnest(embedding)::DOUBLE AS v FROM vo WHERE z >= 5 AND z < 12) GROUP BY unit")
+def src20b(spark, d):
+    """Sums over some sections: bounds choose the sections that are read where z is the slowest axis."""
+    v = slabs.density(spark, _volumes(spark, d)).filter("z >= 5 and z < 12 and not isnan(value)")
+    return v.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total"))
+
+
+VOL_HEAD = f"{VOL}, vt AS (SELECT *, [[1, 2, 3], [3, 2, 1], [2, 1, 3], [1, 3, 2], [2, 3, 1], [3, 1, 2]][k % 6 + 1] AS t FROM vu), vh AS (SELECT unit, [64, 8, 32][t[1]] AS nx, [64, 8, 32][t[2]] AS ny, [64, 8, 32][t[3]] AS nz, 2 AS mode, t[1] AS mapc, t[2] AS mapr, t[3] AS maps, voxel::DOUBLE AS voxel, voxel < 0.7 OR t <> [1, 2, 3] AS crystallographic FROM vt)"
 
 
-@query("SRC21_volume_header")
+@query("SRC21_volume_header", f"WITH {VOL_HEAD} SELECT * FROM vh")
 def src21(spark, d):
-    return volumes.headers(_volumes(spark))
+    return slabs.density(spark, _volumes(spark, d), "header")
 
 
 @query("SRC22_unit_blocks", f"WITH {EV} SELECT unit, count(*) AS n, min(i) AS first, max(i) AS last FROM ev GROUP BY unit")
@@ -421,9 +440,10 @@ def flt23(spark, d):
     return ev(spark, d).select("i", F.when(a & b, "both").when(a, "first").when(b, "second").otherwise("neither").alias("outcome"))
 
 
-@query("FLT24_map_predicate")
+@query("FLT24_map_predicate", f"WITH {VOL_HEAD} SELECT unit, voxel FROM vh WHERE crystallographic")
 def flt24(spark, d):
-    return volumes.headers(_volumes(spark)).filter("not crystallographic").select("unit", "voxel")
+    """Volumes with a fine voxel or turned axes."""
+    return slabs.density(spark, _volumes(spark, d), "header").filter("crystallographic").select("unit", "voxel")
 
 
 @query("FLT26_undeclared", "SELECT event_id AS i FROM events WHERE props IS NULL OR NOT regexp_matches(props, '\"k\"')")

@@ -216,11 +216,11 @@ def sca20(spark, d):
     return words(spark, d).select("i", T.orbit_address(F.col("w"), 4).alias("orbit"))
 
 
-@query("SCA21_orbit_count", "SELECT CAST(d AS INTEGER) AS d, CAST(round(exp(lgamma(d + 4) - lgamma(4) - lgamma(d + 1))) AS BIGINT) AS n FROM range(1, 9) t(d)")
+@query("SCA21_orbit_count", f"WITH {EV} SELECT unit, i, k, CAST(round(exp(lgamma(k + 4) - lgamma(4) - lgamma(k + 1))) AS BIGINT) AS n FROM ev")
 def sca21(spark, d):
-    """C(d + L - 1, d) for L = 4, as a running product."""
-    n = F.aggregate(F.sequence(F.lit(1), F.col("d")), F.lit(1.0), lambda a, x: a * (x + 3) / x)
-    return spark.range(1, 9).select(F.col("id").cast("int").alias("d")).select("d", F.bround(n).cast("long").alias("n"))
+    """C(k + L - 1, k) for L = 4, as a running product."""
+    n = F.aggregate(F.sequence(F.lit(0), F.col("k")), F.lit(1.0), lambda a, x: F.when(x == 0, a).otherwise(a * (x + 3) / x))
+    return ev(spark, d).select("unit", "i", "k", F.bround(n).cast("long").alias("n"))
 
 
 @query("SCA22_band_index", f"WITH {EV} SELECT i, CAST(x >= 10 AS INTEGER) + CAST(x >= 25 AS INTEGER) + CAST(x >= 75 AS INTEGER) AS band FROM ev")
@@ -287,12 +287,13 @@ def sca30(spark, d):
     return table(spark, d, "pages").select("page_id", F.rtrim(F.regexp_extract(t, r"(10\.[0-9]{4,9}/[^ ]+)", 1), F.lit(".")).alias("doi"))
 
 
-@query("SCA31_field_of_four", "WITH v AS (SELECT a, b FROM range(4) x(a), range(4) y(b)) SELECT a, b, xor(a, b) AS total, [[0, 0, 0, 0], [0, 1, 2, 3], [0, 2, 3, 1], [0, 3, 1, 2]][a + 1][b + 1] AS product FROM v")
+@query("SCA31_field_of_four", f"WITH {EV}, v AS (SELECT unit, i, CAST(k % 4 AS BIGINT) AS a, CAST(i % 4 AS BIGINT) AS b FROM ev) SELECT unit, i, xor(a, b) AS total, [[0, 0, 0, 0], [0, 1, 2, 3], [0, 2, 3, 1], [0, 3, 1, 2]][a + 1][b + 1] AS product FROM v")
 def sca31(spark, d):
+    """Sum and product of two digits of each row."""
     from tessera.functions.codes import gf4_times
 
-    v = spark.range(16).select(F.floor(F.col("id") / 4).cast("long").alias("a"), (F.col("id") % 4).alias("b"))
-    return v.select("a", "b", F.col("a").bitwiseXOR(F.col("b")).alias("total"), gf4_times("a", "b").alias("product"))
+    v = ev(spark, d).select("unit", "i", (F.col("k") % 4).cast("long").alias("a"), (F.col("i") % 4).cast("long").alias("b"))
+    return v.select("unit", "i", F.col("a").bitwiseXOR(F.col("b")).alias("total"), gf4_times("a", "b").alias("product"))
 
 
 @query("SCA32_small_network")
@@ -302,11 +303,14 @@ def sca32(spark, d):
     return forward(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query("SCA33_sphere_directions", "SELECT CAST(k AS INTEGER) AS k, round(sin(acos(1 - 2 * (k + 0.5) / 30)) * cos(pi() * (1 + sqrt(5)) * (k + 0.5)), 8) AS x, round(sin(acos(1 - 2 * (k + 0.5) / 30)) * sin(pi() * (1 + sqrt(5)) * (k + 0.5)), 8) AS y, round(1 - 2 * (k + 0.5) / 30, 8) AS z FROM range(30) t(k)")
+@query("SCA33_sphere_directions", f"WITH {PTS}, dr AS (SELECT CAST(k AS INTEGER) AS k, sin(acos(1 - 2 * (k + 0.5) / 30)) * cos(pi() * (1 + sqrt(5)) * (k + 0.5)) AS x, sin(acos(1 - 2 * (k + 0.5) / 30)) * sin(pi() * (1 + sqrt(5)) * (k + 0.5)) AS y, 1 - 2 * (k + 0.5) / 30 AS z FROM range(30) t(k)) SELECT unit, k, round(max(px * x + py * y + pz * z), 7) AS reach FROM pts, dr GROUP BY unit, k")
 def sca33(spark, d):
+    """How far each unit reaches along 30 directions spread over the sphere."""
     from tessera.functions.codes import sphere_directions
 
-    return sphere_directions(spark, 30).select("k", *[F.round(c, 8).alias(c) for c in "xyz"])
+    ways = F.broadcast(sphere_directions(spark, 30))  # 30 rows
+    along = F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z")
+    return pts(spark, d).join(ways, F.lit(True)).groupBy("unit", "k").agg(F.round(F.max(along), 7).alias("reach"))
 
 
 @query("SCA34_radial_dilation", f"WITH {PTS}, r AS (SELECT *, sqrt(px * px + py * py + pz * pz) AS r FROM pts) SELECT unit, i, round(CASE WHEN r BETWEEN 3 AND 9 THEN px * 1.25 ELSE px END, 8) AS x FROM r")
