@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import files
 from tessera.llm.files import frugal
-from tessera.session import shared_dir
+from tessera.session import column, shared_dir
 
 BLANKS = b" \t\n\x0b\x0c\r"
 NO_ID = (1 << 63) - 1
@@ -329,11 +329,11 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, folder: str | None = None, count_col: str = "n_dropped_lines") -> DataFrame:
     """docs with the lines that stay as text, all other columns as they are, and the number of lines dropped in count_col, a name that docs hasn't."""
-    if count_col in docs.columns:
+    if count_col.lower() in map(str.lower, docs.columns):
         raise ValueError(f"docs has a column {count_col}; name another for the count")
     _, built = _index(docs, id_col, text_col, min_chars, folder)
     names = docs.columns
-    numbered = docs.select(*[(F.col(f"`{c}`").cast("long") if c == id_col else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(names)])
+    numbered = docs.select(*[(column(c).cast("long") if c == id_col else column(c)).alias(f"c{k}") for k, c in enumerate(names)])
     schema = T.StructType([*numbered.schema.fields, T.StructField("n_dropped", T.LongType())])
     out = numbered.mapInArrow(frugal(_rewrite(*built, names.index(id_col), names.index(text_col))), schema)
     return out.select(*[F.col(f"c{k}").cast(docs.schema[k].dataType).alias(c) for k, c in enumerate(names)], F.col("n_dropped").alias(count_col))

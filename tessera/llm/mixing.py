@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.files import frugal
-from tessera.session import stored
+from tessera.session import column, stored
 
 log = logging.getLogger(__name__)
 
@@ -154,7 +154,7 @@ def _scored(classifier: Classifier, text_at: int):
 
 def scored(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
     """docs, its columns renamed c0, c1, ..., with shares and n_tokens. No shuffle."""
-    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    numbered = docs.select(*[column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
     schema = T.StructType([*numbered.schema.fields, T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("n_tokens", T.LongType())])
     return numbered.mapInArrow(frugal(_scored(classifier, docs.columns.index(text_col))), schema)
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import stored
+from tessera.session import column, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -191,5 +191,5 @@ def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     few = docs.select(F.col(text_col).alias("text"), *(c.alias(k) for k, c in _groups(lang_col, source_col).items()))
     stats = stored(statistics(few).drop("text").withColumns(vector()), "quality")
     levels, model = fit(stats.filter(~F.col("base_failed")))
-    own = statistics(docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)], *(c.alias(k) for k, c in _groups(lang_col, source_col).items())), f"c{columns.index(text_col)}", p).withColumns(vector(p))
+    own = statistics(docs.select(*[column(c).alias(f"c{k}") for k, c in enumerate(columns)], *(c.alias(k) for k, c in _groups(lang_col, source_col).items())), f"c{columns.index(text_col)}", p).withColumns(vector(p))
     return _verdict(own, levels, model, p).filter(f"{p}kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
