@@ -1,10 +1,16 @@
-"""Row generators over a unit's points: deformations, grids and random baselines, in numpy per unit."""
+"""Row generators over points: deformations and rays in joins; grids and random baselines in numpy per unit."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators.grid import buried_share, rays
+from tessera.operators.spatial import radius_join
 
 XYZ = ["px", "py", "pz"]
 
@@ -13,42 +19,42 @@ def _per_unit(points: DataFrame, f, schema: str) -> DataFrame:
     return points.select("unit", "i", *XYZ).groupBy("unit").applyInPandas(lambda k, p: f(k[0], p.sort_values("i").reset_index(drop=True)), schema)
 
 
-def _within(q: np.ndarray, x: np.ndarray, r: float) -> np.ndarray:
-    """How many of x lie within r of each q, in blocks."""
-    out = [(((q[a : a + 256, None] - x[None]) ** 2).sum(-1) <= r * r).sum(1) for a in range(0, len(q), 256)]
-    return np.concatenate(out) if out else np.empty(0, int)
-
-
 def dilation_gain(points: DataFrame, factors=(1.1, 1.25), r: float = 8.0) -> DataFrame:
-    def of(unit, p):
-        x = p[XYZ].to_numpy(float)
-        c = x.mean(0)
-        own = _within(x, x, r)
-        gain = [np.maximum(own - _within(x, c + f * (x - c), r), 0) / np.maximum(own, 1) for f in factors]
-        return pd.DataFrame({"unit": unit, "i": p.i, "score": own * (1 + np.max(gain, axis=0))})
-
-    return _per_unit(points, of, "unit int, i long, score double")
-
-
-def best_deformation(points: DataFrame, n: int, isochoric: bool = False, r: float = 8.0, seed: int = 0) -> DataFrame:
-    """Largest burial * log1p(count) over n linear deformations about each point; isochoric ones keep the volume to first order."""
-    rng = np.random.default_rng(seed)
-    fields = 0.08 * rng.standard_normal((n, 3, 3))
+    """Company within r, times one plus the largest share of it that leaves when all but the point itself move off the centroid by a factor."""
+    p = points.select("unit", "i", *XYZ)
+    centre = p.groupBy("unit").agg(*[F.avg(c).alias(f"m_{c}") for c in XYZ])
+    moved = lambda f: p.join(centre, "unit").select("unit", "i", *[(F.col(f"m_{c}") + f * (F.col(c) - F.col(f"m_{c}"))).alias(c) for c in XYZ])
+    counts = [radius_join(p, other, r).groupBy("unit", F.col("a_i").alias("i")).agg(F.count(F.lit(1)).alias(f"n{k}")) for k, other in enumerate([p, *map(moved, factors)])]
+    out = reduce(lambda x, y: x.join(y, ["unit", "i"], "left"), counts)
+    gain = F.greatest(*[F.greatest(F.col("n0") - F.coalesce(f"n{k}", F.lit(0)), F.lit(0)) / F.col("n0") for k in range(1, len(counts))], F.lit(0.0))
+    return out.select("unit", "i", (F.col("n0") * (1 + gain)).alias("score"))
+
+
+def deformations(n: int, isochoric: bool = False, seed: int = 0) -> np.ndarray:
+    """n small linear fields, the first of them none; isochoric ones keep the volume to first order."""
+    fields = 0.08 * np.random.default_rng(seed).standard_normal((n, 3, 3))
     if isochoric:
         fields -= np.trace(fields, axis1=1, axis2=2)[:, None, None] / 3 * np.eye(3)
     fields[0] = 0
+    return fields
 
-    def of(unit, p):
-        x = p[XYZ].to_numpy(float)
-        best = np.zeros(len(x))
-        for k in range(len(x)):
-            off = x - x[k]
-            for g in fields:
-                m = int((((off + off @ g.T) ** 2).sum(1) <= r * r).sum())
-                best[k] = max(best[k], m / len(x) * np.log1p(m))
-        return pd.DataFrame({"unit": unit, "i": p.i, "score": best})
 
-    return _per_unit(points, of, "unit int, i long, score double")
+def best_deformation(points: DataFrame, n: int, isochoric: bool = False, r: float = 8.0, seed: int = 0) -> DataFrame:
+    """Largest share of the unit within r, times log1p of its number, over n linear deformations about each point.
+
+    A field shrinks an offset by its least singular value at most, so one join
+    at the widest radius that any field can bring within r has all pairs.
+    """
+    fields = deformations(n, isochoric, seed)
+    widest = r / min(np.linalg.svd(np.eye(3) + g, compute_uv=False)[-1] for g in fields) * (1 + 1e-9)
+    p = points.select("unit", "i", *XYZ)
+    ways = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(v)).alias(f"g{j}") for j, v in enumerate(g.ravel())]) for k, g in enumerate(fields)])
+    off = radius_join(p, p, widest).select("unit", F.col("a_i").alias("i"), *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"o{j}") for j, c in enumerate(XYZ)], F.inline(ways))
+    moved = [F.col(f"o{j}") + (F.col("o0") * F.col(f"g{3 * j}") + F.col("o1") * F.col(f"g{3 * j + 1}") + F.col("o2") * F.col(f"g{3 * j + 2}")) for j in range(3)]
+    inside = off.filter(moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2] <= r * r)
+    best = inside.groupBy("unit", "i", "k").agg(F.count(F.lit(1)).alias("m")).groupBy("unit", "i").agg(F.max("m").alias("m"))
+    size = p.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    return best.join(size, "unit").select("unit", "i", (F.col("m") / F.col("n") * F.log1p("m")).alias("score"))
 
 
 def jittered_candidates(points: DataFrame, step: float, seed: int) -> DataFrame:
@@ -77,37 +83,17 @@ def random_boxes(points: DataFrame, k: int, seed: int) -> DataFrame:
 
 def buriedness(points: DataFrame, directions: int = 30, reach: float = 11.0, width: float = 1.8) -> DataFrame:
     """Share of fixed directions in which some other point lies within a cylinder of the given reach."""
-    k = np.arange(directions) + 0.5
-    tilt, turn = np.arccos(1 - 2 * k / directions), np.pi * (1 + np.sqrt(5)) * k
-    axes = np.column_stack([np.sin(tilt) * np.cos(turn), np.sin(tilt) * np.sin(turn), np.cos(tilt)])
-
-    def of(unit, p):
-        x = p[XYZ].to_numpy(float)
-        out = []
-        for a in range(len(x)):
-            off = np.delete(x - x[a], a, 0)
-            along = off @ axes.T
-            side2 = (off**2).sum(1)[:, None] - along**2
-            out.append(float(((along > 0) & (along <= reach) & (side2 <= width * width)).any(0).mean()))
-        return pd.DataFrame({"unit": unit, "i": p.i, "buried": out})
-
-    return _per_unit(points, of, "unit int, i long, buried double")
+    p = points.select("unit", "i", *XYZ)
+    return buried_share(p, p, directions, reach, width, sphere=False).select("unit", "i", "buried")
 
 
 def free_runs(points: DataFrame, cap: float = 12.0, width: float = 2.0) -> DataFrame:
     """Distance free of other points along the 12 directions of an icosahedron, each up to the cap; the longest and the mean."""
     g = (1 + 5**0.5) / 2
     axes = np.array([v for a in (-1, 1) for b in (-g, g) for v in ((0, a, b), (a, b, 0), (b, 0, a))]) / np.sqrt(1 + g * g)
-
-    def of(unit, p):
-        x = p[XYZ].to_numpy(float)
-        far = []
-        for a in range(len(x)):
-            off = np.delete(x - x[a], a, 0)
-            along = off @ axes.T
-            hit = (along > 0) & ((off**2).sum(1)[:, None] - along**2 <= width * width)
-            far.append(np.minimum(np.where(hit, along, cap).min(0) if len(off) else cap, cap))
-        far = np.array(far).reshape(len(x), -1)
-        return pd.DataFrame({"unit": unit, "i": p.i, "longest": far.max(1), "mean": far.mean(1)})
-
-    return _per_unit(points, of, "unit int, i long, longest double, mean double")
+    p = points.select("unit", "i", *XYZ)
+    met = rays(p, p, [tuple(map(float, a)) for a in axes], cap, width).groupBy("unit", "i", "k").agg(F.min("along").alias("far"))
+    found = met.groupBy("unit", "i").agg(F.count(F.lit(1)).alias("n"), F.sum("far").alias("total"), F.max("far").alias("top"))
+    n = F.coalesce("n", F.lit(0))
+    longest = F.when(n < len(axes), cap).otherwise(F.col("top"))
+    return p.select("unit", "i").join(found, ["unit", "i"], "left").select("unit", "i", longest.alias("longest"), ((F.coalesce("total", F.lit(0.0)) + (len(axes) - n) * cap) / len(axes)).alias("mean"))

@@ -48,20 +48,26 @@ def free_grid(points: DataFrame, step: float, clear: float, reach: float, margin
     return least.join(box, "unit").select("unit", place.alias("i"), *[(F.col(f"lo_{c}") + F.col(k) * step).alias(c) for c, k in zip(XYZ, AXES, strict=True)])
 
 
-def buried_share(grid: DataFrame, points: DataFrame, n: int = 30, reach: float = 11.0, width: float = 1.8) -> DataFrame:
-    """grid with buried: the share of n directions in which a point lies ahead, within reach, and within width of the ray.
+def rays(starts: DataFrame, points: DataFrame, ways: list[tuple[float, float, float]], reach: float, width: float) -> DataFrame:
+    """unit, i, k, along, d2: for each start and direction k the points ahead, up to reach along it and up to width off it."""
+    pairs = radius_join(points.select("unit", *XYZ), starts.select("unit", "i", *XYZ), math.sqrt(reach * reach + width * width) * (1 + 1e-9))
+    off = [(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"o{j}") for j, c in enumerate(XYZ)]
+    each = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(v).alias(f"v{j}") for j, v in enumerate(d)]) for k, d in enumerate(ways)])
+    turned = pairs.select("unit", F.col("b_i").alias("i"), *off, F.inline(each))
+    along = F.col("o0") * F.col("v0") + F.col("o1") * F.col("v1") + F.col("o2") * F.col("v2")
+    d2 = F.col("o0") * F.col("o0") + F.col("o1") * F.col("o1") + F.col("o2") * F.col("o2")
+    return turned.select("unit", "i", "k", along.alias("along"), d2.alias("d2")).filter((F.col("along") > 0) & (F.col("along") <= reach) & (F.col("d2") - F.col("along") * F.col("along") <= width * width))
+
+
+def buried_share(grid: DataFrame, points: DataFrame, n: int = 30, reach: float = 11.0, width: float = 1.8, sphere: bool = True) -> DataFrame:
+    """grid with buried: the share of n directions in which a point lies ahead, within reach along the ray (with sphere: in all), and within width of it.
 
     Each pair marks the directions that it blocks; marks are merged in each task
     before they are shuffled, one number for a grid point.
     """
-    pairs = radius_join(points.select("unit", *XYZ), grid, reach)
-    off = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in XYZ]
-    ways = F.array(*[F.struct(F.lit(1 << k).cast("long").alias("bit"), *[F.lit(v).alias(f"v{j}") for j, v in enumerate(d)]) for k, d in enumerate(directions(n))])
-    rays = pairs.select("unit", F.col("b_i").alias("i"), *[o.alias(f"o{j}") for j, o in enumerate(off)], F.inline(ways))
-    along = F.col("o0") * F.col("v0") + F.col("o1") * F.col("v1") + F.col("o2") * F.col("v2")
-    size = F.col("o0") * F.col("o0") + F.col("o1") * F.col("o1") + F.col("o2") * F.col("o2")
-    hit = rays.filter((along > 0) & (along <= reach) & (size - along * along <= width * width))
-    marks = hit.groupBy("unit", "i").agg(F.bit_or("bit").alias("bits"))
+    hit = rays(grid, points, directions(n), reach, width)
+    hit = hit.filter(F.col("d2") <= reach * reach) if sphere else hit
+    marks = hit.groupBy("unit", "i").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("bits"))
     return grid.join(marks, ["unit", "i"], "left").select(*grid.columns, (F.coalesce(F.bit_count("bits"), F.lit(0)) / n).alias("buried"))
 
 

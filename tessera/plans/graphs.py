@@ -224,9 +224,18 @@ def gra21(spark, d):
     return G.linked_branches(pts(spark, d), 12.0)
 
 
-@query("GRA22_isochoric")
+def deformed(n, isochoric=False):
+    """bd: the score of each point over the fields of the operator of that name."""
+    rows = ", ".join("(" + ", ".join([str(k), *(f"{float(v)!r}::DOUBLE" for v in g.ravel())]) + ")" for k, g in enumerate(D.deformations(n, isochoric)))
+    move = [f"o{j} + (o0 * g{3 * j} + o1 * g{3 * j + 1} + o2 * g{3 * j + 2})" for j in range(3)]
+    return f"""gf AS (SELECT * FROM (VALUES {rows}) t(k, g0, g1, g2, g3, g4, g5, g6, g7, g8)), of AS (SELECT a.unit, a.i, b.px - a.px AS o0, b.py - a.py AS o1, b.pz - a.pz AS o2 FROM pts a JOIN pts b ON a.unit = b.unit),
+    mo AS (SELECT unit, i, k, {move[0]} AS m0, {move[1]} AS m1, {move[2]} AS m2 FROM of, gf), cn AS (SELECT unit, i, k, count(*) AS m FROM mo WHERE m0 * m0 + m1 * m1 + m2 * m2 <= 64 GROUP BY ALL),
+    bd AS (SELECT c.unit, c.i, round(max(m) / any_value(s.n)::DOUBLE * ln(1.0::DOUBLE + max(m)), 9) AS score FROM cn c JOIN (SELECT unit, count(*) AS n FROM pts GROUP BY unit) s ON c.unit = s.unit GROUP BY c.unit, c.i)"""
+
+
+@query("GRA22_isochoric", f"WITH {PTS}, {deformed(8, True)} SELECT unit, i, score FROM bd")
 def gra22(spark, d):
-    return D.best_deformation(pts(spark, d), 8, isochoric=True)
+    return D.best_deformation(pts(spark, d), 8, isochoric=True).withColumn("score", F.round("score", 9))
 
 
 @query("GRA23_peel_depth")

@@ -15,6 +15,7 @@ from tessera.operators import spatial as S
 from tessera.operators import tables as T
 from tessera.operators import windows as W
 from tessera.plans.bindings import EV, PTS, ev, pts
+from tessera.plans.graphs import deformed
 from tessera.plans.registry import query
 from tessera.plans.scored import AUC, F1
 from tessera.plans.spatial import ADR, CELL, D2, DIG, TABLES, WIDE, addresses, digits, wide
@@ -479,19 +480,22 @@ def det01(spark, d):
     return R.suppress(s, "score", S.XYZ, 6.0, 5)
 
 
-@query("DET02_dilation_gain")
+@query("DET02_dilation_gain", f"""WITH {PTS}, c AS (SELECT unit, avg(px) AS cx, avg(py) AS cy, avg(pz) AS cz FROM pts GROUP BY unit),
+    mv AS (SELECT f, p.unit, p.i, cx + f * (px - cx) AS px, cy + f * (py - cy) AS py, cz + f * (pz - cz) AS pz FROM pts p JOIN c ON p.unit = c.unit, (VALUES (1.1::DOUBLE), (1.25)) v(f)),
+    ow AS (SELECT a.unit, a.i, count(*) AS n FROM pts a JOIN pts b ON a.unit = b.unit AND {D2} <= 64 GROUP BY a.unit, a.i), nf AS (SELECT a.unit, a.i, f, count(*) AS n FROM pts a JOIN mv b ON a.unit = b.unit AND {D2} <= 64 GROUP BY a.unit, a.i, f)
+    SELECT o.unit, o.i, round(any_value(o.n) * (1 + max(greatest(o.n - coalesce(nf.n, 0), 0) / o.n::DOUBLE)), 9) AS score FROM ow o CROSS JOIN (VALUES (1.1::DOUBLE), (1.25)) v(f) LEFT JOIN nf ON nf.unit = o.unit AND nf.i = o.i AND nf.f = v.f GROUP BY o.unit, o.i""")
 def det02(spark, d):
     """Burial times one plus the gain in empty neighbourhood under two dilations about the centroid."""
     from tessera.operators.detectors import dilation_gain
 
-    return dilation_gain(pts(spark, d))
+    return dilation_gain(pts(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query("DET03_anchored_deformation")
+@query("DET03_anchored_deformation", f"WITH {PTS}, {deformed(27)} SELECT unit, i, score FROM bd")
 def det03(spark, d):
     from tessera.operators.detectors import best_deformation
 
-    return best_deformation(pts(spark, d), 27)
+    return best_deformation(pts(spark, d), 27).withColumn("score", F.round("score", 9))
 
 
 @query("DET04_branch_gated")
