@@ -66,8 +66,10 @@ def trimmed_mean(ascending: Column, share: float, rounded: bool = False) -> Colu
 
 def tertiles(df: DataFrame, x: str, key: str) -> DataFrame:
     """Cut points at a third and two thirds of the order, and the group sizes. df: one row per unit."""
+    from tessera.operators.ordered import placed
+
     n = df.count()
-    r = df.withColumn("_r", F.row_number().over(Window.orderBy(x, key)) - 1)
+    r = placed(df, [x, key], "_r")
     cuts = r.agg(F.max(F.when(F.col("_r") == n // 3, F.col(x))).alias("low_cut"), F.max(F.when(F.col("_r") == 2 * n // 3, F.col(x))).alias("high_cut"))
     j = df.join(cuts, F.lit(True))
     v, a, b = F.col(x), F.col("low_cut"), F.col("high_cut")

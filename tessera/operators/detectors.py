@@ -1,4 +1,4 @@
-"""Row generators over points: deformations and rays in joins; grids and random baselines in numpy per unit."""
+"""Row generators over points: deformations and rays in joins; grids and random baselines from each unit's box."""
 
 from __future__ import annotations
 
@@ -15,8 +15,16 @@ from tessera.operators.spatial import radius_join
 XYZ = ["px", "py", "pz"]
 
 
-def _per_unit(points: DataFrame, f, schema: str) -> DataFrame:
-    return points.select("unit", "i", *XYZ).groupBy("unit").applyInPandas(lambda k, p: f(k[0], p.sort_values("i").reset_index(drop=True)), schema)
+def _boxed(points: DataFrame, f, schema: str) -> DataFrame:
+    """f(unit, low corner, high corner) of each unit's box, row by row."""
+    box = points.groupBy("unit").agg(*[g(c).cast("double").alias(f"{n}_{c}") for n, g in (("lo", F.min), ("hi", F.max)) for c in XYZ])
+
+    def of(batches):
+        for p in batches:
+            for r in p.itertuples(index=False):
+                yield f(r.unit, np.array(r[1:4]), np.array(r[4:7]))
+
+    return box.mapInPandas(of, schema)
 
 
 def dilation_gain(points: DataFrame, factors=(1.1, 1.25), r: float = 8.0) -> DataFrame:
@@ -60,25 +68,23 @@ def best_deformation(points: DataFrame, n: int, isochoric: bool = False, r: floa
 def jittered_candidates(points: DataFrame, step: float, seed: int) -> DataFrame:
     """A grid over each unit's box, each point moved by a fixed jitter: unit, i, px, py, pz."""
 
-    def of(unit, p):
-        x = p[XYZ].to_numpy(float)
-        axes = [np.arange(a, b + step, step) for a, b in zip(x.min(0), x.max(0), strict=True)]
+    def of(unit, low, high):
+        axes = [np.arange(a, b + step, step) for a, b in zip(low, high, strict=True)]
         g = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
         g = g + np.random.default_rng(seed).uniform(-0.25 * step, 0.25 * step, g.shape)
         return pd.DataFrame({"unit": unit, "i": np.arange(len(g)), "px": g[:, 0], "py": g[:, 1], "pz": g[:, 2]})
 
-    return _per_unit(points, of, "unit int, i long, px double, py double, pz double")
+    return _boxed(points, of, "unit int, i long, px double, py double, pz double")
 
 
 def random_boxes(points: DataFrame, k: int, seed: int) -> DataFrame:
     """k uniform points in each unit's box."""
 
-    def of(unit, p):
-        x = p[XYZ].to_numpy(float)
-        g = np.random.default_rng([seed, int(unit)]).uniform(x.min(0), x.max(0), (k, 3))
+    def of(unit, low, high):
+        g = np.random.default_rng([seed, int(unit)]).uniform(low, high, (k, 3))
         return pd.DataFrame({"unit": unit, "rank": np.arange(1, k + 1), "px": g[:, 0], "py": g[:, 1], "pz": g[:, 2]})
 
-    return _per_unit(points, of, "unit int, rank int, px double, py double, pz double")
+    return _boxed(points, of, "unit int, rank int, px double, py double, pz double")
 
 
 def buriedness(points: DataFrame, directions: int = 30, reach: float = 11.0, width: float = 1.8) -> DataFrame:

@@ -42,14 +42,28 @@ def superposed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def pair_rmsd(pairs: DataFrame, least: int = 3) -> DataFrame:
-    """RMSD per unit after superposition of ax, ay, az on bx, by, bz; null below `least` pairs."""
+    """RMSD per unit after superposition of ax, ay, az on bx, by, bz; null below `least` pairs.
 
-    def of(key, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        a, b = p[["ax", "ay", "az"]].to_numpy(float), p[["bx", "by", "bz"]].to_numpy(float)
-        return pd.DataFrame({"unit": [key[0]], "n": [len(p)], "rmsd": [superposed(a, b)[1] if len(p) >= least else None]})
+    The best rotation needs a unit's sums of products only: they are added up in
+    each task, twice over rows, the second time about the centres; what is left
+    is one 3 x 3 matrix a unit.
+    """
+    ends = [f"{s}{c}" for s in "ab" for c in "xyz"]
+    centre = pairs.groupBy("unit").agg(*[F.avg(c).alias(f"m{c}") for c in ends])
+    off = {c: F.col(c) - F.col(f"m{c}") for c in ends}
+    products = [F.sum(off[f"a{p}"] * off[f"b{q}"]).alias(f"h{p}{q}") for p in "xyz" for q in "xyz"]
+    sums = pairs.join(centre, "unit").groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum(sum((o * o for o in off.values()), F.lit(0.0))).alias("spread"), *products)
+
+    def of(batches):
+        for p in batches:
+            rows = []
+            for r in p.itertuples(index=False):
+                u, s, vt = np.linalg.svd(np.array(r[3:], float).reshape(3, 3))
+                left = r.spread - 2 * (s[0] + s[1] + np.sign(np.linalg.det(u @ vt)) * s[2])
+                rows.append((r.unit, r.n, float(np.sqrt(max(left, 0.0) / r.n)) if r.n >= least else None))
+            yield pd.DataFrame(rows, columns=["unit", "n", "rmsd"])
 
-    return pairs.groupBy("unit").applyInPandas(of, "unit int, n long, rmsd double")
+    return sums.mapInPandas(of, "unit int, n long, rmsd double")
 
 
 def local_shapes(points: DataFrame, radii=(10.0, 14.0)) -> DataFrame:

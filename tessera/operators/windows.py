@@ -110,8 +110,8 @@ def peak_scaled(x: str, unit: str = "unit") -> Column:
 
 def equal_bands(df: DataFrame, x: str, bands: int, out: str = "band", key: str = "unit") -> DataFrame:
     """Bands of equal count over units by size: edges are whole parts of an even division. df: one row per unit."""
-    w = Window.orderBy(x, key)
+    from tessera.operators.ordered import placed
+
     n = df.count()
     edges = [int(k * n / bands) for k in range(1, bands)]
-    at = F.row_number().over(w) - 1
-    return df.withColumn(out, sum(((at >= e).cast("int") for e in edges), F.lit(0)))
+    return placed(df, [x, key], "_at").withColumn(out, sum(((F.col("_at") >= e).cast("int") for e in edges), F.lit(0))).drop("_at")

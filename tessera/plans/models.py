@@ -14,6 +14,7 @@ from tessera.operators import ranking as R
 from tessera.operators import spatial as S
 from tessera.operators import tables as T
 from tessera.operators import windows as W
+from tessera.operators.ordered import quantiles
 from tessera.plans.bindings import EV, PTS, ev, pts
 from tessera.plans.graphs import deformed
 from tessera.plans.registry import query
@@ -149,9 +150,8 @@ def mod12(spark, d):
 
 @query("MOD13_quartile_edges", f"WITH {EV} SELECT round(quantile_cont(x, 0.25), 9) AS e1, round(quantile_cont(x, 0.5), 9) AS e2, round(quantile_cont(x, 0.75), 9) AS e3 FROM ev")
 def mod13(spark, d):
-    q = ev(spark, d).agg(F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    row = quantiles(ev(spark, d), "x", [0.25, 0.5, 0.75])
     # equal edges are pushed apart by one step of the float grid
-    row = q.first()["q"]
     edges = reduce(lambda a, e: [*a, e if not a or e > a[-1] else float(np.nextafter(a[-1], np.inf))], row, [])
     return spark.createDataFrame([[round(e, 9) for e in edges]], "e1 double, e2 double, e3 double")
 
@@ -195,8 +195,7 @@ def mod16(spark, d):
 @query("MOD17_equal_count_bands", f"WITH {EV} SELECT i, CAST(x > (SELECT quantile_cont(x, 0.25) FROM ev) AS INTEGER) + CAST(x > (SELECT quantile_cont(x, 0.5) FROM ev) AS INTEGER) + CAST(x > (SELECT quantile_cont(x, 0.75) FROM ev) AS INTEGER) AS band FROM ev")
 def mod17(spark, d):
     e = ev(spark, d)
-    q = e.agg(F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    return e.join(F.broadcast(q), F.lit(True)).select("i", F.size(F.filter("q", lambda c: c < F.col("x"))).alias("band"))
+    return e.select("i", sum(((F.col("x") > edge).cast("int") for edge in quantiles(e, "x", [0.25, 0.5, 0.75])), F.lit(0)).alias("band"))
 
 
 @query("MOD18_cells_or_base", f"WITH {EV}, {DIG}, dk AS (SELECT dg.*, k FROM dg JOIN ev USING (unit, i)), ce AS (SELECT k, d0, d1, d2, avg(y) AS f FROM dk WHERE unit % 5 <> 0 GROUP BY ALL), ba AS (SELECT avg(y) AS b FROM dk WHERE unit % 5 <> 0) SELECT dk.unit, dk.i, round(coalesce(f, b), 9) AS frac, f IS NOT NULL AS known FROM dk CROSS JOIN ba LEFT JOIN ce ON dk.k = ce.k AND dk.d0 = ce.d0 AND dk.d1 = ce.d1 AND dk.d2 = ce.d2")

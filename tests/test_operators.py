@@ -491,3 +491,30 @@ def test_wide_ridge_equals_a_dense_solve(spark):
     assert np.allclose(beta, np.linalg.solve(z.T @ z / 200 + 0.1 * np.eye(40), z.T @ (y - y.mean()) / 200), atol=1e-7)
     with pytest.raises(Exception, match="should hold 41 numbers"):
         blocks.gram_blocks(df, 41)
+
+
+def test_pair_rmsd_from_sums(spark):
+    r = rng()
+    sets = {u: (r.standard_normal((n, 3)) * 5 + 100, r.standard_normal((n, 3)) * 5 - 40) for u, n in ((0, 40), (1, 3), (2, 2), (3, 60))}
+    turn = np.linalg.qr(r.standard_normal((3, 3)))[0]
+    sets[4] = (sets[0][0], sets[0][0] @ (turn * np.sign(np.linalg.det(turn))) + 7)
+    sets[5] = (sets[0][0], sets[0][0] * [1, 1, -1])
+    rows = [(u, k, *map(float, a[k]), *map(float, b[k])) for u, (a, b) in sets.items() for k in range(len(a))]
+    got = {v.unit: v for v in linear.pair_rmsd(spark.createDataFrame(rows, "unit int, i long, ax double, ay double, az double, bx double, by double, bz double")).collect()}
+    for u, (a, b) in sets.items():
+        assert got[u].n == len(a)
+        assert got[u].rmsd is None if len(a) < 3 else np.isclose(got[u].rmsd, linear.superposed(a, b)[1], atol=1e-6)
+
+
+def test_quantiles_and_places(spark):
+    from tessera.operators import ordered
+
+    r = rng()
+    for x in (np.round(r.standard_normal(501), 1), np.array([3.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(4)
+        shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+        assert np.allclose(ordered.quantiles(df, "x", shares), np.quantile(x, shares), atol=1e-12)
+    assert ordered.quantiles(df.filter("x > 9"), "x", [0.5]) == []
+    rows = spark.createDataFrame([(int(v) % 7, k) for k, v in enumerate(r.permutation(200))], "a int, b int")
+    got = sorted((v.at, v.a, v.b) for v in ordered.placed(rows, ["a", "b"], "at").collect())
+    assert [g[0] for g in got] == list(range(200)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
