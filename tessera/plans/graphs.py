@@ -463,11 +463,12 @@ def fea07(spark, d):
     return pts(spark, d).select("unit", "i", F.floor(F.col("px") / 10).cast("int").alias("well"), F.round(F.sqrt(F.col("px") ** 2 + F.col("py") ** 2 + F.col("pz") ** 2), 7).alias("reach"))
 
 
-@query("FEA08_void_columns")
+@query("FEA08_void_columns", f"WITH {PTS}, {SPHERES}, co AS (SELECT unit, radius, unnest([a, b, c, d]) AS i FROM em) SELECT unit, i, count(*) AS n_spheres, round(max(radius), 6) AS largest, round(min(radius), 6) AS smallest, round(median(radius), 6) AS middle, round(avg(radius), 6) AS mean, count(*) FILTER (WHERE radius < 4) AS n_tight, count(*) FILTER (WHERE radius > 8) AS n_open FROM co GROUP BY ALL")
 def fea08(spark, d):
-    v = gra33(spark, d)
+    """The empty spheres that each point holds up: how many, and how wide."""
+    v = L.void_spheres(pts(spark, d), 3.0, 12.0)
     corner = v.select("unit", "radius", F.explode(F.array("a", "b", "c", "d")).alias("i"))
-    return corner.groupBy("unit", "i").agg(F.count(F.lit(1)).alias("n_spheres"), F.max("radius").alias("largest"), F.avg("radius").alias("mean"))
+    return corner.groupBy("unit", "i").agg(F.count(F.lit(1)).alias("n_spheres"), F.round(F.max("radius"), 6).alias("largest"), F.round(F.min("radius"), 6).alias("smallest"), F.round(F.median("radius"), 6).alias("middle"), F.round(F.avg("radius"), 6).alias("mean"), F.count_if(F.col("radius") < 4).alias("n_tight"), F.count_if(F.col("radius") > 8).alias("n_open"))
 
 
 @query("FEA09_displacement_columns", f"WITH {EV} SELECT unit, i, round(coalesce((x - avg(x) OVER u) / nullif(stddev_pop(x) OVER u, 0), 0), 7) AS z, (rank() OVER (PARTITION BY unit ORDER BY x) - 1 + (count(*) OVER (PARTITION BY unit, x) - 1) / 2.0::DOUBLE) / greatest(count(*) OVER u - 1, 1) AS r FROM ev WINDOW u AS (PARTITION BY unit)")
@@ -492,9 +493,15 @@ def agg_wall(spark, d):
     return e.groupBy("unit", F.col("src").alias("i")).agg(F.min("d").alias("nearest"), F.avg("d").alias("mean_d"), F.percentile("d", F.lit(0.9)).alias("p90"))
 
 
-@query("FEA12_aperture_columns")
+@query("FEA12_aperture_columns", f"""WITH {PTS}, {AXES}, al AS (SELECT a.unit, a.i, k, (b.px - a.px) * x + (b.py - a.py) * y + (b.pz - a.pz) * z AS along, {D2} AS d2 FROM pts a JOIN pts b ON a.unit = b.unit AND a.i <> b.i, ax),
+    f AS (SELECT unit, i, k, least(coalesce(min(CASE WHEN along > 0 AND d2 - along * along <= 4 THEN along END), 12), 12) AS far FROM al GROUP BY ALL), fr AS (SELECT unit, i, round(max(far), 7) AS longest, round(avg(far), 7) AS mean FROM f GROUP BY ALL),
+    c AS (SELECT unit, i, sqrt((px - avg(px) OVER u) ** 2 + (py - avg(py) OVER u) ** 2 + (pz - avg(pz) OVER u) ** 2) AS r FROM pts WINDOW u AS (PARTITION BY unit)), {FACETS},
+    de AS (SELECT p.unit, p.i, round(min(abs((px - ax) * nx + (py - ay) * ny + (pz - az) * nz) / sqrt(nx * nx + ny * ny + nz * nz)), 6) + 0 AS depth FROM pts p JOIN fa ON fa.unit = p.unit GROUP BY p.unit, p.i)
+    SELECT fr.unit, fr.i, longest, mean, r >= quantile_cont(r, 0.85) OVER (PARTITION BY fr.unit) AS outer_, depth FROM fr JOIN c USING (unit, i) JOIN de USING (unit, i)""")
 def fea12(spark, d):
-    return D.free_runs(pts(spark, d)).join(L.hull_fallback(pts(spark, d)), ["unit", "i"])
+    """Free runs from each point, whether it is one of the outer ones, and how deep it lies below the hull."""
+    outer = L.hull_fallback(pts(spark, d)).withColumnRenamed("outer", "outer_")
+    return gra32(spark, d).join(outer, ["unit", "i"]).join(gra24c(spark, d), ["unit", "i"])
 
 
 @query("FEA13_gate_columns", f"WITH {EV}, b AS (SELECT unit, i, k % 3 = 0 AS f FROM ev), g AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY i) - row_number() OVER (PARTITION BY unit, f ORDER BY i) AS g FROM b) SELECT unit, i, CASE WHEN f THEN count(*) OVER (PARTITION BY unit, f, g) ELSE 0 END AS run, sum(CAST(f AS INTEGER)) OVER (PARTITION BY unit ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)::BIGINT AS near FROM g")

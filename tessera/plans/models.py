@@ -109,7 +109,15 @@ def mod10(spark, d):
     return R.pooled_auc(ev(spark, d), "x", "y", ties=False).select(F.round("auc", 9).alias("auc"))
 
 
-@query("MOD11_ridge_regression")
+#: Ridge coefficients of three standardised digits, by Cramer's rule.
+RIDGE3 = """mo AS (SELECT corr(d0, d1) AS a, corr(d0, d2) AS b, corr(d1, d2) AS c, covar_pop(d0, y) / stddev_pop(d0) AS u, covar_pop(d1, y) / stddev_pop(d1) AS v, covar_pop(d2, y) / stddev_pop(d2) AS w, 1 + 1e-3::DOUBLE AS g FROM dg),
+    dt AS (SELECT *, g * (g * g - c * c) - a * (a * g - c * b) + b * (a * c - g * b) AS det FROM mo),
+    be AS (SELECT 'd0' AS wire, round((u * (g * g - c * c) - a * (v * g - c * w) + b * (v * c - g * w)) / det, 9) AS beta FROM dt UNION ALL
+           SELECT 'd1', round((g * (v * g - c * w) - u * (a * g - c * b) + b * (a * w - v * b)) / det, 9) FROM dt UNION ALL
+           SELECT 'd2', round((g * (g * w - v * c) - a * (a * w - v * b) + u * (a * c - g * b)) / det, 9) FROM dt)"""
+
+
+@query("MOD11_ridge_regression", f"WITH {EV}, {DIG}, {RIDGE3} SELECT wire, beta FROM be")
 def mod11(spark, d):
     """Closed form from the Gram of standardised digits."""
     cols = ["d0", "d1", "d2"]
@@ -120,7 +128,7 @@ def mod11(spark, d):
     sd = np.sqrt(np.diag(s))
     cross = parts[1][0] / n * (parts[1][1] - mean) / sd
     beta = np.linalg.solve(s / np.outer(sd, sd) + 1e-3 * np.eye(3), cross)
-    return spark.createDataFrame([(c, float(b)) for c, b in zip(cols, beta, strict=True)], "wire string, beta double")
+    return spark.createDataFrame([(c, round(float(b), 9)) for c, b in zip(cols, beta, strict=True)], "wire string, beta double")
 
 
 @query("MOD11b_wide_ridge")
@@ -425,10 +433,13 @@ def det07(spark, d):
     return scored(spark, d).select("unit", "i", F.round(W.peak_scaled("x"), 8).alias("s"))
 
 
-@query("DET08_linear_field")
+@query("DET08_linear_field", f"WITH {EV}, {DIG}, {RIDGE3} SELECT unit, i, round(d0 * b0 + d1 * b1 + d2 * b2, 8) AS score FROM dg, (SELECT max(beta) FILTER (WHERE wire = 'd0') AS b0, max(beta) FILTER (WHERE wire = 'd1') AS b1, max(beta) FILTER (WHERE wire = 'd2') AS b2 FROM be)")
 def det08(spark, d):
-    beta = {r["wire"]: r["beta"] for r in mod11(spark, d).collect()}
-    return digits(spark, d).select("unit", "i", sum((F.col(c) * b for c, b in sorted(beta.items())), F.lit(0.0)).alias("score"))
+    """The digits weighted by the ridge coefficients, one small row that joins them."""
+    model = mod11(spark, d).groupBy().pivot("wire", ["d0", "d1", "d2"]).agg(F.first("beta"))
+    beta = model.select(*[F.col(c).alias(f"b_{c}") for c in ("d0", "d1", "d2")])
+    score = sum((F.col(c) * F.col(f"b_{c}") for c in ("d1", "d2")), F.col("d0") * F.col("b_d0"))
+    return digits(spark, d).join(F.broadcast(beta), F.lit(True)).select("unit", "i", F.round(score, 8).alias("score"))
 
 
 @query("DET08b_wide_linear_field")

@@ -145,7 +145,12 @@ def jon16(spark, d):
     return r.filter("best = 1 or partner <= 2").select("unit", "i", "best", "partner")
 
 
-@query("JON17_related_splits")
+def _linked(r):
+    """li: the smallest index that links of at most r reach from each point."""
+    return f"{edge_sql(r)}, rc AS (SELECT unit, i, i AS root FROM pts UNION SELECT e.unit, e.dst, rc.root FROM rc JOIN e ON e.unit = rc.unit AND e.src = rc.i), li AS (SELECT unit, i, min(root) AS root FROM rc GROUP BY ALL)"
+
+
+@query("JON17_related_splits", f"WITH RECURSIVE {PTS}, {_linked(5)} SELECT unit, root, count(*) AS size, count(DISTINCT i % 2) AS splits FROM li GROUP BY ALL")
 def jon17(spark, d):
     """Points within 5 of each other, their components, and components that span both halves of a split."""
     from tessera.operators.graph import connected
@@ -155,7 +160,7 @@ def jon17(spark, d):
     return c.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("size"), F.count_distinct(F.col("i") % 2).alias("splits"))
 
 
-@query("JON18_sphere_components")
+@query("JON18_sphere_components", f"WITH RECURSIVE {PTS}, {_linked(3)} SELECT unit, i, root FROM li")
 def jon18(spark, d):
     from tessera.operators.graph import connected
 
