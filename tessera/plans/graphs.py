@@ -13,6 +13,7 @@ from tessera.operators import graph as G
 from tessera.operators import hull as H
 from tessera.operators import linear as L
 from tessera.operators import spatial as S
+from tessera.operators import voids as V
 from tessera.operators import windows as W
 from tessera.plans.bindings import EV, PTS, ev, pts
 from tessera.plans.registry import query
@@ -471,6 +472,14 @@ def fea08(spark, d):
     return corner.groupBy("unit", "i").agg(F.count(F.lit(1)).alias("n_spheres"), F.round(F.max("radius"), 6).alias("largest"), F.round(F.min("radius"), 6).alias("smallest"), F.round(F.median("radius"), 6).alias("middle"), F.round(F.avg("radius"), 6).alias("mean"), F.count_if(F.col("radius") < 4).alias("n_tight"), F.count_if(F.col("radius") > 8).alias("n_open"))
 
 
+@query("FEA08b_void_family")
+def fea08b(spark, d):
+    """All columns of voids for owners of three points each, in the order of a unit's points; every other point is a side point."""
+    at = F.row_number().over(Window.partitionBy("unit").orderBy("i")) - 1
+    p = pts(spark, d).withColumn("owner", F.floor(at / 3)).withColumn("side", F.col("i") % 2 == 1)
+    return V.void_columns(p, 3.0, 12.0, tight=4.0, wide=8.0)
+
+
 @query("FEA09_displacement_columns", f"WITH {EV} SELECT unit, i, round(coalesce((x - avg(x) OVER u) / nullif(stddev_pop(x) OVER u, 0), 0), 7) AS z, (rank() OVER (PARTITION BY unit ORDER BY x) - 1 + (count(*) OVER (PARTITION BY unit, x) - 1) / 2.0::DOUBLE) / greatest(count(*) OVER u - 1, 1) AS r FROM ev WINDOW u AS (PARTITION BY unit)")
 def fea09(spark, d):
     return ev(spark, d).select("unit", "i", F.round(W.z_score("x"), 7).alias("z"), W.normal_rank("x").alias("r"))

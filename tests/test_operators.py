@@ -518,3 +518,72 @@ def test_quantiles_and_places(spark):
     rows = spark.createDataFrame([(int(v) % 7, k) for k, v in enumerate(r.permutation(200))], "a int, b int")
     got = sorted((v.at, v.a, v.b) for v in ordered.placed(rows, ["a", "b"], "at").collect())
     assert [g[0] for g in got] == list(range(200)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+
+
+def plain_voids(x, owner, side, low, high, link, gate, contact, tight, wide):
+    """Columns of each owner by loops over spheres and owners; spheres in the order of their corners."""
+    from tessera.operators import hull
+
+    r1 = lambda v: int(np.rint(v))
+    spheres = []
+    for t in linear.delaunay(x):
+        centre, r = linear.sphere(*x[list(t)])
+        if low <= r <= high:
+            spheres.append((t, centre, r))
+    n = len(spheres)
+    parent = graph_roots(n, [(a, b) for a, b in itertools.combinations(range(n), 2) if np.sqrt(((spheres[a][1] - spheres[b][1]) ** 2).sum()) <= link])
+    label = [min(k for k in range(n) if parent[k] == parent[s]) for s in range(n)]
+    cent = {o: x[owner == o].mean(0) for o in np.unique(owner)}
+    eq = hull.Hull(x).equations()
+    depth = lambda p: float(np.min(-(eq[:, :3] @ p + eq[:, 3])))
+    voids = {v: [s for s in range(n) if label[s] == v] for v in set(label)}
+    res = {v: sorted({int(owner[a]) for s in ss for a in spheres[s][0]}) for v, ss in voids.items()}
+    out = {}
+    for o in cent:
+        row = {"hull_distance_centi": r1(100 * depth(cent[o]))}
+        mine = [s for s in range(n) if any(owner[a] == o for a in spheres[s][0])]
+        atoms = {a for s in mine for a in spheres[s][0] if owner[a] == o}
+        if mine:
+            rr = np.array([spheres[s][2] for s in mine])
+            row |= {"alpha_spheres": len(mine), "alpha_atoms": len(atoms), "alpha_incidences": sum(int(owner[a] == o) for s in mine for a in spheres[s][0]), "alpha_sc_atoms": sum(bool(side[a]) for a in atoms), "alpha_bb_atoms": sum(not side[a] for a in atoms), "alpha_atom_permille": r1(1000 * len(atoms) / (owner == o).sum()), "alpha_sc_permille": r1(1000 * sum(bool(side[a]) for a in atoms) / len(atoms))}
+            row |= {"alpha_r_max_centi": r1(100 * rr.max()), "alpha_r_min_centi": r1(100 * rr.min()), "alpha_r_median_centi": r1(100 * np.median(rr)), "alpha_r_range_centi": r1(100 * (rr.max() - rr.min())), "alpha_n_tight": int((rr < tight).sum()), "alpha_n_open": int((rr > wide).sum())}
+            own = sorted({label[s] for s in mine})
+            best = max(own, key=lambda v: (len(res[v]), -v))
+            ss, lin = voids[best], res[best]
+            m = len(lin)
+            at = {a for s in ss for a in spheres[s][0]}
+            order = sorted(voids, key=lambda v: (-len(res[v]), v))
+            span = max(np.sqrt(((spheres[a][1] - spheres[b][1]) ** 2).sum()) for a in ss for b in ss)
+            by = sorted(lin, key=lambda j: (-sum(any(owner[a] == j for a in spheres[s][0]) for s in ss), j))
+            d = {j: np.sqrt(((cent[j] - cent[o]) ** 2).sum()) for j in cent}
+            near = sum(j != o and d[j] <= contact for j in lin)
+            hd = [depth(spheres[s][1]) for s in ss]
+            ball, close = [j for j in cent if d[j] <= gate], [j for j in cent if d[j] <= contact]
+            gin, cin = sum(j in lin for j in ball), sum(j in lin for j in close)
+            row |= {"n_voids": len(own), "best_void_residues": m, "best_void_spheres": len(ss), "best_void_atoms": len(at), "min_void_residues": min(len(res[v]) for v in own), "void_residues_total": sum(len(res[v]) for v in own), "best_void_rank_permille": r1(1000 * (order.index(best) + 1) / len(order)), "best_void_share_permille": r1(1000 * len(ss) / n)}
+            row |= {"rank_in_void_permille": r1(1000 * (by.index(o) + 1) / m), "void_neighbours": near, "void_neighbour_permille": r1(1000 * near / m), "void_span_centi": r1(100 * span), "void_span_per_residue_centi": r1(100 * span / m), "void_spheres_per_residue_centi": r1(100 * len(ss) / m), "void_r_max_centi": r1(100 * max(spheres[s][2] for s in ss)), "void_r_mean_centi": r1(100 * np.mean([spheres[s][2] for s in ss])), "void_sc_permille": r1(1000 * sum(bool(side[a]) for a in at) / len(at))}
+            row |= {"void_seq_segments": 1 + int((np.diff(lin) > 1).sum()), "void_seq_span": lin[-1] - lin[0], "void_seq_span_per_residue_centi": r1(100 * (lin[-1] - lin[0]) / m), "own_seq_offset_permille": r1(1000 * abs(o - np.median(lin)) / (lin[-1] - lin[0])) if lin[-1] > lin[0] else 0}
+            row |= {"ball_gate_residues": len(ball), "ball_gate_in_void": gin, "ball_gate_purity_permille": r1(1000 * gin / len(ball)), "ball_contact_purity_permille": r1(1000 * cin / len(close)), "purity_gain_permille": r1(1000 * cin / len(close)) - r1(1000 * gin / len(ball)), "void_hull_min_centi": r1(100 * min(hd)), "void_hull_max_centi": r1(100 * max(hd)), "void_hull_range_centi": r1(100 * (max(hd) - min(hd)))}
+        out[int(o)] = row
+    return out
+
+
+def test_void_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import voids
+
+    r = rng()
+    x = r.random((150, 3)) * [16, 14, 12]
+    owner, side = np.arange(150) // 4, np.arange(150) % 3 == 0
+    df = points_df(spark, x).withColumn("owner", F.floor(F.col("i") / 4)).withColumn("side", F.col("i") % 3 == 0)
+    args = (1.5, 3.0, 1.0, 8.0, 4.0, 1.8, 2.4)
+    got = {v["owner"]: v.asDict() for v in voids.void_columns(df, *args).collect()}
+    want = plain_voids(x, owner, side, *args)
+    assert set(got) == set(want) and len(next(iter(got.values()))) == 2 + 43
+    assert sum("n_voids" in w for w in want.values()) > 20
+    for o, row in got.items():
+        for c, v in row.items():
+            if c not in ("unit", "owner"):
+                assert v == want[o].get(c, 0), (o, c)
+    assert voids.void_columns(df.filter("false")).count() == 0
