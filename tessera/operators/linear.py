@@ -66,35 +66,6 @@ def pair_rmsd(pairs: DataFrame, least: int = 3) -> DataFrame:
     return sums.mapInPandas(of, "unit int, n long, rmsd double")
 
 
-def local_shapes(points: DataFrame, radii=(10.0, 14.0)) -> DataFrame:
-    """Per point and radius: spread ratios of its neighbourhood, and curvatures of the quadric fitted over its flattest plane."""
-
-    def of(key, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        x = p[XYZ].to_numpy(float)
-        d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
-        rows = []
-        for k in range(len(x)):
-            row = [key[0], int(p.i.iloc[k])]
-            for r in radii:
-                near = x[d2[k] <= r * r] - x[k]
-                w, v = np.linalg.eigh(np.cov(near.T, bias=True)) if len(near) > 1 else (np.zeros(3), np.eye(3))
-                total = max(w.sum(), 1e-12)
-                q = near @ v[:, ::-1]
-                bent = (0.0, 0.0)
-                if len(near) >= 6:
-                    m = np.column_stack([q[:, 0] ** 2, q[:, 0] * q[:, 1], q[:, 1] ** 2, q[:, 0], q[:, 1], np.ones(len(q))])
-                    c = np.linalg.lstsq(m, q[:, 2], rcond=None)[0]
-                    k1, k2 = np.linalg.eigvalsh([[2 * c[0], c[1]], [c[1], 2 * c[2]]])
-                    bent = (abs(float(k1 * k2)), abs(float(k1 + k2)) / 2)
-                row += [float(w[0] / total), float(w[2] / total), *bent]
-            rows.append(row)
-        return pd.DataFrame(rows)
-
-    cols = ", ".join(f"flat{r:g} double, long{r:g} double, gauss{r:g} double, mean{r:g} double" for r in radii)
-    return points.select("unit", "i", *XYZ).groupBy("unit").applyInPandas(lambda k, p: of(k, p).set_axis(["unit", "i"] + [f"{n}{r:g}" for r in radii for n in ("flat", "long", "gauss", "mean")], axis=1), f"unit int, i long, {cols}")
-
-
 def elastic_hessian(x: np.ndarray, cutoff: float) -> np.ndarray:
     n = len(x)
     h = np.zeros((n, 3, n, 3))

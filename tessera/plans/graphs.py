@@ -15,6 +15,7 @@ from tessera.operators import linear as L
 from tessera.operators import spatial as S
 from tessera.operators import voids as V
 from tessera.operators import windows as W
+from tessera.operators.local import local_shapes
 from tessera.plans.bindings import EV, PTS, ev, pts
 from tessera.plans.registry import query
 from tessera.plans.shapes import NB, TORSION, torsions
@@ -103,7 +104,7 @@ def gra06(spark, d):
 
 @query("GRA07_shape_descriptors")
 def gra07(spark, d):
-    return L.local_shapes(pts(spark, d), (8.0, 12.0, 16.0))
+    return local_shapes(pts(spark, d), (8.0, 12.0, 16.0))
 
 
 LG = f"{PTS}, {edge_sql(10)}, lg AS (SELECT unit, src AS i, dst - src AS k FROM e)"
@@ -119,7 +120,7 @@ def gra08(spark, d):
 
 @query("GRA09_quadric_fit")
 def gra09(spark, d):
-    return L.local_shapes(pts(spark, d), (14.0,)).select("unit", "i", "gauss14", "mean14")
+    return local_shapes(pts(spark, d), (14.0,)).select("unit", "i", "gauss14", "mean14")
 
 
 @query("GRA10_linkage_levels", f"WITH {BOTTLENECKS}, lv AS (SELECT unnest([4.0::DOUBLE, 8, 16, 32]) AS level) SELECT p.unit, p.i, level, 1 + count(DISTINCT bt.j) FILTER (WHERE rk.d <= level AND bt.j <> p.i) AS size FROM pts p CROSS JOIN lv LEFT JOIN bt ON bt.unit = p.unit AND bt.i = p.i LEFT JOIN rk ON rk.unit = bt.unit AND rk.r = bt.r GROUP BY p.unit, p.i, level")
@@ -494,7 +495,7 @@ def fea10(spark, d):
 
 @query("FEA11_wall_columns")
 def fea11(spark, d):
-    return L.local_shapes(pts(spark, d), (10.0,)).join(agg_wall(spark, d), ["unit", "i"])
+    return local_shapes(pts(spark, d), (10.0,)).join(agg_wall(spark, d), ["unit", "i"])
 
 
 def agg_wall(spark, d):
@@ -541,7 +542,7 @@ def fea16(spark, d):
 
 @query("FEA17_operator_columns")
 def fea17(spark, d):
-    return L.local_shapes(pts(spark, d), (8.0, 12.0, 16.0)).join(G.spectra(S.edges(pts(spark, d), 10.0)), ["unit", "i"])
+    return local_shapes(pts(spark, d), (8.0, 12.0, 16.0)).join(G.spectra(S.edges(pts(spark, d), 10.0)), ["unit", "i"])
 
 
 @query("FEA18_chain_operator_columns")

@@ -587,3 +587,35 @@ def test_void_columns(spark):
             if c not in ("unit", "owner"):
                 assert v == want[o].get(c, 0), (o, c)
     assert voids.void_columns(df.filter("false")).count() == 0
+
+
+def test_local_shapes_from_sums(spark):
+    """Spread and quadric of each neighbourhood against a fit to its points."""
+    from tessera.operators.local import local_shapes
+
+    r = rng()
+    flat = np.column_stack([r.random((60, 2)) * 12, np.zeros(60)])
+    flat[:, 2] = 0.05 * flat[:, 0] ** 2 - 0.02 * flat[:, 0] * flat[:, 1] + 0.1 * r.standard_normal(60)
+    x = np.vstack([r.standard_normal((80, 3)) * 4 + 50, flat, [[-90, 0, 0]], [[-80, 0, 0], [-79, 0, 0]]])
+    got = {v.i: v.asDict() for v in local_shapes(points_df(spark, x), (4.0, 7.0)).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert len(got) == len(x)
+    fitted = 0
+    for k in range(len(x)):
+        for radius in (4.0, 7.0):
+            near = x[d[k] <= radius] - x[k]
+            w, v = np.linalg.eigh(np.cov(near.T, bias=True)) if len(near) > 1 else (np.zeros(3), np.eye(3))
+            total = max(w.sum(), 1e-12)
+            row = [got[k][f"{c}{radius:g}"] for c in ("flat", "long", "gauss", "mean")]
+            assert np.allclose(row[:2], (w[0] / total, w[2] / total), atol=1e-7)
+            if len(near) < 6:
+                assert row[2:] == [0, 0]
+            elif len(near) > 8:  # fewer points fix the quadric badly, in either way of solving it
+                fitted += 1
+                q = near @ v[:, ::-1]
+                m = np.column_stack([q[:, 0] ** 2, q[:, 0] * q[:, 1], q[:, 1] ** 2, q[:, 0], q[:, 1], np.ones(len(q))])
+                c = np.linalg.lstsq(m, q[:, 2], rcond=None)[0]
+                k1, k2 = np.linalg.eigvalsh([[2 * c[0], c[1]], [c[1], 2 * c[2]]])
+                assert np.allclose(row[2:], (abs(k1 * k2), abs(k1 + k2) / 2), rtol=1e-5, atol=1e-7)
+    assert fitted > 100
+    assert local_shapes(points_df(spark, x).filter("false")).count() == 0
