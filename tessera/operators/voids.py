@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected
+from tessera.operators.graph import connected, hop_rows
 from tessera.operators.hull import hull_corners, hull_depth, hull_planes
 from tessera.operators.linear import void_spheres
 from tessera.operators.ordered import placed
@@ -48,8 +48,31 @@ def spans(spheres: DataFrame) -> DataFrame:
     return rim.join(other, "unit").groupBy(F.col("unit").alias("void")).agg(F.sqrt(F.max(d2)).alias("span"))
 
 
+def depths(lining: DataFrame, pairs: DataFrame) -> DataFrame:
+    """unit, void, owner, depth_in_void: hops in a void's lining to its rim, the owners that hold up one of its spheres.
+
+    lining: unit, void, owner, spheres; pairs: unit, owner, other in contact. A
+    void without a rim has depth 0; owners whom no path leads to the rim get one
+    more than the hops to the farthest they can reach.
+    """
+    ends = [lining.select("unit", "void", F.col("owner").alias(c)) for c in ("owner", "other")]
+    touch = stored(pairs.filter("owner <> other").join(ends[0], ["unit", "owner"]).join(ends[1], ["unit", "void", "other"]).select(F.col("void").alias("unit"), F.col("owner").alias("src"), F.col("other").alias("dst")), "touch")
+    rim = lining.filter("spheres = 1").select(F.col("void").alias("unit"), F.col("owner").alias("i"))
+    seen = front = stored(rim.withColumn("hop", F.lit(0)), "depth")
+    while not front.isEmpty():
+        new = front.select("unit", F.col("i").alias("src"), "hop").join(touch, ["unit", "src"]).select("unit", F.col("dst").alias("i"), (F.col("hop") + 1).alias("hop")).distinct()
+        front = stored(new.join(seen, ["unit", "i"], "left_anti"), "depth")
+        seen = seen.unionByName(front)
+    rest = lining.select(F.col("void").alias("unit"), F.col("owner").alias("i")).join(rim.select("unit").distinct(), "unit").join(seen, ["unit", "i"], "left_anti")
+    cut = touch.join(rest.withColumnRenamed("i", "src"), ["unit", "src"], "left_semi")
+    farthest = hop_rows(cut, 1 << 30).groupBy("unit", F.col("source").alias("i")).agg(F.max("hop").alias("far"))
+    lost = rest.join(farthest, ["unit", "i"], "left").select("unit", "i", (F.coalesce("far", F.lit(0)) + 1).alias("hop"))
+    found = seen.unionByName(lost).select(F.col("unit").alias("void"), F.col("i").alias("owner"), F.col("hop").cast("long").alias("depth_in_void"))
+    return lining.select("unit", "void", "owner").join(found, ["void", "owner"], "left").select("unit", "void", "owner", F.coalesce("depth_in_void", F.lit(0)).alias("depth_in_void"))
+
+
 def void_columns(points: DataFrame, low: float = 3.0, high: float = 6.0, link: float = 1.73, gate: float = 18.0, contact: float = 7.0, tight: float = 3.5, wide: float = 4.5) -> DataFrame:
-    """One row an (unit, owner) of points (unit, i, px, py, pz, owner, side): 43 whole numbers, all 0 but the depth where an owner lines no void.
+    """One row an (unit, owner) of points (unit, i, px, py, pz, owner, side): 45 whole numbers, all 0 but the depth where an owner lines no void.
 
     Lengths are in hundredths, shares in thousandths. The best void of an owner
     is the one with the most owners, ties by the smaller number.
@@ -88,14 +111,16 @@ def void_columns(points: DataFrame, low: float = 3.0, high: float = 6.0, link: f
 
     # company within the two balls about an owner's centroid, itself included
     pairs = radius_pairs(centroid, gate).select("unit", F.inline(F.array(*[F.struct(F.col(f"{s}_i").alias("owner"), F.col(f"{t}_i").alias("other"), F.col("d")) for s, t in ("ab", "ba")])))
-    pairs = pairs.unionByName(centroid.select("unit", F.col("i").alias("owner"), F.col("i").alias("other"), F.lit(0.0).alias("d")))
+    pairs = stored(pairs.unionByName(centroid.select("unit", F.col("i").alias("owner"), F.col("i").alias("other"), F.lit(0.0).alias("d"))), "balls")
     member = lining.select("unit", "void", F.col("owner").alias("other"), F.lit(True).alias("in"))
     around = pairs.join(best.select("unit", "owner", "void"), ["unit", "owner"]).join(member, ["unit", "void", "other"], "left")
     close = F.col("d") <= contact
     balls = around.groupBy("unit", "owner").agg(F.count(F.lit(1)).alias("ball_gate_residues"), F.count_if(F.col("in")).alias("ball_gate_in_void"), F.count_if(close).alias("n_close"), F.count_if(close & F.col("in")).alias("in_close"))
 
+    deep = depths(lining, pairs.filter(F.col("d") <= contact))
+
     c = F.col
-    chosen = best.join(void, ["unit", "void"]).join(place, ["unit", "void", "owner"]).join(balls, ["unit", "owner"]).select(
+    chosen = best.join(void, ["unit", "void"]).join(deep, ["unit", "void", "owner"]).join(place, ["unit", "void", "owner"]).join(balls, ["unit", "owner"]).select(
         "unit", "owner", "n_voids", c("res").alias("best_void_residues"), c("sph").alias("best_void_spheres"), c("atoms").alias("best_void_atoms"), "min_void_residues", "void_residues_total",
         permille(c("rank"), c("n_all")).alias("best_void_rank_permille"), permille(c("sph"), c("sph_all")).alias("best_void_share_permille"),
         permille(c("place"), c("res")).alias("rank_in_void_permille"), (c("in_close") - 1).alias("void_neighbours"), permille(c("in_close") - 1, c("res")).alias("void_neighbour_permille"),
@@ -104,7 +129,7 @@ def void_columns(points: DataFrame, low: float = 3.0, high: float = 6.0, link: f
         c("segments").alias("void_seq_segments"), c("seq_span").alias("void_seq_span"), whole(100 * c("seq_span") / c("res")).alias("void_seq_span_per_residue_centi"), permille(F.abs(c("owner") - c("seq_mid")), c("seq_span")).alias("own_seq_offset_permille"),
         "ball_gate_residues", "ball_gate_in_void", permille(c("ball_gate_in_void"), c("ball_gate_residues")).alias("ball_gate_purity_permille"), permille(c("in_close"), c("n_close")).alias("ball_contact_purity_permille"),
         (permille(c("in_close"), c("n_close")) - permille(c("ball_gate_in_void"), c("ball_gate_residues"))).alias("purity_gain_permille"),
-        whole(100 * c("hull_min")).alias("void_hull_min_centi"), whole(100 * c("hull_max")).alias("void_hull_max_centi"), whole(100 * (c("hull_max") - c("hull_min"))).alias("void_hull_range_centi"),
+        "depth_in_void", (c("depth_in_void") >= 2).cast("long").alias("is_void_core"), whole(100 * c("hull_min")).alias("void_hull_min_centi"), whole(100 * c("hull_max")).alias("void_hull_max_centi"), whole(100 * (c("hull_max") - c("hull_min"))).alias("void_hull_range_centi"),
     )
     alpha = own.withColumn("alpha_bb_atoms", c("alpha_atoms") - c("alpha_sc_atoms")).withColumn("alpha_sc_permille", permille(c("alpha_sc_atoms"), c("alpha_atoms")))
     out = owners.select("unit", "owner", "heavy").join(depth, ["unit", "owner"], "left").join(alpha, ["unit", "owner"], "left").join(radii, ["unit", "owner"], "left").join(chosen, ["unit", "owner"], "left")

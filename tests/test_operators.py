@@ -564,6 +564,13 @@ def plain_voids(x, owner, side, low, high, link, gate, contact, tight, wide):
             row |= {"rank_in_void_permille": r1(1000 * (by.index(o) + 1) / m), "void_neighbours": near, "void_neighbour_permille": r1(1000 * near / m), "void_span_centi": r1(100 * span), "void_span_per_residue_centi": r1(100 * span / m), "void_spheres_per_residue_centi": r1(100 * len(ss) / m), "void_r_max_centi": r1(100 * max(spheres[s][2] for s in ss)), "void_r_mean_centi": r1(100 * np.mean([spheres[s][2] for s in ss])), "void_sc_permille": r1(1000 * sum(bool(side[a]) for a in at) / len(at))}
             row |= {"void_seq_segments": 1 + int((np.diff(lin) > 1).sum()), "void_seq_span": lin[-1] - lin[0], "void_seq_span_per_residue_centi": r1(100 * (lin[-1] - lin[0]) / m), "own_seq_offset_permille": r1(1000 * abs(o - np.median(lin)) / (lin[-1] - lin[0])) if lin[-1] > lin[0] else 0}
             row |= {"ball_gate_residues": len(ball), "ball_gate_in_void": gin, "ball_gate_purity_permille": r1(1000 * gin / len(ball)), "ball_contact_purity_permille": r1(1000 * cin / len(close)), "purity_gain_permille": r1(1000 * cin / len(close)) - r1(1000 * gin / len(ball)), "void_hull_min_centi": r1(100 * min(hd)), "void_hull_max_centi": r1(100 * max(hd)), "void_hull_range_centi": r1(100 * (max(hd) - min(hd)))}
+            rim = {j for j in lin if sum(any(owner[a] == j for a in spheres[s][0]) for s in ss) == 1}
+            seen, front, hop = {o}, {o}, 0
+            while rim and not front & rim and front:
+                front = {k for j in front for k in lin if k not in seen and np.sqrt(((cent[j] - cent[k]) ** 2).sum()) <= contact}
+                seen |= front
+                hop += 1
+            row |= {"depth_in_void": hop, "is_void_core": int(hop >= 2)}
         out[int(o)] = row
     return out
 
@@ -580,8 +587,8 @@ def test_void_columns(spark):
     args = (1.5, 3.0, 1.0, 8.0, 4.0, 1.8, 2.4)
     got = {v["owner"]: v.asDict() for v in voids.void_columns(df, *args).collect()}
     want = plain_voids(x, owner, side, *args)
-    assert set(got) == set(want) and len(next(iter(got.values()))) == 2 + 43
-    assert sum("n_voids" in w for w in want.values()) > 20
+    assert set(got) == set(want) and len(next(iter(got.values()))) == 2 + 45
+    assert sum("n_voids" in w for w in want.values()) > 20 and max(w.get("depth_in_void", 0) for w in want.values()) > 1
     for o, row in got.items():
         for c, v in row.items():
             if c not in ("unit", "owner"):
@@ -589,6 +596,17 @@ def test_void_columns(spark):
     assert voids.void_columns(df.filter("false")).count() == 0
 
 
+def test_depths_in_a_void(spark):
+    """A path from a rim, a part without a rim, an owner alone, and a void without any rim."""
+    from tessera.operators import voids
+
+    lining = spark.createDataFrame([(0, 5, o, 1 if o == 0 else 3) for o in range(9)] + [(0, 6, 0, 2), (0, 6, 1, 2)], "unit int, void long, owner long, spheres long")
+    touch = [(0, 1), (1, 2), (2, 3), (5, 6), (6, 7)]
+    pairs = spark.createDataFrame([(0, a, b) for x in touch for a, b in (x, x[::-1])] + [(0, o, o) for o in range(9)], "unit int, owner long, other long")
+    got = {(r.void, r.owner): r.depth_in_void for r in voids.depths(lining, pairs).collect()}
+    assert got == {(5, 0): 0, (5, 1): 1, (5, 2): 2, (5, 3): 3, (5, 4): 1, (5, 5): 3, (5, 6): 2, (5, 7): 3, (5, 8): 1, (6, 0): 0, (6, 1): 0}
+
+
 def test_local_shapes_from_sums(spark):
     """Spread and quadric of each neighbourhood against a fit to its points."""
     from tessera.operators.local import local_shapes
