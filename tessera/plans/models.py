@@ -58,7 +58,15 @@ def mod02(spark, d):
     return addresses(spark, d).select("unit", "i", "t", (F.col("addr") + 16 * F.col("t")).alias("cell"))
 
 
-@query("MOD03_integer_fan_out")
+#: Integer weights of the ridge discriminant of three digits for each ridge of rg: pooled scatter by class, Cramer's rule, the peak at 32.
+FAN_OUT = """cl AS (SELECT y, count(*) AS n, avg(d0) AS m0, avg(d1) AS m1, avg(d2) AS m2, covar_pop(d0, d0) * count(*) AS s00, covar_pop(d0, d1) * count(*) AS s01, covar_pop(d0, d2) * count(*) AS s02, covar_pop(d1, d1) * count(*) AS s11, covar_pop(d1, d2) * count(*) AS s12, covar_pop(d2, d2) * count(*) AS s22 FROM dg GROUP BY y),
+    po AS (SELECT sum(s00) / sum(n) AS p, sum(s01) / sum(n) AS a, sum(s02) / sum(n) AS b, sum(s11) / sum(n) AS q, sum(s12) / sum(n) AS c, sum(s22) / sum(n) AS r, sum(CASE y WHEN 1 THEN m0 ELSE -m0 END) AS u, sum(CASE y WHEN 1 THEN m1 ELSE -m1 END) AS v, sum(CASE y WHEN 1 THEN m2 ELSE -m2 END) AS w FROM cl),
+    ri AS (SELECT ridge, p + ridge * (p + q + r) / 3 AS p, a, b, q + ridge * (p + q + r) / 3 AS q, c, r + ridge * (p + q + r) / 3 AS r, u, v, w FROM po, rg),
+    wt AS (SELECT ridge, [u * (q * r - c * c) - a * (v * r - c * w) + b * (v * c - q * w), p * (v * r - c * w) - u * (a * r - c * b) + b * (a * w - v * b), p * (q * w - v * c) - a * (a * w - v * b) + u * (a * c - q * b)] AS x, p * (q * r - c * c) - a * (a * r - c * b) + b * (a * c - q * b) AS det FROM ri),
+    fo AS (SELECT ridge, CAST(k AS INTEGER) AS wire, CAST(round_even(32 * (x[k + 1] / det) / list_max(list_transform(x, lambda e: abs(e / det))), 0) AS INTEGER) AS multiplicity FROM wt, range(3) t(k))"""
+
+
+@query("MOD03_integer_fan_out", f"WITH {EV}, {DIG}, rg AS (SELECT 0.1::DOUBLE AS ridge), {FAN_OUT} SELECT wire, multiplicity FROM fo")
 def mod03(spark, d):
     w = T.fan_out(T.gram(digits(spark, d), ["d0", "d1", "d2"], "y"), 0.1)
     return spark.createDataFrame([(k, int(x)) for k, x in enumerate(w)], "wire int, multiplicity int")
@@ -338,7 +346,7 @@ def mod31(spark, d):
     return digits(spark, d).groupBy(T.address(F.array("d0", "d1", "d2")).alias("addr")).agg(F.count(F.lit(1)).alias("tot"), F.sum("y").alias("pos"))
 
 
-@query("MOD32_ridge_path")
+@query("MOD32_ridge_path", f"WITH {EV}, {DIG}, rg AS (SELECT unnest([0.01::DOUBLE, 0.1, 1.0]) AS ridge), {FAN_OUT} SELECT ridge, wire, multiplicity FROM fo")
 def mod32(spark, d):
     parts = T.gram(digits(spark, d), ["d0", "d1", "d2"], "y")
     return spark.createDataFrame([(float(r), k, int(x)) for r in (0.01, 0.1, 1.0) for k, x in enumerate(T.fan_out(parts, r))], "ridge double, wire int, multiplicity int")

@@ -262,7 +262,11 @@ def top10(spark, d):
     return r.groupBy("unit").agg(best(c & y, "hit"), best(c & ~y, "false_call"), best(~c & y, "near_miss"), F.min_by(F.when(~c & y, F.col("i")), F.when(~c & y, F.struct("x", "i"))).alias("deep_miss"))
 
 
-@query("TOP11_disjoint_pairs")
+@query("TOP11_disjoint_pairs", """WITH bm AS (SELECT c_nationkey AS n, date_trunc('month', o_orderdate) AS m, count(*) AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    w AS (SELECT x.n AS a, y.n AS b, CAST(sum(least(x.c, y.c)) AS BIGINT) AS weight FROM bm x JOIN bm y ON x.m = y.m AND x.n < y.n GROUP BY ALL),
+    l AS (SELECT list(struct_pack(a := a, b := b, weight := weight) ORDER BY weight DESC, a, b) AS c FROM w),
+    k AS (SELECT list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda o: o.a IN (x[1].a, x[1].b) OR o.b IN (x[1].a, x[1].b))) = 0 THEN list_concat(acc, x) ELSE acc END) AS kept FROM l)
+    SELECT p.a, p.b, p.weight FROM (SELECT unnest(kept) AS p FROM k)""")
 def top11(spark, d):
     """Greedy heaviest disjoint pairs of customers' nations by shared order months: a driver fold over a bounded matrix (25 x 25)."""
     from tessera.operators.tables import greedy_pairs
