@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import random
 import re
 import struct
 import zlib
@@ -292,6 +293,22 @@ def test_jaccard_on_groups_of_near_copies(spark, monkeypatch):
     assert Counter(map(tuple, ngram_jaccard.jaccard_components(df, 4, 85).collect())) == plain_components(rows, 4, 85)
 
 
+def test_jaccard_compares_small_pivot_groups_whole(spark, monkeypatch):
+    """Lists longer than SMALL, of few copies with many differences, end after the next round."""
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 8)
+    rnd, rows = random.Random(5), [(0, " ".join(f"w{k}" for k in range(600)))]
+    for d in range(1, 41):
+        words = rows[0][1].split()
+        for k in rnd.sample(range(20), 10):
+            words[k * 30 : k * 30 + 12] = [f"s{k}x{j}" for j in range(12)]
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_jaccard.linked_nodes(ngram_jaccard.signed(df, 5, 80, "doc_id", "text"), 80, rounds=2)
+    sizes = Counter(Counter(c for _, _, c in plain_components(rows, 5, 80)).values())
+    del sizes[1]
+    assert Counter(found.groupBy("root").count().toPandas()["count"].tolist()) == sizes
+
+
 @pytest.mark.parametrize("small", [1, 16])
 def test_jaccard_near_the_threshold(spark, monkeypatch, small):
     """Families whose copies differ from their pivot and from each other by about as much as the threshold allows, with edits that recur and families within families."""
