@@ -637,3 +637,24 @@ def test_local_shapes_from_sums(spark):
                 assert np.allclose(row[2:], (abs(k1 * k2), abs(k1 + k2) / 2), rtol=1e-5, atol=1e-7)
     assert fitted > 100
     assert local_shapes(points_df(spark, x).filter("false")).count() == 0
+
+
+def test_nearest_within_in_blocks(spark, monkeypatch):
+    """Blocks of any size give the plain nearest ones, ties by index; only they leave a task, so linings hold no window over pairs."""
+    from tessera.operators import ego
+    from tessera.operators import spatial as S
+
+    monkeypatch.setattr(S, "OWN_BLOCK", 5)
+    monkeypatch.setattr(S, "AROUND_BLOCK", 7)
+    r = np.random.default_rng(3)
+    rows = [(u, k, *map(float, np.round(x) + 0.25)) for u in range(2) for k, x in enumerate(r.normal(0, 3, (60, 3)))]
+    rows += [(2, 7, 0.0, 0.0, 0.0), (3, 1, 1.0, 1.0, 1.0), (3, 2, 1.0, 1.0, 1.0), (3, 3, 1.0, 6.0, 1.0)]
+    df = spark.createDataFrame(rows, "unit int, i long, px double, py double, pz double")
+    want = {}
+    for u, i, *x in rows:
+        near = sorted((float(np.sqrt(sum((np.array(y) - x) ** 2))), j) for v, j, *y in rows if v == u and j != i and float(sum((np.array(y) - x) ** 2)) <= 25)
+        if near:
+            want[u, i] = (len(near), [j for _, j in near[:6]])
+    got = {(x.unit, x.i): (x.n, [m.dst for m in x.near]) for x in S.nearest_within(df, 5.0, 6).collect()}
+    assert got == want
+    assert "Window" not in ego.linings(df)._jdf.queryExecution().optimizedPlan().toString()
