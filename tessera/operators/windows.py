@@ -81,12 +81,21 @@ def ordinal_rank(x: str, unit: str = "unit", order: str = "i") -> Column:
 
 
 def number_lags(df: DataFrame, x: str, lags: Sequence[int], unit: str = "unit", number: str = "i") -> DataFrame:
-    """Mean of |x - x at number +- k| over the sides that exist, one column per lag; gaps in numbers stay gaps."""
-    sides = df.select(F.col(unit).alias("_u"), F.col(number).alias("_n"), F.col(x).alias("_x"))
-    steps = F.array(*[F.lit(s * k) for k in lags for s in (-1, 1)])
-    asked = df.select(unit, number, x, F.explode(steps).alias("_s"))
-    near = asked.join(sides, (F.col(unit) == F.col("_u")) & (F.col(number) + F.col("_s") == F.col("_n")), "left")
-    return near.groupBy(unit, number).agg(*[F.avg(F.when(F.abs("_s") == k, F.abs(F.col(x) - F.col("_x")))).alias(f"lag{k}") for k in lags])
+    """Mean of |x - x at number +- k| over the sides that exist, one column per lag; gaps in numbers stay gaps.
+
+    Each side is a range frame of one number, so a row is shuffled once, however many lags there are.
+    """
+    rows = df.groupBy(unit, number).agg(F.collect_list(F.col(x).cast("double")).alias("_x"))
+    w = Window.partitionBy(unit).orderBy(number)
+    at = lambda k: F.coalesce(F.first("_x").over(w.rangeBetween(k, k)), F.array().cast("array<double>"))
+    rows = rows.select(unit, number, "_x", *[at(s * k).alias(f"_{s * k}") for k in lags for s in (-1, 1)])
+    known = F.col(unit).isNotNull() & F.col(number).isNotNull()
+
+    def mean(k: int) -> Column:
+        off = F.flatten(F.transform("_x", lambda v: F.transform(F.concat(f"_{-k}", f"_{k}"), lambda o: F.abs(v - o))))
+        return F.when(known & (F.size(off) > 0), F.aggregate(off, F.lit(0.0), lambda t, v: t + v) / F.size(off))
+
+    return rows.select(unit, number, *[mean(k).alias(f"lag{k}") for k in lags])
 
 
 def centred(f, x: str, half: int, unit: str = "unit", order: str = "i") -> Column:

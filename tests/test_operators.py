@@ -658,3 +658,18 @@ def test_nearest_within_in_blocks(spark, monkeypatch):
     got = {(x.unit, x.i): (x.n, [m.dst for m in x.near]) for x in S.nearest_within(df, 5.0, 6).collect()}
     assert got == want
     assert "Window" not in ego.linings(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_number_lags_by_range_frames(spark):
+    """Repeated and missing numbers and nulls as by definition; rows aren't repeated for each lag."""
+    from tessera.operators import windows
+
+    rows = [(1, 1, 1.0), (1, 2, 4.0), (1, 2, 6.0), (1, 5, None), (1, 6, 2.0), (1, 8, 9.0), (2, 2, 5.0), (None, 1, 1.0), (None, 2, 3.0), (1, None, 1.0)]
+    df = spark.createDataFrame(rows, "unit int, i long, x double")
+    want = {}
+    for u, i in {r[:2] for r in rows}:
+        off = lambda k: [abs(x - y) for v, j, x in rows for o, m, y in rows if (v, j) == (u, i) and None not in (v, j, m, x, y) and v == o and abs(j - m) == k]  # noqa: B023, E731
+        want[u, i] = tuple(sum(d) / len(d) if d else None for d in map(off, (1, 2)))
+    out = windows.number_lags(df, "x", (1, 2))
+    assert {(r.unit, r.i): (r.lag1, r.lag2) for r in out.collect()} == want
+    assert not {"Generate", "Join"} & set(out._jdf.queryExecution().optimizedPlan().toString().split())
