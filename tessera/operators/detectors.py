@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.grid import buried_share, rays
-from tessera.operators.spatial import radius_join
+from tessera.operators.spatial import near_sums, radius_join
 
 XYZ = ["px", "py", "pz"]
 
@@ -50,17 +50,40 @@ def deformations(n: int, isochoric: bool = False, seed: int = 0) -> np.ndarray:
 def best_deformation(points: DataFrame, n: int, isochoric: bool = False, r: float = 8.0, seed: int = 0) -> DataFrame:
     """Largest share of the unit within r, times log1p of its number, over n linear deformations about each point.
 
-    A field shrinks an offset by its least singular value at most, so one join
-    at the widest radius that any field can bring within r has all pairs.
+    A field shrinks an offset by its least singular value at most, so blocks
+    at the widest radius that any field can bring within r have all pairs.
     """
     fields = deformations(n, isochoric, seed)
     widest = r / min(np.linalg.svd(np.eye(3) + g, compute_uv=False)[-1] for g in fields) * (1 + 1e-9)
     p = points.select("unit", "i", *XYZ)
-    ways = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(v)).alias(f"g{j}") for j, v in enumerate(g.ravel())]) for k, g in enumerate(fields)])
-    off = radius_join(p, p, widest).select("unit", F.col("a_i").alias("i"), *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"o{j}") for j, c in enumerate(XYZ)], F.inline(ways))
-    moved = [F.col(f"o{j}") + (F.col("o0") * F.col(f"g{3 * j}") + F.col("o1") * F.col(f"g{3 * j + 1}") + F.col("o2") * F.col(f"g{3 * j + 2}")) for j in range(3)]
-    inside = off.filter(moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2] <= r * r)
-    best = inside.groupBy("unit", "i", "k").agg(F.count(F.lit(1)).alias("m")).groupBy("unit", "i").agg(F.max("m").alias("m"))
+
+    def counts(a, b):
+        own, other = (np.stack([t[c] for c in XYZ], 1) for t in (a, b))
+        middle = own.mean(0) if len(own) else 0.0
+        # |x - y|^2 of moved points as one product a field; within its rounding of the rim, offsets are moved themselves
+        ends = [((own - middle) @ (np.eye(3) + g).T, (other - middle) @ (np.eye(3) + g).T) for g in fields]
+        sides = [(np.column_stack([x, (x * x).sum(1), np.ones(len(x))]), np.column_stack([-2 * y, np.ones(len(y)), (y * y).sum(1)]).T) for x, y in ends]
+        rim = 1e-9 * r * r
+
+        def exact(k, g):
+            o = [other[:, j] - own[k, j] for j in range(3)]
+            m = [o[j] + (o[0] * g[j, 0] + o[1] * g[j, 1] + o[2] * g[j, 2]) for j in range(3)]
+            return np.count_nonzero(m[0] * m[0] + m[1] * m[1] + m[2] * m[2] <= r * r)
+
+        def of(at, d2, near):
+            out = np.zeros((len(d2), len(fields)))
+            for n, (x, y) in enumerate(sides):
+                far = x[at] @ y
+                sure, all_ = np.count_nonzero(far <= r * r - rim, axis=1), np.count_nonzero(far <= r * r + rim, axis=1)
+                out[:, n] = sure
+                for k in np.flatnonzero(sure != all_):
+                    out[k, n] = exact(at.start + k, fields[n])
+            return out
+
+        return of
+
+    names = [f"m{k}" for k in range(n)]
+    best = near_sums(p, widest, names, counts, itself=True).select("unit", "i", F.greatest(*names).cast("long").alias("m"))
     size = p.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     return best.join(size, "unit").select("unit", "i", (F.col("m") / F.col("n") * F.log1p("m")).alias("score"))
 

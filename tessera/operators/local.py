@@ -1,7 +1,7 @@
 """Shapes of points' neighbourhoods from sums of products of offsets.
 
-One radius join gives offsets; sums of their products up to the fourth order, 35
-numbers for a point and radius, are added up before they are shuffled. Spread and
+Sums of products of offsets up to the fourth order, 35 numbers for a point and
+radius, are added up in blocks of near points before they are shuffled. Spread and
 the quadric over the flattest plane follow from those sums by turning them into
 the neighbourhood's own axes, so neither a unit nor a neighbourhood is ever held.
 """
@@ -9,6 +9,7 @@ the neighbourhood's own axes, so neither a unit nor a neighbourhood is ever held
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.spatial import XYZ, radius_join
+from tessera.operators.spatial import XYZ, near_sums
 
 POWERS = [p for p in itertools.product(range(5), repeat=3) if sum(p) <= 4]
 #: The quadric's terms in the two wider axes, as powers of each.
@@ -62,13 +63,35 @@ def shapes(sums: np.ndarray) -> np.ndarray:
     return np.column_stack([w[:, 0] / total, w[:, 2] / total, np.abs(k[:, 0] * k[:, 1]), np.abs(k.sum(1)) / 2])
 
 
+def about(sums: np.ndarray, own: Sequence[np.ndarray]) -> np.ndarray:
+    """Sums of products of places, in the order of POWERS, as those of offsets from each row's own place."""
+    at = {p: k for k, p in enumerate(POWERS)}
+    powers = [[(-x) ** k for k in range(5)] for x in own]
+    out = np.zeros_like(sums)
+    for p, k in at.items():
+        for q in itertools.product(*(range(n + 1) for n in p)):
+            out[:, k] += math.prod(math.comb(n, m) for n, m in zip(p, q, strict=True)) * sums[:, at[q]] * reduce(np.multiply, (powers[c][n - m] for c, (n, m) in enumerate(zip(p, q, strict=True))))
+    return out
+
+
 def local_shapes(points: DataFrame, radii: Sequence[float] = (10.0, 14.0)) -> DataFrame:
     """Per point and radius: spread ratios of its neighbourhood, itself included, and curvatures of the quadric fitted over its flattest plane."""
-    p = points.select("unit", "i", *XYZ)
-    j = radius_join(p, p, max(radii))
-    off = j.select("unit", F.col("a_i").alias("i"), *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"o{k}") for k, c in enumerate(XYZ)], F.explode(F.filter(F.array(*map(F.lit, map(float, radii))), lambda r: F.col("d2") <= r * r)).alias("r"))
-    power = lambda p: reduce(lambda a, b: a * b, (F.col(f"o{k}") for k in range(3) for _ in range(p[k])), F.lit(1.0))
-    sums = off.groupBy("unit", "i", "r").agg(F.array(*[F.sum(power(q)) for q in POWERS]).alias("sums"))
+    wide = sorted(map(float, radii))
+
+    def moments(a, b):
+        middle = [a[c].mean() if len(a[c]) else 0.0 for c in XYZ]
+        own, other = ([t[c] - m for c, m in zip(XYZ, middle, strict=True)] for t in (a, b))
+        power = lambda x: [reduce(np.multiply, (x[k] for k in range(3) for _ in range(p[k])), np.ones(len(x[0]))) for p in POWERS]
+        values = np.column_stack(power(other))
+
+        def of(at, d2, near):
+            return np.hstack([about((near & (d2 <= r * r)).astype(float) @ values, [x[at] for x in own]) for r in wide])
+
+        return of
+
+    names = [f"s{n}_{k}" for n in range(len(wide)) for k in range(len(POWERS))]
+    rows = F.array(*[F.struct(F.lit(r).alias("r"), F.array(*[F.col(f"s{n}_{k}") for k in range(len(POWERS))]).alias("sums")) for n, r in enumerate(wide)])
+    sums = near_sums(points, max(wide), names, moments, itself=True).select("unit", "i", F.inline(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
