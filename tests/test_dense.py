@@ -44,3 +44,33 @@ def test_dense_points_hold_no_void_spheres(spark):
             want.append(t)
             assert keep[list(t)].all()
     assert sorted((r.a, r.b, r.c, r.d) for r in linear.void_spheres(df, 1.5, 6.0).collect()) == sorted(want)
+
+
+def test_components_by_cells(spark):
+    r = np.random.default_rng(10)
+    x = np.vstack([r.random((150, 3)) * 12, r.random((40, 3)) + 30])
+    rows = [(k % 2, k, *map(float, p)) for k, p in enumerate(x)]
+    rows += [(0, 500, None, 0.0, 0.0), (0, 501, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "unit int, i long, px double, py double, pz double")
+    want = {500: 500, 501: 501}
+    for u in (0, 1):
+        own = [k for k in range(len(x)) if k % 2 == u]
+        parent = {k: k for k in own}
+        find = lambda k: k if parent[k] == k else find(parent[k])  # noqa: B023, E731
+        for a in own:
+            for b in own:
+                if a < b and ((x[a] - x[b]) ** 2).sum() <= 4:
+                    p, q = sorted((find(a), find(b)))
+                    parent[q] = p
+        want |= {k: find(k) for k in own}
+    assert len(set(want.values())) > 8
+    assert {v.i: v.root for v in graph.near_components(df, 2.0).collect()} == want
+
+
+def test_components_of_a_zigzag(spark):
+    """Labels that rise and fall along a path, longer than rounds of neighbours' minima reach."""
+    n = 400
+    name = np.random.default_rng(11).permutation(n)
+    pairs = spark.createDataFrame([(0, int(name[k]), int(name[k + 1])) for k in range(n - 1)], "unit int, a long, b long")
+    nodes = spark.createDataFrame([(0, k) for k in range(n)], "unit int, i long")
+    assert {r.root for r in graph.connected(pairs, nodes).collect()} == {0}
