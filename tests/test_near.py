@@ -51,3 +51,20 @@ def test_null_places_have_no_neighbours(spark):
     _, p = cloud(spark, 20, 1.0)
     p = p.withColumn("px", F.when(F.col("i") > 2, F.col("px")))
     assert {r.i for r in S.near_counts(p, 50.0).collect()} == set(range(3, 20))
+
+
+def test_rounded_as_sql(spark):
+    """F.round goes by decimal digits, and differs from SQL where a product meets the half."""
+    import duckdb
+
+    x = [(k + 0.5) / 10.0**7 for k in range(0, 80_000_000, 39_989)] + [0.0, 1.25, 7.99999995, 123456.7, 1e12, 1e300]
+    want = [r[0] for r in duckdb.sql(f"SELECT round(unnest({x}::DOUBLE[]), 7)").fetchall()]
+    assert want == [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(S.rounded(F.col("x"), 7)).collect()]
+    assert want != [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 7)).collect()]
+
+
+def test_pairs_are_not_rounded_by_decimals(spark, sf):
+    from tessera import plans
+
+    for name in ("JON05_contact_graph",):
+        assert "round(" not in plans.loaded().QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower(), name
