@@ -121,7 +121,7 @@ def free_runs(points: DataFrame, cap: float = 12.0, width: float = 2.0) -> DataF
     g = (1 + 5**0.5) / 2
     axes = np.array([v for a in (-1, 1) for b in (-g, g) for v in ((0, a, b), (a, b, 0), (b, 0, a))]) / np.sqrt(1 + g * g)
     p = points.select("unit", "i", *XYZ)
-    met = rays(p, p, [tuple(map(float, a)) for a in axes], cap, width).groupBy("unit", "i", "k").agg(F.min("along").alias("far"))
+    met = rays(p, p, [tuple(map(float, a)) for a in axes], cap, width)
     found = met.groupBy("unit", "i").agg(F.count(F.lit(1)).alias("n"), F.sum("far").alias("total"), F.max("far").alias("top"))
     n = F.coalesce("n", F.lit(0))
     longest = F.when(n < len(axes), cap).otherwise(F.col("top"))
